@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.llm.shared import settle, texts
@@ -151,16 +151,63 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b")
 
 
+#: Members of a hub up to which its pairs are simply all compared.
+_FEW = 12
+
+
+def _across(part_of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between members of one band key that are in different parts: key, rep, part.
+
+    A key's hub is the part with most members there, by its smallest document L.
+    For a set x write r for how much of L it lacks. Two sets x and y then share
+    |L| - r(x) - r(y) elements and as many more as their differences from L have
+    in common. If x isn't linked to L, it follows that x and y can be linked only
+    if these differences share at least
+        t(x) = (percent * (|x| + |L|) + (100 + percent) * (r(x) - |L|)) / 100 > 0
+    elements. So each member is indexed by the rarest of its differences, as many
+    as leave fewer than t out; members that meet at none of them can't be linked.
+    Copies that each changed other words meet nowhere, however many they are.
+    """
+    most = part_of.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("hub"), F.count("*").alias("parts")).filter("parts > 1").select("key", "hub")
+    held = settle(part_of.join(most, "key").filter("rep <> hub").select("hub", "rep", "part").distinct(), "hubs")
+    x = sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("sx"))
+    centre = sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("sl"))
+    lack, add = F.array_except("sl", "sx"), F.array_except("sx", "sl")
+    facts = held.join(x, "rep").join(centre, "hub").select("hub", "rep", "part", F.size("sx").alias("n"), F.size("sl").alias("nl"), F.size(lack).alias("r"), F.concat(lack, add).alias("diff"))
+    union = F.col("n") + F.col("r")
+    linked = 100 * (F.col("nl") - F.col("r")) >= percent * union
+    need = F.greatest(F.lit(1), F.ceil((percent * (F.col("n") + F.col("nl")) + (100 + percent) * (F.col("r") - F.col("nl"))) / 100)).cast("int")
+    facts = settle(facts.select("hub", "rep", "n", linked.alias("linked"), F.when(linked | (F.col("part") == F.col("hub")), F.col("hub")).otherwise(F.col("part")).alias("part"), (F.size("diff") - need + 1).alias("keep"), "diff"), "differences")
+
+    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    sizes = facts.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(F.col("part") != F.col("hub")).alias("open")).filter("open > 0")
+    left = lambda df: df.filter("part <> hub").select("hub", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), *[c for c in df.columns if c == "elem"])
+    right = lambda df: df.select("hub", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), *[c for c in df.columns if c == "elem"])
+
+    few = facts.drop("diff").join(sizes.filter(F.col("m") <= _FEW), "hub")
+    many = facts.join(sizes.filter(F.col("m") > _FEW).select("hub"), "hub").select("hub", "rep", "n", "part", "keep", F.explode("diff").alias("elem"))
+    many = settle(many, "indexed")
+    often = many.groupBy("hub", "elem").agg(F.count("*").alias("df"))
+    order = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("df", "elem"))
+    many = many.join(often, ["hub", "elem"]).withColumn("at", order).filter((F.col("at") <= F.col("keep")) & (F.col("df") > 1))
+    pairs = left(few).join(right(few), "hub").filter((F.col("pa") != F.col("pb")) & near).select("a", "b")
+    pairs = pairs.unionByName(left(many).join(right(many), ["hub", "elem"]).filter((F.col("pa") != F.col("pb")) & near).select("a", "b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = facts.filter("linked").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    return _confirm(pairs, sets, percent).unionByName(stars)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept, for every row of docs.
 
     Two documents are linked when 100 * intersection >= percent * union of
     their sets of word shingles. Rows with equal sets become one class first,
     so copies never make pairs. Classes that share a band are compared with the
-    smallest of that band (a star, not all pairs); what is then in one
-    component needs no more comparing, and every pair of different components
-    that share a band is still confirmed on its full sets. Bands are chosen so
-    that a pair at the threshold shares none with probability 1e-7.
+    smallest of that band (a star, not all pairs); what is then in one component
+    needs no more comparing. Pairs of different components that share a band are
+    then either confirmed on their full sets or ruled out by what they differ in
+    from their band's largest component (see _across), which is exact. Bands are
+    chosen so that a pair at the threshold shares none with probability 1e-7.
 
     Null or empty text: n_shingles 0, linked with nothing. Rows that repeat a
     doc_id are one node. A null doc_id: component_id null, kept true. Other
@@ -171,23 +218,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     features = settle(plain.mapInPandas(_features(words, 5, bands), "doc_id long, n_shingles long, print string, bands array<long>"), "shingled")
     classes = settle(features.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
 
-    members = classes.select("rep", "n", F.explode("bands").alias("key"))
+    members = classes.select("rep", F.explode("bands").alias("key"))
     lead = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("key", "lead")
     members = settle(members.join(lead, "key"), "members")
     involved = members.select("rep").distinct()
     sets = settle(plain.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id").mapInPandas(_sets(words), "doc_id long, set array<long>"), "sets")
 
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     first = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = settle(_confirm(first, sets, percent), "links")
     parts = components(links)
-    part_of = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    mixed = part_of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    part_of = settle(part_of.join(mixed, "key"), "mixed")
-    left = part_of.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = part_of.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = settle(_confirm(rest, sets, percent), "links")
+    part_of = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    more = settle(_across(part_of, sets, percent), "links")
     parts = settle(components(links.unionByName(more)), "parts")
 
     owner = classes.join(parts, classes["rep"] == parts["node"], "left").select("print", F.coalesce("component", "rep").alias("component"))
