@@ -46,17 +46,36 @@ def shingles(text: str, n: int) -> np.ndarray:
 
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PLAIN = re.compile(f"\0|[^\\S\\n ]|[\\x1c-\\x1f]|[ \\n]{{2}}")
+#: White space other than blanks and line feeds, marks that Python alone takes for white space, and two of white space together.
+_ODD = [*"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", "\n\n", " \n", "\n "]
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: A full stop or comma that doesn't follow a letter or digit, and so may be one token with what it follows.
+_BOUND = re.compile(r"[.,](?<![^\W_][.,])")
+#: Beyond this, lower case is left to the tokenizer.
+_WIDE = re.compile("[^\\x00-\u012f]")
+
+
+class _Known(dict):
+    """Chunks' numbers; an unknown chunk gets the next one and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        at = self[chunk] = len(self)
+        self.new.append(chunk)
+        return at
 
 
 class Encoder:
     """Token ids of texts, each distinct chunk (white space and the word after it) encoded once.
 
     Public byte-level and word-end BPE vocabularies never merge across the end
-    of a word, so the ids of a text are those of its chunks in order; white
-    space keeps to the front of its chunk, where the tokenizer sees what it sees
-    in the text. The memory of chunks is emptied beyond `most` entries.
+    of a word, nor a letter or digit with the stop or comma after it, so the ids
+    of a text are those of its chunks in order; white space keeps to the front of
+    its chunk, where the tokenizer sees what it sees in the text. A vocabulary
+    that drops white space and case gets chunks without them. The memory of
+    chunks is emptied beyond `most` entries.
     """
 
     def __init__(self, path: str, most: int = 900_000):
@@ -64,18 +83,21 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.drops = ids(" Word\n") == ids("word")
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
-        at, end = len(self.known), len(self.known) + len(new)
+        at, end = len(self.known) - len(new), len(self.known)
         if end > len(self.starts):
             grow = max(end, 2 * len(self.starts)) - len(self.starts)
             self.starts, self.lengths = np.pad(self.starts, (0, grow)), np.pad(self.lengths, (0, grow))
@@ -84,25 +106,28 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[at:end], self.lengths[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
         self.used += len(ids)
-        self.known.update(zip(new, range(at, end), strict=True))
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if _PLAIN.search(text):
+    def chunks(self, text: str) -> list[str]:
+        if any(map(text.__contains__, _ODD)):
             return _CHUNK.findall(text)
+        stops = not _BOUND.search(text)
+        if self.drops:
+            if not _WIDE.search(text):
+                text = text.lower()
+            return (text.replace(".", " .").replace(",", " ,") if stops else text).split()
+        if stops:
+            text = text.replace(".", "\0.").replace(",", "\0,")
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
             self._empty()
-        pieces = [self.chunks(t) for t in batch]
-        known = self.known
-        new = list(dict.fromkeys(c for p in pieces for c in p if c not in known))
-        if new:
-            self._learn(new)
+        number = self.known.__getitem__
+        places = [np.fromiter(map(number, p), np.int64, len(p)) for p in map(self.chunks, batch)]
+        if self.known.new:
+            self._learn()
         out = []
-        for p in pieces:
-            at = np.fromiter(map(known.__getitem__, p), np.int64, len(p))
+        for at in places:
             n = self.lengths[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0

@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +22,15 @@ def crc_of(ids: np.ndarray) -> int:
 
 
 def _encoded(vocabulary: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for pdf in batches:
-            for at in range(0, len(pdf), 100):
-                part = pdf.iloc[at : at + 100]
-                ids = [np.append(x, END).astype(np.int32) for x in encode(part["text"].tolist())]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(x) for x in ids], "ids": ids})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                part = whole.slice(at, 200)
+                ids = [np.append(x, np.uint32(END)) for x in encode(part.column("text").to_pylist())]
+                ends = np.cumsum([0, *map(len, ids)])
+                values = pa.array(np.concatenate(ids).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -44,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, partitions: int |
     """
     rows = texts(docs)
     rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    rows = rows.sortWithinPartitions("doc_id").mapInPandas(_encoded(vocabulary), "doc_id long, n_tokens long, ids array<int>")
+    rows = rows.sortWithinPartitions("doc_id").mapInArrow(_encoded(vocabulary), "doc_id long, n_tokens long, ids array<int>")
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
     rows.write.options(**options).orc(path)
     return path
@@ -55,9 +57,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_tokens long, ids array<int>").orc(path)
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"file": pdf["file"], "doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in pdf["ids"]], "ids_crc32": [crc_of(np.asarray(x)) for x in pdf["ids"]]})
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        ids = part.column("ids")
+        ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        crc = [crc_of(values[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("file"), part.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +72,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     file), a document's place in its file a running sum over that file, whose
     size the writer bounds.
     """
-    rows = read_tokens(spark, path).select(F.input_file_name().alias("file"), "doc_id", "ids").mapInPandas(_digest, "file string, doc_id long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, path).select(F.input_file_name().alias("file"), "doc_id", "ids").mapInArrow(_digest, "file string, doc_id long, n_tokens long, ids_crc32 long")
     files = read_tokens(spark, path).groupBy(F.input_file_name().alias("file")).agg(F.sum("n_tokens").alias("tokens"), F.min("doc_id").alias("low"), F.min("doc_id").isNull().alias("nulls"), F.max("doc_id").alias("high"))
     before = F.sum("tokens").over(Window.orderBy(F.col("low").asc_nulls_first(), "high", "file").rowsBetween(Window.unboundedPreceding, -1))
     files = files.select("file", F.coalesce(before, F.lit(0)).alias("base"))
