@@ -76,7 +76,7 @@ def technique_rows(answers: DataFrame, known: list[str], most: int = 3) -> DataF
 
 def topic_label(top_words: str = "top_words", most: int = 3):
     """A label from the first keywords, for want of a model's."""
-    return F.concat_ws(" / ", F.slice(F.transform(F.split(top_words, ","), F.trim), 1, most))
+    return F.concat_ws(" / ", F.slice(F.transform(F.split(top_words, ","), lambda w: F.trim(w)), 1, most))
 
 
 def validation(judged: DataFrame) -> DataFrame:

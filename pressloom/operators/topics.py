@@ -67,7 +67,7 @@ def drifted(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def keyword_jaccard(a: Column, b: Column, first: int = 10) -> Column:
     """Of the first keywords of two comma-separated lists; 0 if either is empty."""
-    words = lambda c: F.filter(F.transform(F.slice(F.split(F.coalesce(c, F.lit("")), ","), 1, first), F.trim), lambda w: w != "")
+    words = lambda c: F.filter(F.transform(F.slice(F.split(F.coalesce(c, F.lit("")), ","), 1, first), lambda w: F.trim(w)), lambda w: w != "")
     x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
 

@@ -172,22 +172,19 @@ def _events_dir(spark, sf_dir):
     return path
 
 
-_S = "strftime({}, '%Y-%m-%d %H:%M')"
-
-
 @query("str01", "SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT event_id FROM events)")
 def str01(spark, sf_dir):
     return _stream(spark, sf_dir, lambda r: ingest.deduplicated(r, "event_id").select("event_id")).agg(F.count("*").alias("n"))
 
 
-@query("str03", f"SELECT {_S.format('date_trunc(''day'', ts)')} AS \"start\", event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2".replace("''", "'"))
+@query("str03", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS \"start\", event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def str03(spark, sf_dir):
     """Daily counts of the whole stream in complete mode, equal to the batch's."""
     out = _stream(spark, sf_dir, lambda r: ingest.tumbling(r, "ts", "1 day", "1 day", "event_type"), "complete")
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-@query("str04", f"SELECT {_S.format('d - to_days(k::INTEGER)')} AS \"start\", count(*)::BIGINT AS n FROM (SELECT date_trunc('day', ts) AS d FROM events) e, range(7) t(k) GROUP BY 1")
+@query("str04", "SELECT strftime(d - to_days(k::INTEGER), '%Y-%m-%d %H:%M') AS \"start\", count(*)::BIGINT AS n FROM (SELECT date_trunc('day', ts) AS d FROM events) e, range(7) t(k) GROUP BY 1")
 def str04(spark, sf_dir):
     out = _stream(spark, sf_dir, lambda r: ingest.sliding(r, "ts", "1 day", "7 days", "1 day"), "complete")
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))

@@ -120,8 +120,8 @@ def srt05(spark, sf_dir):
 
 
 @query("sig04", f"""{VIEWS}, g AS (SELECT T.label, {_FLAG.replace('published_at', 'A.published_at')} AS w FROM ASG JOIN T ON ASG.topic_key = T.topic_key JOIN A ON A.id = ASG.article_id WHERE ASG.portee = 'global'),
- n AS (SELECT label, count(*) FILTER (w = 'recent') AS r, count(*) FILTER (w = 'prior') AS p FROM g WHERE w IS NOT NULL GROUP BY 1), s AS (SELECT label, coalesce(round(100.0::DOUBLE * r / nullif(sum(r) OVER (), 0), 6), 0) AS recent, coalesce(round(100.0::DOUBLE * p / nullif(sum(p) OVER (), 0), 6), 0) AS prior FROM n)
- SELECT label, recent, prior, round(recent - prior, 4) AS delta FROM s ORDER BY abs(delta) DESC, label LIMIT 10""")
+ n AS (SELECT label, count(*) FILTER (w = 'recent') AS r, count(*) FILTER (w = 'prior') AS p FROM g WHERE w IS NOT NULL GROUP BY 1), ss AS (SELECT label, coalesce(round(100.0::DOUBLE * r / nullif(sum(r) OVER (), 0), 6), 0) AS recent, coalesce(round(100.0::DOUBLE * p / nullif(sum(p) OVER (), 0), 6), 0) AS prior FROM n)
+ SELECT label, recent, prior, round(recent - prior, 4) AS delta FROM ss ORDER BY abs(delta) DESC, label LIMIT 10""")
 def sig04(spark, sf_dir):
     a = assignments(spark, sf_dir).filter("portee = 'global'").select("article_id", "topic_key").join(topic_names(spark, sf_dir).select("topic_key", "label"), "topic_key")
     rows = a.join(articles(spark, sf_dir).select(F.col("id").alias("article_id"), "published_at"), "article_id")

@@ -136,7 +136,7 @@ def flt08(spark, sf_dir):
     return articles(spark, sf_dir).withColumn("raw", F.expr(_RAW_AUTHOR)).select("id", c.bad_author(F.col("raw"), F.col("source_name")).alias("bad"))
 
 
-@query("scl21", f"{VIEWS}, r AS (SELECT id, {_RAW_AUTHOR} AS raw, author FROM A) SELECT id, CASE WHEN raw LIKE 'by %' OR raw LIKE '% le %' THEN author ELSE raw END AS name FROM r")
+@query("scl21", f"{VIEWS}, r AS (SELECT id, doc_id, source_name, author FROM A) SELECT id, CASE doc_id % 6 WHEN 0 THEN author WHEN 2 THEN '@handle' WHEN 3 THEN 'Press Group Ltd' WHEN 4 THEN 'Src' || substr(source_name, 4) || ' Desk' END AS name FROM r")
 def scl21(spark, sf_dir):
     return articles(spark, sf_dir).withColumn("raw", F.expr(_RAW_AUTHOR)).select("id", c.clean_author(F.col("raw")).alias("name"))
 
@@ -177,7 +177,7 @@ def txt07(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.page_author(F.col("html"), host).alias("author"))
 
 
-@query("txt08", f"{VIEWS}, r AS (SELECT id, {_RAW_AUTHOR} AS raw, author FROM A) SELECT id, CASE WHEN raw IS NULL OR raw IN ('@handle', 'Press Group Ltd') OR raw LIKE 'src__ desk' THEN NULL WHEN raw LIKE 'by %' OR raw LIKE '% le %' THEN author ELSE raw END AS author FROM r")
+@query("txt08", f"{VIEWS}, r AS (SELECT id, doc_id, source_name, author FROM A) SELECT id, CASE WHEN doc_id % 6 = 0 THEN author WHEN doc_id % 6 = 4 AND length(source_name) <= 4 THEN 'Src' || substr(source_name, 4) || ' Desk' END AS author FROM r")
 def txt08(spark, sf_dir):
     """Bad authors nulled, the others cleaned, in one pass."""
     raw = F.expr(_RAW_AUTHOR)
