@@ -153,7 +153,7 @@ def article_url(url: Column, host: str | Column) -> Column:
     last = F.element_at(F.split(path, "/"), -1)
     dashes = F.length(last) - F.length(F.replace(last, F.lit("-"), F.lit("")))
     slug = (F.length(last) >= 20) | (dashes >= 2)
-    dated = F.concat(F.lit("/"), path).rlike(r"/\d{4}/\d{2}/\d{2}(/|$)") & path.rlike(r"/\d{4}/\d{2}/\d{2}(/|$)")
+    dated = path.rlike(r"/\d{4}/\d{2}/\d{2}(/|$)")
     section = F.get(parts, F.lit(0)).isin("category", "cat", "rubrique", "rubriques")
     deep = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) > 6
     ok = ((netloc == "") | (netloc == own)) & (path != "") & ~raw.rlike(_EXCLUDED) & ~deep

@@ -36,6 +36,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        if tag in _BLOCK and tag != "br" and self.open and self.open[-1][0] == "p":  # a paragraph ends where the next block begins
+            self.handle_endtag("p")
         if tag in _VOID:
             self.found.append((tag, a, ""))
         else:
@@ -92,12 +94,15 @@ def _links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(h, b) for h, b in zip(html, base, strict=True)])
 
 
-def article_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, url, title: the first link to each article that a landed home page (page_id, url, html) shows."""
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, pos, url, title, article: the first link to each address that a landed page (page_id, url, html) shows, and whether it looks like an article of that host."""
     rows = pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.inline(_links("html", "url")))
-    rows = rows.filter(article_url(F.col("url"), F.col("host")))
     first = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))
-    return rows.withColumn("r", first).filter("r = 1").select("page_id", "pos", "url", "title")
+    return rows.withColumn("r", first).filter("r = 1").select("page_id", "pos", "url", "title", article_url(F.col("url"), F.col("host")).alias("article"))
+
+
+def article_links(pages: DataFrame) -> DataFrame:
+    return links(pages).filter("article").drop("article")
 
 
 @F.pandas_udf(_TEXT)

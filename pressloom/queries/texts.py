@@ -158,10 +158,16 @@ def src08(spark, sf_dir):
     return segments.clean_cues(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn")
 
 
-@query("src02")
+@query("src02", """WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) SELECT DISTINCT page_id, rtrim(base || split_part(href, '#', 1), '/') AS url FROM l""")
 def src02(spark, sf_dir):
-    """Links to articles on landed pages."""
-    return html.article_links(table(spark, sf_dir, "pages"))
+    """Links on landed pages."""
+    return html.links(table(spark, sf_dir, "pages")).select("page_id", "url")
+
+
+@query("src03")
+def src03(spark, sf_dir):
+    """The same with place, title and whether they look like articles."""
+    return html.links(table(spark, sf_dir, "pages"))
 
 
 @query("src14")
