@@ -20,11 +20,13 @@ from pressloom.llm.textkit import hashes, mix, words
 #: Counts up to K are discounted by Good-Turing; larger ones lose EASE, so that every context keeps mass for what it hasn't seen.
 K, EASE = 5, 0.1
 #: Tokens of a batch that is sent at a time, and of a bucket of words, about.
-BATCH_TOKENS, BUCKET_CHARS = 3_000_000, 25_000_000
+BATCH_TOKENS, BUCKET_CHARS = 2_000_000, 12_000_000
 END, START = (int(hashes([b" " + name])[0]) for name in (b"end", b"start"))
 _48 = np.uint64((1 << 48) - 1)
 #: What a text's score is made of, summed by word bucket (see _reduce).
-_STATS = ["n", "known", "base", "large", *[f"s{r}" for r in range(1, K + 1)], "plain", "plains", *[f"u{r}" for r in range(K + 1)], "context"]
+_SUMS = ["base", "large", "plain", "context"]
+_NUMBERS = ["n", "known", *[f"s{r}" for r in range(1, K + 1)], "plains", *[f"u{r}" for r in range(K + 1)]]
+_STATS = [*_SUMS, *_NUMBERS]
 #: What a context's backoff weight is made of: followers with large counts (their sum, number), by small count, and the same of the followers' own counts.
 _SIDES = ["t0", "n0", *[f"q{r}" for r in range(1, K + 1)], "w0", "m0", *[f"p{r}" for r in range(1, K + 1)]]
 _ROWS = "kind int, key long, blob binary, v long, n long"
@@ -106,6 +108,17 @@ def _class(count: np.ndarray, keep: np.ndarray, owner: np.ndarray, n: int, low:
     return [np.bincount(owner[keep & (count == r)], minlength=n) for r in range(low, K + 1)]
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key stands first, and each key's number among them. keys is used up."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return order[fresh], number
+
+
 def _reduce(contexts: int):
     """Counts of one bucket of words, and what they say of documents and contexts.
 
@@ -130,31 +143,34 @@ def _reduce(contexts: int):
             w_parts.append(word)
             n_parts.append(count)
             v_parts.append(before.view("<u8").ravel())
-            d_parts.append(k * (1 << 16) + doc.astype(np.int64))
+            d_parts.append(k * (1 << 16) + doc.astype(np.int32))
             t_parts.append(np.unpackbits(flags).astype(bool)[doc])
         word, run_of = np.unique(np.concatenate(w_parts), return_inverse=True)
-        w = np.repeat(run_of, np.concatenate(n_parts))
+        w = np.repeat(run_of.astype(np.int32), np.concatenate(n_parts))
         v, doc, train = np.concatenate(v_parts), np.concatenate(d_parts), np.concatenate(t_parts)
         del w_parts, n_parts, v_parts, d_parts, t_parts
         cw = np.bincount(w[train], minlength=len(word))
-        _, first, pair = np.unique(mix(v * np.uint64(0x9E3779B97F4A7C15) + mix(w.astype(np.uint64))), return_index=True, return_inverse=True)
+        first, pair = _numbered(mix(v * np.uint64(0x9E3779B97F4A7C15) + mix(w.astype(np.uint64))))
         cp = np.bincount(pair[train], minlength=len(first))
         rows = []
 
         # documents
         docs, d = np.unique(doc, return_inverse=True)
-        n, c, r = len(docs), cw[w], cp[pair]
+        n, d = len(docs), d.astype(np.int32)
+        c, r = cw[w].astype(np.int32), cp[pair].astype(np.int32)
+        del pair
         seen = r > 0
         log = lambda x: np.log10(np.maximum(x, 1e-9))
-        total = lambda x, keep: np.bincount(d[keep], x[keep], minlength=n)
-        every = np.ones(len(w), bool)
-        stats = [np.bincount(d, minlength=n), np.bincount(d[c > 0], minlength=n), total(log(c + 0.1), every), total(log(r - EASE), r > K), *_class(r, seen, d, n, 1), total(log(c - EASE), ~seen & (c > K)), np.bincount(d[~seen & (c > K)], minlength=n), *_class(c, ~seen, d, n, 0), total(log(c), (c > 0) & (word[w] != np.uint64(END)))]
-        table = np.stack(stats)
+        word_log = [log(cw + 0.1), log(cw - EASE), np.where(word == np.uint64(END), 0.0, log(np.maximum(cw, 1)))]
+        total = lambda x, keep: np.bincount(d[keep], x, minlength=n)
+        large, plain = r > K, ~seen & (c > K)
+        sums = np.stack([np.bincount(d, word_log[0][w], minlength=n), total(log(r[large] - EASE), large), total(word_log[1][w[plain]], plain), np.bincount(d, word_log[2][w], minlength=n)])
+        numbers = np.stack([np.bincount(d, minlength=n), np.bincount(d[c > 0], minlength=n), *_class(r, seen, d, n, 1), np.bincount(d[plain], minlength=n), *_class(c, ~seen, d, n, 0)])
         ends = np.searchsorted(docs, np.arange(len(batches) + 1) * (1 << 16))
-        rows += [(_DOCS, batches[k], _squeeze((docs[i:j] % (1 << 16)).astype(np.uint16), table[:, i:j].astype("<f8")), 0, 0) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+        rows += [(_DOCS, batches[k], _squeeze((docs[i:j] % (1 << 16)).astype(np.uint16), sums[:, i:j].astype("<f8"), numbers[:, i:j].astype("<i4")), 0, 0) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
         if not seen.all():
             miss = ~seen
-            refs = batches[doc[miss] >> 16] * (1 << 16) + (doc[miss] & 0xFFFF)
+            refs = batches[doc[miss] >> 16] * (1 << 16) + (doc[miss].astype(np.int64) & 0xFFFF)
             pairs, times = np.unique(np.stack([refs, v[miss].astype(np.int64)]), axis=1, return_counts=True)
             rows += [(_UNSEEN, a, None, b, t) for a, b, t in zip(*pairs.tolist(), times.tolist(), strict=True)]
 
@@ -264,12 +280,13 @@ def katz_scores(docs: DataFrame, folds: int = 10, buckets: int | None = None) ->
         sums = np.zeros((len(_STATS), len(ids)))
         for blob, kind in zip(pdf["blob"], pdf["kind"], strict=True):
             if kind == _DOCS:
-                doc, stats = _spread(blob, "<u2", "<f8")
-                sums[:, doc] += stats.reshape(len(_STATS), -1)
-        n = sums[0]
-        base = sums[2] - n * math.log10(model.tokens + 0.1 * (model.distinct + 1))
+                doc, parts, numbers = _spread(blob, "<u2", "<f8", "<i4")
+                sums[: len(_SUMS), doc] += parts.reshape(len(_SUMS), -1)
+                sums[len(_SUMS) :, doc] += numbers.reshape(len(_NUMBERS), -1)
+        n, known = (sums[_STATS.index(k)] for k in ("n", "known"))
+        base = sums[0] - n * math.log10(model.tokens + 0.1 * (model.distinct + 1))
         key = int(pdf["key"].iloc[0]) * (1 << 16) + np.arange(len(ids))
-        return pd.DataFrame({"ref": key, "doc_id": pd.array(ids, "Int64").copy() if not nulls.any() else pd.array([None if z else int(i) for i, z in zip(ids, nulls, strict=True)], "Int64"), "held_out": ~train, "n_tokens": n.astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": base, "plain": model.score(sums)})
+        return pd.DataFrame({"ref": key, "doc_id": pd.array(ids, "Int64").copy() if not nulls.any() else pd.array([None if z else int(i) for i, z in zip(ids, nulls, strict=True)], "Int64"), "held_out": ~train, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "plain": model.score(sums)})
 
     backoff = table.filter(F.col("kind") == _CONTEXTS).select("key", "blob").groupBy("key").applyInPandas(weigh, "v long, correction double")
     backoff = settle(backoff, "backoff")
