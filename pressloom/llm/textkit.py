@@ -85,6 +85,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops = ids(" Word\n") == ids("word")
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = [i for i, a in added.items() if a.special and not (a.lstrip or a.rstrip or a.single_word)]
+        #: Special tokens' strings, one to put between chunks first; and its id.
+        self.marks = [added[plain[0]].content, *[a.content for a in added.values()]] if plain else []
+        self.mark = np.array(plain[:1], np.uint32)
         self._empty()
 
     def _empty(self) -> None:
@@ -94,9 +99,7 @@ class Encoder:
 
     def _learn(self) -> None:
         new, self.known.new = self.known.new, []
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
+        lengths, ids = self._encoded(new)
         at, end = len(self.known) - len(new), len(self.known)
         if end > len(self.starts):
             grow = max(end, 2 * len(self.starts)) - len(self.starts)
@@ -107,6 +110,24 @@ class Encoder:
         self.starts[at:end], self.lengths[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
         self.used += len(ids)
 
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and all of them.
+
+        Chunks are encoded by the dozen, with a special token between them, at
+        which the tokenizer splits a text before anything else.
+        """
+        together = bool(self.marks) and not any(m in c for c in new for m in self.marks)
+        self.tokenizer.encode_special_tokens = not together
+        size = 64 if together else 1
+        texts = [self.marks[0].join(new[i : i + size]) for i in range(0, len(new), size)] if together else new
+        encoded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = True
+        if not together:
+            return np.fromiter(map(len, encoded), np.int64, len(encoded)), np.concatenate(encoded)
+        ids = np.concatenate([x for e in encoded for x in (e, self.mark)])
+        ends = np.flatnonzero(ids == self.mark[0])
+        return np.diff(np.append(-1, ends)) - 1, ids[ids != self.mark[0]]
+
     def chunks(self, text: str) -> list[str]:
         if any(map(text.__contains__, _ODD)):
             return _CHUNK.findall(text)

@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, partitions: int |
     rows = texts(docs)
     rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
     rows = rows.sortWithinPartitions("doc_id").mapInArrow(_encoded(vocabulary), "doc_id long, n_tokens long, ids array<int>")
-    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
+    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
     rows.write.options(**options).orc(path)
     return path
 
