@@ -151,15 +151,30 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b")
 
 
-#: Members of a hub up to which its pairs are simply all compared.
-_FEW = 12
+#: Members of a hub up to which its pairs are simply all compared; members that a larger group's centre is judged by.
+_FEW, _JURY = 12, 48
+
+
+def _centred(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """grp, hub: of each large group the member nearest to what most of a jury of its members hold. Any choice is sound; a near one leaves few common differences."""
+    large = held.groupBy("grp").agg(F.count("*").alias("m")).filter(F.col("m") > _FEW).select("grp")
+    members = held.join(large, "grp").select("grp", "rep")
+    turn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep"))
+    x = sets.select(F.col("doc_id").alias("rep"), "set")
+    jury = members.withColumn("turn", turn).filter(F.col("turn") <= _JURY).join(x, "rep")
+    size = jury.groupBy("grp").agg(F.count("*").alias("size"))
+    votes = jury.select("grp", F.explode("set").alias("elem")).groupBy("grp", "elem").agg(F.count("*").alias("n"))
+    common = votes.join(size, "grp").filter("2 * n > size").groupBy("grp").agg(F.collect_list("elem").alias("common"))
+    both = F.size(F.array_intersect("set", "common"))
+    near = members.join(x, "rep").join(common, "grp").select("grp", "rep", (both / (F.size("set") + F.size("common") - both)).alias("near"))
+    return near.groupBy("grp").agg(F.max_by("rep", F.struct("near", -F.col("rep"))).alias("hub"))
 
 
 def _across(part_of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links a, b between members of one band key that are in different parts: key, rep, part.
 
-    A key's hub is the part with most members there, by its smallest document L.
-    For a set x write r for how much of L it lacks. Two sets x and y then share
+    Keys with the same largest part make a group; its hub L is one document of
+    it, the smallest of that part or one in the middle of a large group. For a set x write r for how much of L it lacks. Two sets x and y then share
     |L| - r(x) - r(y) elements and as many more as their differences from L have
     in common. If x isn't linked to L, it follows that x and y can be linked only
     if these differences share at least
@@ -168,24 +183,28 @@ def _across(part_of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     as leave fewer than t out; members that meet at none of them can't be linked.
     Copies that each changed other words meet nowhere, however many they are.
     """
-    most = part_of.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("hub"), F.count("*").alias("parts")).filter("parts > 1").select("key", "hub")
-    held = settle(part_of.join(most, "key").filter("rep <> hub").select("hub", "rep", "part").distinct(), "hubs")
+    most = part_of.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("grp"), F.count("*").alias("parts")).filter("parts > 1").select("key", "grp")
+    held = part_of.join(most, "key").select("grp", "rep", "part").unionByName(most.select("grp", F.col("grp").alias("rep"), F.col("grp").alias("part"))).distinct()
+    held = settle(held, "groups")
+    hubs = held.select("grp").distinct().join(_centred(held, sets), "grp", "left").select("grp", F.coalesce("hub", "grp").alias("hub"))
+    hubs = hubs.join(held.select("grp", F.col("rep").alias("hub"), F.col("part").alias("main")), ["grp", "hub"])
+    held = settle(held.join(hubs, "grp").filter("rep <> hub").select("hub", "main", "rep", "part").distinct(), "hubs")
     x = sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("sx"))
     centre = sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("sl"))
     lack, add = F.array_except("sl", "sx"), F.array_except("sx", "sl")
-    facts = held.join(x, "rep").join(centre, "hub").select("hub", "rep", "part", F.size("sx").alias("n"), F.size("sl").alias("nl"), F.size(lack).alias("r"), F.concat(lack, add).alias("diff"))
+    facts = held.join(x, "rep").join(centre, "hub").select("hub", "main", "rep", "part", F.size("sx").alias("n"), F.size("sl").alias("nl"), F.size(lack).alias("r"), F.concat(lack, add).alias("diff"))
     union = F.col("n") + F.col("r")
     linked = 100 * (F.col("nl") - F.col("r")) >= percent * union
     need = F.greatest(F.lit(1), F.ceil((percent * (F.col("n") + F.col("nl")) + (100 + percent) * (F.col("r") - F.col("nl"))) / 100)).cast("int")
-    facts = settle(facts.select("hub", "rep", "n", linked.alias("linked"), F.when(linked | (F.col("part") == F.col("hub")), F.col("hub")).otherwise(F.col("part")).alias("part"), (F.size("diff") - need + 1).alias("keep"), "diff"), "differences")
+    facts = settle(facts.select("hub", "main", "rep", "n", linked.alias("linked"), F.when(linked, F.col("main")).otherwise(F.col("part")).alias("part"), (F.size("diff") - need + 1).alias("keep"), "diff"), "differences")
 
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    sizes = facts.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(F.col("part") != F.col("hub")).alias("open")).filter("open > 0")
-    left = lambda df: df.filter("part <> hub").select("hub", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), *[c for c in df.columns if c == "elem"])
+    sizes = facts.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(F.col("part") != F.col("main")).alias("open")).filter("open > 0")
+    left = lambda df: df.filter("part <> main").select("hub", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), *[c for c in df.columns if c == "elem"])
     right = lambda df: df.select("hub", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), *[c for c in df.columns if c == "elem"])
 
     few = facts.drop("diff").join(sizes.filter(F.col("m") <= _FEW), "hub")
-    many = facts.join(sizes.filter(F.col("m") > _FEW).select("hub"), "hub").select("hub", "rep", "n", "part", "keep", F.explode("diff").alias("elem"))
+    many = facts.join(sizes.filter(F.col("m") > _FEW).select("hub"), "hub").select("hub", "main", "rep", "n", "part", "keep", F.explode("diff").alias("elem"))
     many = settle(many, "indexed")
     often = many.groupBy("hub", "elem").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("df", "elem"))
