@@ -18,7 +18,7 @@ from pressloom.llm.shared import settle
 BLOCK, GROUP = 4096, 1024
 #: Vectors that the pivots of the cells are chosen from, and the most pivots.
 SAMPLE, PIVOTS = 2048, 64
-_LEAF = 48
+_LEAF, _FAN = 64, 12
 #: Room for rounding in bounds; scores themselves are whole numbers.
 _SLACK = 1e-6
 
@@ -34,18 +34,21 @@ class Node:
 
 
 def cover_tree(vectors: np.ndarray, leaf: int = _LEAF) -> Node:
-    """A cover tree, radii halved from level to level, down to leaves or equal rows."""
+    """A cover tree down to leaves or equal rows.
 
-    def build(rows: np.ndarray, at: int, far: np.ndarray, reach: float) -> Node:
+    A level's centres are chosen farthest first until they cover the node within
+    half its radius, or, where rows are far from each other as in many dimensions,
+    until there are _FAN of them; they are then apart by the radius they cover with.
+    """
+
+    def build(rows: np.ndarray, at: int, far: np.ndarray) -> Node:
         radius = float(far.max())
         node = Node(rows, vectors[at], radius, [])
         if len(rows) <= leaf or radius == 0:
             return node
-        while reach >= radius:
-            reach /= 2
-        # a net of the rows, `reach` apart: the farthest row joins until all are covered
+        reach = radius / 2
         centres, owner, near = [at], np.zeros(len(rows), np.int64), far.copy()
-        while near.max() > reach:
+        while near.max() > reach and len(centres) < _FAN:
             k = int(near.argmax())
             d = np.linalg.norm(vectors[rows] - vectors[rows[k]], axis=1)
             closer = d < near
@@ -53,12 +56,12 @@ def cover_tree(vectors: np.ndarray, leaf: int = _LEAF) -> Node:
             centres.append(int(rows[k]))
         for c, centre in enumerate(centres):
             mine = owner == c
-            node.children.append(build(rows[mine], centre, near[mine], reach / 2))
+            node.children.append(build(rows[mine], centre, near[mine]))
         return node
 
     rows = np.arange(len(vectors))
     far = np.linalg.norm(vectors - vectors[0], axis=1)
-    return build(rows, 0, far, float(far.max()) or 1.0)
+    return build(rows, 0, far)
 
 
 def dual_search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, qt: Node, pt: Node, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,12 +190,19 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
                 at, rank = np.nonzero(best > -np.inf)
                 yield pd.DataFrame({"gcell": row.gcell, "gblock": row.gblock, "query_id": q_ids[at], "vec_id": ids[at, rank], "score": best[at, rank].astype(np.int64)})
 
+    # a pair of blocks is seconds of work in a few bytes: it is dealt by itself, not by what its bytes would fill
+    tasks = min(2000, max(1, groups.count() * parts.count()))
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        dealt = pairs.repartition(tasks, "gcell", "gblock", "cell", "block")
+        return dealt.select("gcell", "gblock", "group", "floors", "packed").mapInPandas(search, found)
+
     found = "gcell int, gblock long, query_id long, vec_id long, score long"
     named = groups.select(F.col("cell").alias("gcell"), F.col("block").alias("gblock"), F.col("packed").alias("group"))
     homes = F.element_at(F.array(*[F.lit(int(h)) for h in home]), F.col("gcell") + 1)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = named.withColumn("cell", homes).withColumn("floors", F.lit(None).cast("binary")).join(parts, "cell")
-    first = settle(first.select("gcell", "gblock", "group", "floors", "packed").mapInPandas(search, found).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k), "near")
+    first = settle(searched(first).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k), "near")
     kth = first.groupBy("gcell", "gblock", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).filter(F.col("n") == k)
     kth = kth.groupBy("gcell", "gblock").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "worst"))).alias("worst"))
 
@@ -210,7 +220,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
                         yield pd.DataFrame({"gcell": [row.gcell], "gblock": [row.gblock], "cell": [int(cell)], "floors": [floors.tobytes()]})
 
     to = named.join(kth, ["gcell", "gblock"], "left").mapInPandas(route, "gcell int, gblock long, cell int, floors binary")
-    rest = named.join(to, ["gcell", "gblock"]).join(parts, "cell").select("gcell", "gblock", "group", "floors", "packed").mapInPandas(search, found)
+    rest = searched(named.join(to, ["gcell", "gblock"]).join(parts, "cell"))
     every = first.select("query_id", "vec_id", "score").unionByName(rest.select("query_id", "vec_id", "score"))
     ranked = every.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
