@@ -18,7 +18,7 @@ from pressloom.llm.shared import settle
 BLOCK, GROUP = 4096, 1024
 #: Vectors that the pivots of the cells are chosen from, and the most pivots.
 SAMPLE, PIVOTS = 2048, 64
-_LEAF, _FAN = 64, 12
+_LEAF, _FAN = 512, 12
 #: Room for rounding in bounds; scores themselves are whole numbers.
 _SLACK = 1e-6
 

@@ -49,3 +49,14 @@ def test_cover_tree_covers_and_separates():
 
     visit(topk.cover_tree(x))
     assert not topk.cover_tree(np.ones((500, 3))).children
+
+
+def test_dual_search_over_deep_trees():
+    rng = np.random.default_rng(5)
+    p = np.floor(np.concatenate([rng.normal(size=(400, 6)) * 9 + c for c in rng.normal(size=(5, 6)) * 60] + [np.zeros((90, 6))]))
+    q, ids = p[::17], np.arange(len(p))
+    best, got = topk.dual_search(q, ids[::17], p, ids, topk.cover_tree(q, 8), topk.cover_tree(p, 8), 5, np.full(len(q), -np.inf))
+    for i, row in enumerate(q @ p.T):
+        row[ids[::17][i]] = -np.inf
+        want = np.lexsort((ids, -row))[:5]
+        assert got[i].tolist() == want.tolist() and best[i].tolist() == row[want].tolist()
