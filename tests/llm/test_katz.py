@@ -1,10 +1,13 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pressloom.llm import katz
+from pressloom.llm.shared import fold, texts
 
 TEXTS = ["the cat sat on the mat", "the cat ran", "a dog sat on a log", "", None, "The CAT sat", "zebra zebra quagga", "the the the the the the the the dog", "on a log the dog sat\non the mat"]
 
@@ -85,3 +88,31 @@ def test_long_text_and_repeated_rows(spark):
     rows = katz.katz_scores(df).collect()
     assert sorted(r["n_tokens"] for r in rows) == [3, 3, 3, 100_001]
     assert all(r["score"] <= 0 for r in rows)
+
+
+@pytest.mark.parametrize("most", [3, 12, 40])
+def test_hot_words_and_bigrams(spark, most):
+    """A word with a third of the tokens, bigrams of it, and the end of every text are dealt to several groups; scores stay."""
+    lines = [" ".join(("top" if (i + k) % 3 == 0 or (i % 5 == 0 and k % 4) else f"w{(i * k) % 17}") for k in range(i % 9)) for i in range(80)]
+    rows = [(i, t, "x") for i, t in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(7)
+    want, *_ = brute(rows)
+    got = {r["doc_id"]: tuple(r)[1:] for r in katz.katz_scores(df, buckets=3, most=most).collect()}
+    assert got.keys() == want.keys()
+    for d in want:
+        assert got[d][:4] == want[d][:4]
+        assert got[d][4:] == pytest.approx(want[d][4:], abs=1e-6)
+
+
+def test_no_group_holds_a_whole_hot_word(spark):
+    """Of 12000 tokens a third are one word, a ninth one bigram: no group has more than a few times `most`."""
+    rng = random.Random(1)
+    rows = [(i, " ".join("top" if rng.random() < 0.35 else f"w{rng.randrange(900)}" for _ in range(60))) for i in range(200)]
+    df = texts(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("train", fold(F.col("doc_id"), 10) != 0).repartition(40)
+    hot, buckets = katz._hot(df, 400, 16)
+    assert {h.before is None for h in hot} == {True, False}
+    sizes = Counter()
+    for r in df.mapInPandas(katz._occurrences(buckets, hot), "bucket int, batch long, blob binary").filter("bucket >= 0").collect():
+        sizes[r["bucket"]] += int(katz._spread(r["blob"], "<u8", "<u4", "<u2", "u1")[1].sum())
+    assert sum(sizes.values()) == 200 * 61
+    assert max(sizes.values()) < 4 * 400
