@@ -19,6 +19,7 @@ _TEXT = T.StringType()
 _LINK = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("url", _TEXT), T.StructField("title", _TEXT)])
 _POST = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("text", _TEXT)])
 _DATES = T.StructType([T.StructField(n, _TEXT) for n in ("jsonld", "meta", "time", "text")])
+_AUTHORS = T.StructType([T.StructField(n, T.ArrayType(_TEXT)) for n in ("named", "signed")])
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "noscript", "template"}
 _BLOCK = {"p", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "br", "header", "footer", "nav", "aside", "ul", "ol", "table"}
@@ -33,6 +34,8 @@ class _Page(HTMLParser):
         self.found: list[tuple[str, dict, str]] = []
         self.paragraphs: list[tuple[str, set[str]]] = []
         self.scripts: list[str] = []
+        self.pieces: list[str] = []
+        self.blocks: list[list[str]] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -42,6 +45,8 @@ class _Page(HTMLParser):
             self.found.append((tag, a, ""))
         else:
             self.open.append((tag, a, []))
+            if tag in ("p", "div", "span", "small"):
+                self.blocks.append(self.open[-1][2])
 
     def handle_startendtag(self, tag, attrs):
         self.found.append((tag, {k: v or "" for k, v in attrs}, ""))
@@ -65,6 +70,7 @@ class _Page(HTMLParser):
             return
         if any(t in _SILENT for t, _, _ in self.open):
             return
+        self.pieces.append(data)
         for _, _, parts in self.open:
             parts.append(data)
 
@@ -169,8 +175,30 @@ AUTHOR_PLACES = [
 DATE_PLACES = ["article:published_time", "datePublished", "og:published_time", "pubdate", "publishdate", "date", "DC.date.issued", "sailthru.date", "parsely-pub-date"]
 
 
-@F.pandas_udf(T.ArrayType(_TEXT))
-def _author_candidates(html: pd.Series) -> pd.Series:
+_LETTERS = "[A-ZÉÈÊÀÂÔÇа-яёА-ЯЁa-zéèêàâôç]+"
+_BYLINE = re.compile(rf"\b(?:par|by|автор:?)\s+({_LETTERS}(?:[\s\-]{_LETTERS}){{0,4}})", re.I)
+_NAME = r"[A-ZÉÈÊÀÂÔÇ][A-ZÉÈÊÀÂÔÇa-zéèêàâôç\-']{2,}"
+_SIGNATURE = re.compile(rf"\b({_NAME}(?:\s+{_NAME}){{0,3}})\s*/\s*AGP\b")
+
+
+def _spaced(parts: list[str]) -> str:
+    return " ".join(x.strip() for x in parts if x.strip())
+
+
+def _bylines(page: _Page) -> list[str]:
+    """Names after 'by' in short elements among a page's first 20 (the rule's own bound: it looks at the beginning)."""
+    texts = [t for t in map(_spaced, page.blocks[:20]) if 4 <= len(t) <= 300]
+    return [m.strip() for t in texts for m in _BYLINE.findall(t) if 5 <= len(m.strip()) <= 50 and " " in m.strip()]
+
+
+def _signatures(page: _Page) -> list[str]:
+    """Names that sign for the agency AGP, those in the last 1500 characters first."""
+    text = _spaced(page.pieces)
+    return [m.strip() for part in (text[-1500:], text) for m in _SIGNATURE.findall(part)]
+
+
+@F.pandas_udf(_AUTHORS)
+def _author_candidates(html: pd.Series) -> pd.DataFrame:
     def one(h):
         page = read(h)
         out = [n for d in _json(page.scripts) for n in _people(d)]
@@ -178,16 +206,16 @@ def _author_candidates(html: pd.Series) -> pd.Series:
             for t, a, text in page.found:
                 if t == tag and (re.search(value, a.get(attr, ""), re.I) if attr == "class" else a.get(attr) == value):
                     out.append(a.get("content", "") if tag == "meta" else text)
-        body = " ".join(t for t, _ in page.paragraphs)
-        out += [m for m in re.findall(r"(?:\bpar|\bby|автор:?)\s+([A-ZА-ЯЁÉ][\w\-']+(?:\s+[A-ZА-ЯЁÉ][\w\-']+){1,3})", body)][:3]
-        return [x for x in out if x]
+        return [x for x in out + _bylines(page) if x], _signatures(page)
 
-    return pd.Series([one(h) for h in html])
+    return pd.DataFrame([one(h) for h in html], columns=["named", "signed"])
 
 
 def page_author(html: Column, source: Column) -> Column:
-    """The first candidate that, cleaned, names a person."""
-    cleaned = F.transform(_author_candidates(html), clean_author)
+    """The first candidate that, cleaned, names a person: JSON-LD, elements, 'by X', the signature at the end; the signature first where the source is its agency."""
+    c = _author_candidates(html)
+    own = F.contains(F.lower(source), F.lit("agp"))
+    cleaned = F.transform(F.when(own, F.concat(c["signed"], c["named"])).otherwise(F.concat(c["named"], c["signed"])), clean_author)
     return F.get(F.filter(cleaned, lambda a: a.isNotNull() & ~bad_author(a, source)), F.lit(0))
 
 

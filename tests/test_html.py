@@ -46,3 +46,15 @@ def test_posts(spark):
 def test_broken_pages(spark):
     for h in (None, "", "<", "<p><div></p></b>", "<script>if (a < b) {</script><p>x"):
         one(spark, html.main_text(F.col("html")), html=h or "")
+
+
+def test_author_bylines_and_signatures(spark):
+    author = lambda h, source="S": one(spark, html.page_author(F.col("html"), F.col("source")), html=h, source=source)
+    assert author("<p>By Jane Doe</p>") == "Jane Doe"
+    assert author("<p>Par<b>Jean Dupont</b></p><p>Text.</p>") == "Jean Dupont"
+    assert author("<p>" + "x " * 200 + "by Long Paragraph</p>") is None
+    assert author("".join(f"<p>by Outlet {x}</p>" for x in ("One", "Two", "Three")) + "<p>by Jane Doe</p>", "Outlet") == "Jane Doe"
+    signed = '<meta name="author" content="Wire Desk"><p>Text of it.</p><p>Roger MOUSSAVOU/AGP</p>'
+    assert author(signed) == "Wire Desk"
+    assert author(signed, "AGP Gabon") == "Roger MOUSSAVOU"
+    assert author("<p>Text of it.</p><p>Roger MOUSSAVOU / AGP</p>") == "Roger MOUSSAVOU"
