@@ -218,9 +218,11 @@ def ml05(spark, sf_dir):
 
 @query("ml04")
 def ml04(spark, sf_dir):
-    """Centroids of even vectors, matched one to one with the registry."""
-    x = _vectors(spark, sf_dir).filter("vec_id % 2 = 0 AND label > 0").select("label", F.posexplode("vec").alias("p", "x")).groupBy("label", "p").agg(F.avg("x").alias("x"))
-    new = x.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("c")).select(F.lit("global").alias("scope"), F.col("label").cast("int").alias("i"), F.transform("c", lambda s: s["x"]).alias("centroid"))
+    """Centroids of all labelled vectors by label and support (video, text, no document), matched one to one with the registry."""
+    support = articles(spark, sf_dir).groupBy(F.col("doc_id").alias("vec_id")).agg(F.when(F.min("source_kind").isin("youtube", "tv"), 1).otherwise(2).alias("support"))
+    place = F.coalesce("support", F.lit(0))
+    x = _vectors(spark, sf_dir).filter("label > 0").join(support, "vec_id", "left").select((F.col("label") * 10 + place).cast("int").alias("i"), F.posexplode("vec").alias("p", "x")).groupBy("i", "p").agg(F.avg("x").alias("x"))
+    new = x.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("c")).select(F.lit("global").alias("scope"), "i", F.transform("c", lambda s: s["x"]).alias("centroid"))
     return topics.greedy_match(new, registry(spark, sf_dir).withColumn("portee", F.lit("global")), 0.62).withColumn("sim", F.round("sim", 6))
 
 

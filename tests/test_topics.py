@@ -53,3 +53,15 @@ def test_weights_sum_to_strata(spark):
     assert [total(s) for s in ("raw", "source", "family", "block", "family_source")] == [20, 4, 3, 2, 3]
     n = weights.denominators(weights.weighted(df.withColumn("content", df["source_name"]), "raw")).first()["n_eff"]
     assert n == 20
+
+
+def test_all_labelled_vectors_are_matched(spark, tmp_path):
+    """Topics whose vectors all have odd ids, with a document of either support or none, are matched as well."""
+    from pressloom.queries import QUERIES
+
+    rows = [(1, [1.0, 0.0], 1), (3, [0.8, 0.6], 1), (5, [0.0, 1.0], 2), (2, [-1.0, 0.0], 3), (7, [0.5, 0.5], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(1, "a b", "en", "src0"), (3, "c d", "en", "src2"), (2, "e", "en", "src2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["topic_key"]: r["sim"] for r in QUERIES["ml04"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.948683, 2: 1.0, 3: 1.0}
