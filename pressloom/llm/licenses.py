@@ -67,8 +67,8 @@ def scan(docs: DataFrame, more: list[tuple[str, str]] = ()) -> DataFrame:
 
     whole_licence names the licence whose digest the entire text has, if any;
     n_notices counts the text's lines that are
-    in full a known text of one line (up to twice the longest one's length, to
-    leave room for punctuation); notices names their licences, sorted. Null, empty or unlettered text: the digest of the
+    in full a known text of one line, whatever punctuation and white space
+    surround it; notices names their licences, sorted. Null, empty or unlettered text: the digest of the
     empty text, no licence. Repeated rows and null ids keep their rows. Other
     columns are ignored.
     """
@@ -76,9 +76,7 @@ def scan(docs: DataFrame, more: list[tuple[str, str]] = ()) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = rows.withColumn("text_digest", digest(F.col("text"))).join(small.select(F.col("licence").alias("whole_licence"), F.col("digest").alias("text_digest")), "text_digest", "left")
     notices = [(name, body) for name, body in [*KNOWN, *more] if "\n" not in body]
-    # constant: Spark folds the digests of the notices when it plans
-    names = F.map_from_entries(F.array_distinct(F.array(*[F.struct(digest(F.lit(body)), F.lit(name)) for name, body in notices])))
-    longest = max(len(body) for _, body in notices)
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= 2 * longest) & F.lower(x).rlike("licen[cs]"))
-    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(names, digest(x))), lambda x: x.isNotNull())
+    # constant: Spark folds the canonical notices when it plans
+    names = F.map_from_entries(F.array_distinct(F.array(*[F.struct(canonical(F.lit(body)), F.lit(name)) for name, body in notices])))
+    hits = F.filter(F.transform(F.split("text", "\n"), lambda x: F.try_element_at(names, canonical(x))), lambda x: x.isNotNull())
     return whole.withColumn("hits", hits).select("doc_id", "text_digest", "whole_licence", F.size("hits").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"))

@@ -27,3 +27,10 @@ def test_awkward_and_empty(spark):
 def test_plan_has_no_python(spark):
     plan = licenses.scan(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_notices_in_banners_and_without_the_word(spark):
+    lines = ["/*" + "*" * 400 + " Released under the MIT License. " + "*" * 400 + "*/", " " * 500 + "# Licensed under CC BY 4.0.", "Dedicated to the public domain!"]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "en", "a", 1, 1.0, "x")], SCHEMA)
+    row = licenses.scan(docs, more=[("PD", "Dedicated to the public domain.")]).first()
+    assert (row["n_notices"], row["notices"]) == (3, "CC-BY-4.0,MIT,PD")
