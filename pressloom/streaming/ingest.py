@@ -1,4 +1,4 @@
-"""Incremental ingestion: deduplicated rows, windows, sessions, registry state."""
+"""Incremental ingestion: deduplicated rows, windows, sessions."""
 
 from __future__ import annotations
 
