@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressloom.llm.shared import settle, texts
+from pressloom.llm.shared import Scratch, fresh_name, settle, texts
 from pressloom.llm.textkit import mix, shingles
 
 #: Elements whose permutations are held at a time.
@@ -59,6 +59,11 @@ def bands_for(similarity: float, rows: int = 5, miss: float = 1e-7) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(similarity**rows)))
 
 
+def _class(s: np.ndarray) -> int:
+    """A set's name, as a signed 64-bit number."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+
+
 def _features(n: int, rows: int, bands: int):
     m = rows * bands
 
@@ -82,15 +87,26 @@ def _features(n: int, rows: int, bands: int):
                     if len(s):
                         keys[at + i] = key[i].view(np.int64)
                 at = to
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "print": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "bands": keys})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "class": [_class(s) for s in sets], "bands": keys})
 
     return run
 
 
 def _sets(n: int):
+    """class, set: the rows of a doc_id stand together; of its texts the one that its class was named by counts, once."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, done = None, set()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [shingles(t, n).view(np.int64) for t in pdf["text"]]})
+            out = []
+            for d, text, named in zip(pdf["doc_id"], pdf["text"], pdf["class"], strict=True):
+                if d != last:
+                    last, done = d, set()
+                s = shingles(text, n)
+                if named not in done and _class(s) == named:
+                    done.add(named)
+                    out.append((named, s.view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "set"])
 
     return run
 
@@ -116,7 +132,7 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(x, r) for x in parent if (r := find(x)) != x], columns=["a", "b"]).astype("int64")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, component: the smallest node that links a, b reach; nodes without links are left out.
 
     Local union-find shrinks each partition to a forest. Then large-star and
@@ -125,6 +141,7 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. Minima are aggregated before they are joined,
     so that a node with very many links makes no large group.
     """
+    settle = (scratch or Scratch(edges.sparkSession)).settle
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     edges = settle(edges.mapInPandas(_forest, "a long, b long").distinct(), "forest")
     before = None
@@ -151,69 +168,79 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b")
 
 
-#: Members of a hub up to which its pairs are simply all compared; members that a larger group's centre is judged by.
-_FEW, _JURY = 12, 48
+#: Rounds of stars before the exact comparison across parts; they only save it work.
+_ROUNDS = 3
+
+
+def _centres(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """part, centre: of each component of two documents or more the one with the most links found so far."""
+    degrees = links.groupBy("a").count().unionByName(links.groupBy(F.col("b").alias("a")).count()).groupBy("a").agg(F.sum("count").alias("n"))
+    named = degrees.join(parts, degrees["a"] == parts["node"], "left").select(F.coalesce("component", "a").alias("part"), "a", "n")
+    return named.groupBy("part").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("centre"))
 
 
-def _centred(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """grp, hub: of each large group the member nearest to what most of a jury of its members hold. Any choice is sound; a near one leaves few common differences."""
-    large = held.groupBy("grp").agg(F.count("*").alias("m")).filter(F.col("m") > _FEW).select("grp")
-    members = held.join(large, "grp").select("grp", "rep")
-    turn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep"))
-    x = sets.select(F.col("doc_id").alias("rep"), "set")
-    jury = members.withColumn("turn", turn).filter(F.col("turn") <= _JURY).join(x, "rep")
-    size = jury.groupBy("grp").agg(F.count("*").alias("size"))
-    votes = jury.select("grp", F.explode("set").alias("elem")).groupBy("grp", "elem").agg(F.count("*").alias("n"))
-    common = votes.join(size, "grp").filter("2 * n > size").groupBy("grp").agg(F.collect_list("elem").alias("common"))
-    both = F.size(F.array_intersect("set", "common"))
-    near = members.join(x, "rep").join(common, "grp").select("grp", "rep", (both / (F.size("set") + F.size("common") - both)).alias("near"))
-    return near.groupBy("grp").agg(F.max_by("rep", F.struct("near", -F.col("rep"))).alias("hub"))
+def _mixed_keys(part_of: DataFrame) -> DataFrame:
+    """key, main: of each band key whose members are in several parts the part with the most of them."""
+    sizes = part_of.groupBy("key", "part").agg(F.count("*").alias("c"))
+    return sizes.groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
 
 
-def _across(part_of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _stars(part_of: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs a < b: each member outside its key's main part with that part's centre, and with the smallest other such member if their parts differ."""
+    outside = part_of.join(_mixed_keys(part_of), "key").filter("part <> main")
+    to_centre = outside.join(centres.withColumnRenamed("part", "main"), "main").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    least = outside.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("part", "rep").alias("of"))
+    to_lead = outside.join(least, "key").filter("part <> of").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    pairs = to_centre.unionByName(to_lead).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(part_of: DataFrame, centres: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links a, b between members of one band key that are in different parts: key, rep, part.
 
-    Keys with the same largest part make a group; its hub L is one document of
-    it, the smallest of that part or one in the middle of a large group. For a set x write r for how much of L it lacks. Two sets x and y then share
-    |L| - r(x) - r(y) elements and as many more as their differences from L have
-    in common. If x isn't linked to L, it follows that x and y can be linked only
-    if these differences share at least
-        t(x) = (percent * (|x| + |L|) + (100 + percent) * (r(x) - |L|)) / 100 > 0
-    elements. So each member is indexed by the rarest of its differences, as many
-    as leave fewer than t out; members that meet at none of them can't be linked.
-    Copies that each changed other words meet nowhere, however many they are.
+    Keys with the same main part make a group; its hub L is that part's centre.
+    Of a set x write r for how much of L it lacks, a for how much it adds, and
+    w = 100 r + percent a. Two sets share |L| - r(x) - r(y) elements and as many
+    more, D, as their differences from L have in common. So they are linked if
+    and only if
+        (100 + percent) D >= w(x) + w(y) - (100 - percent) |L|.
+    As D can't exceed what either differs by, D is at least
+        (w(y) - (100 - percent) |L|) / 100 whatever the partner, and at least
+        (2 w(x) - (100 - percent) |L|) / (100 + percent) if the partner weighs no less.
+    Each member is entered under its rarest differences, as many as leave fewer
+    than that out: few where it is the lighter of a pair, more where it is the
+    heavier. Pairs that meet at one whose place leaves room for D are compared in
+    full, and no other pair can be linked. Copies that each changed other words
+    meet nowhere, however many they are; members of one part are never paired.
     """
-    most = part_of.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("grp"), F.count("*").alias("parts")).filter("parts > 1").select("key", "grp")
-    held = part_of.join(most, "key").select("grp", "rep", "part").unionByName(most.select("grp", F.col("grp").alias("rep"), F.col("grp").alias("part"))).distinct()
-    held = settle(held, "groups")
-    hubs = held.select("grp").distinct().join(_centred(held, sets), "grp", "left").select("grp", F.coalesce("hub", "grp").alias("hub"))
-    hubs = hubs.join(held.select("grp", F.col("rep").alias("hub"), F.col("part").alias("main")), ["grp", "hub"])
-    held = settle(held.join(hubs, "grp").filter("rep <> hub").select("hub", "main", "rep", "part").distinct(), "hubs")
+    held = part_of.join(_mixed_keys(part_of), "key").select(F.col("main").alias("grp"), "rep", "part").distinct()
+    held = held.join(centres.withColumnRenamed("part", "grp"), "grp", "left").select(F.coalesce("centre", "grp").alias("hub"), (F.col("part") == F.col("grp")).alias("inner"), "rep", "part")
     x = sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("sx"))
     centre = sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("sl"))
     lack, add = F.array_except("sl", "sx"), F.array_except("sx", "sl")
-    facts = held.join(x, "rep").join(centre, "hub").select("hub", "main", "rep", "part", F.size("sx").alias("n"), F.size("sl").alias("nl"), F.size(lack).alias("r"), F.concat(lack, add).alias("diff"))
-    union = F.col("n") + F.col("r")
-    linked = 100 * (F.col("nl") - F.col("r")) >= percent * union
-    need = F.greatest(F.lit(1), F.ceil((percent * (F.col("n") + F.col("nl")) + (100 + percent) * (F.col("r") - F.col("nl"))) / 100)).cast("int")
-    facts = settle(facts.select("hub", "main", "rep", "n", linked.alias("linked"), F.when(linked, F.col("main")).otherwise(F.col("part")).alias("part"), (F.size("diff") - need + 1).alias("keep"), "diff"), "differences")
-
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    sizes = facts.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(F.col("part") != F.col("main")).alias("open")).filter("open > 0")
-    left = lambda df: df.filter("part <> main").select("hub", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), *[c for c in df.columns if c == "elem"])
-    right = lambda df: df.select("hub", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), *[c for c in df.columns if c == "elem"])
-
-    few = facts.drop("diff").join(sizes.filter(F.col("m") <= _FEW), "hub")
-    many = facts.join(sizes.filter(F.col("m") > _FEW).select("hub"), "hub").select("hub", "main", "rep", "n", "part", "keep", F.explode("diff").alias("elem"))
-    many = settle(many, "indexed")
-    often = many.groupBy("hub", "elem").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("df", "elem"))
-    many = many.join(often, ["hub", "elem"]).withColumn("at", order).filter((F.col("at") <= F.col("keep")) & (F.col("df") > 1))
-    pairs = left(few).join(right(few), "hub").filter((F.col("pa") != F.col("pb")) & near).select("a", "b")
-    pairs = pairs.unionByName(left(many).join(right(many), ["hub", "elem"]).filter((F.col("pa") != F.col("pb")) & near).select("a", "b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = facts.filter("linked").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    return _confirm(pairs, sets, percent).unionByName(stars)
+    facts = held.join(x, "rep").join(centre, "hub").select("hub", "inner", "rep", "part", F.size(lack).alias("r"), F.size(add).alias("a"), F.concat(lack, add).alias("diff"), ((100 - percent) * F.size("sl")).alias("room"))
+    facts = facts.withColumns({"w": 100 * F.col("r") + percent * F.col("a"), "d": F.size("diff")})
+    heavy = F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("room")) / 100)).cast("int")
+    light = F.greatest(heavy, F.ceil((2 * F.col("w") - F.col("room")) / (100 + percent)).cast("int"))
+    facts = scratch.settle(facts.withColumns({"heavy": F.col("d") - heavy + 1, "light": F.col("d") - light + 1}), "differences")
+    near = facts.filter("NOT inner AND w <= room").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+
+    indexed = facts.select("hub", "inner", "rep", "part", "w", "r", "a", "d", "room", "heavy", "light", F.explode("diff").alias("elem"))
+    met = indexed.groupBy("hub", "elem").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).filter("df > 1")
+    indexed = indexed.join(met.select("hub", "elem", "df", (F.col("low") < F.col("high")).alias("several")), ["hub", "elem"])
+    own = Window.partitionBy("hub", "rep")
+    at = F.row_number().over(own.orderBy("df", "elem")) + F.col("d") - F.count("*").over(own)  # differences that no other member has come first
+    indexed = scratch.settle(indexed.withColumn("at", at.cast("int")).filter("several AND at <= heavy").drop("df", "several", "heavy"), "indexed")
+    side = lambda df, s, *more: df.select("hub", "elem", *more, *[F.col(c).alias(c + s) for c in ("rep", "part", "w", "r", "a", "d", "at")])
+    meets = F.explode(F.when(F.col("inner"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))  # what members of the main part needn't meet is itself
+    lighter, heavier = side(indexed.filter("at <= light"), "1", meets.alias("inner")), side(indexed, "2", "inner", "room")
+    need = F.col("w1") + F.col("w2") - F.col("room")
+    ordered = (F.col("w1") < F.col("w2")) | (F.col("w1") == F.col("w2")) & (F.col("rep1") < F.col("rep2"))
+    shared = F.least("r1", "r2") + F.least("a1", "a2")
+    left = 1 + F.least(F.col("d1") - F.col("at1"), F.col("d2") - F.col("at2"))
+    pairs = lighter.join(heavier, ["hub", "elem", "inner"]).filter((F.col("part1") != F.col("part2")) & ordered & ((100 + percent) * F.least(shared, left) >= need))
+    pairs = pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+    return _confirm(pairs, sets, percent).unionByName(near)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -223,44 +250,67 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     their sets of word shingles. Rows with equal sets become one class first,
     so copies never make pairs. Classes that share a band are compared with the
     smallest of that band (a star, not all pairs); what is then in one component
-    needs no more comparing. Pairs of different components that share a band are
-    then either confirmed on their full sets or ruled out by what they differ in
-    from their band's largest component (see _across), which is exact. Bands are
-    chosen so that a pair at the threshold shares none with probability 1e-7.
+    needs no more comparing. Stars around each component's centre and around the
+    rest of each band follow while they find links, a few rounds at most. Pairs
+    of different components that still share a band are either confirmed on
+    their full sets or ruled out by what they differ in from the centre of their
+    band's largest component (see _across), which is exact. Bands are chosen so
+    that a pair at the threshold shares none with probability 1e-7.
 
     Null or empty text: n_shingles 0, linked with nothing. Rows that repeat a
-    doc_id are one node. A null doc_id: component_id null, kept true. Other
+    doc_id are one document, linked by each of their texts. A null doc_id: component_id null, kept true. Other
     columns of docs are ignored.
     """
     plain = texts(docs)
     bands = bands_for(percent / 100)
-    features = settle(plain.mapInPandas(_features(words, 5, bands), "doc_id long, n_shingles long, print string, bands array<long>"), "shingled")
-    classes = settle(features.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    features = settle(plain.mapInPandas(_features(words, 5, bands), "doc_id long, n_shingles long, class long, bands array<long>"), "shingled")
+    known = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    scratch = Scratch(docs.sparkSession)
 
-    members = classes.select("rep", F.explode("bands").alias("key"))
+    classes = settle(known.groupBy("class").agg(F.min("doc_id").alias("first")), "classes")
+    members = known.groupBy("class").agg(F.any_value("bands").alias("bands")).select(F.col("class").alias("rep"), F.explode("bands").alias("key")).repartition("key")
     lead = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("key", "lead")
-    members = settle(members.join(lead, "key"), "members")
-    involved = members.select("rep").distinct()
-    sets = settle(plain.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id").mapInPandas(_sets(words), "doc_id long, set array<long>"), "sets")
+    members = scratch.settle(members.join(lead, "key"), "members")
+    involved = scratch.settle(members.select(F.col("rep").alias("class")).distinct().join(classes, "class").select("class", F.col("first").alias("doc_id")), "involved")
+    # merged at every size: a broadcast of ids would move texts only where there are many of them
+    sets = scratch.settle(plain.hint("merge").join(involved, "doc_id").mapInPandas(_sets(words), "doc_id long, set array<long>"), "sets")
 
     first = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = settle(_confirm(first, sets, percent), "links")
-    parts = components(links)
-    part_of = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    more = settle(_across(part_of, sets, percent), "links")
-    parts = settle(components(links.unionByName(more)), "parts")
-
-    owner = classes.join(parts, classes["rep"] == parts["node"], "left").select("print", F.coalesce("component", "rep").alias("component"))
-    named = features.select("doc_id", "n_shingles", "print").join(owner, "print", "left")
+    ids = known.select("doc_id", "class")
+    least = ids.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a < z").select("doc_id", "a")
+    same = ids.join(least, "doc_id").filter("class <> a").select("a", F.col("class").alias("b")).distinct()  # texts of one doc_id
+    links = scratch.settle(_confirm(first, sets, percent).unionByName(same), "links")
+    parts = components(links, scratch)
+    turn = 0
+    while turn <= _ROUNDS:
+        part_of = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        centres = _centres(links, parts)
+        last = turn == _ROUNDS
+        found = scratch.settle(_across(part_of, centres, sets, percent, scratch) if last else _confirm(_stars(part_of, centres), sets, percent), "links")
+        if found.isEmpty():
+            turn = _ROUNDS + 1 if last else _ROUNDS
+        else:
+            links, turn = links.unionByName(found), turn + 1
+            parts = components(links, scratch)
+    whole = classes.join(parts, classes["class"] == parts["node"], "left").select("class", "first", F.coalesce("component", "class").alias("part"))
+    least = whole.groupBy("part").agg(F.min("first").alias("component"))
+    owner = settle(whole.join(least, "part").select("class", "component"), "owners")
+    scratch.drop()
+
+    named = features.select("doc_id", "n_shingles", "class").join(owner, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, that with the smallest doc_id; one row where rows repeat its doc_id."""
-    kept = near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = settle(kept, "kept")
-    once = docs.join(kept.filter("__rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.filter("__rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """docs with one document of each group, that with the smallest doc_id; one row where rows repeat its doc_id.
+
+    Rows with a null doc_id all stay. Columns keep their names and values, whatever they are called.
+    """
+    kept = settle(near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
+    turn = fresh_name(docs, "turn")
+    # merged at every size, as above; rows then stand by doc_id, which the numbering needs too
+    once = docs.filter("doc_id IS NOT NULL").hint("merge").join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
+    once = once.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter(F.col(turn) == 1)
+    return once.drop(turn).unionByName(docs.filter("doc_id IS NULL"))

@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pressloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -26,11 +28,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Settled tables that only an operator's inner steps read, in a folder that goes when they are done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, new_path(spark, "scratch")
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex}")
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:

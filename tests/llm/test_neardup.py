@@ -82,3 +82,27 @@ def test_drop_keeps_columns_and_one_row(spark):
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(x for x in ids if x) == [1, 2, 3, 4, 5, 6] and None in ids
+
+
+def test_a_large_group_of_copies_that_differ_from_each_other(spark):
+    """Several hundred near copies in families of their own, most of which aren't linked to each other."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    turned = list(base)
+    turned[10:22] = [f"v{k}" for k in range(12)]
+    texts = []
+    for k in range(420):
+        w = list(base if k % 3 else turned)
+        for _ in range(rng.choice((1, 2, 3, 6, 12))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(([], [f"e{rng.randrange(10**9)}"], [w[at], w[at]]))
+        texts.append(" ".join(w))
+    rows = [(7 * i % 421, t) for i, t in enumerate(texts)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == brute(rows, 3, 85)
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    rows = [(5, "a b c d e f"), (5, "p q r s t u"), (9, "a b c d e f"), (3, "p q r s t u"), (8, "x y z"), (8, "x y z")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(5, 3), (9, 3), (3, 3), (8, 8)}
