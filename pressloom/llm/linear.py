@@ -1,4 +1,4 @@
-"""Logistic regression over hashed word n-grams: FTRL-proximal training in shards, sparse scoring."""
+"""Logistic regression over hashed word n-grams: FTRL-proximal training, sparse scoring."""
 
 from __future__ import annotations
 
@@ -27,7 +27,6 @@ class Ftrl:
     l2: float = 1.0
     epochs: int = 3
     positive_weight: float = 1.0
-    shards: int = 8
     max_rows: int = 24_000
 
 
@@ -36,55 +35,72 @@ def counted(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Ftrl) -> np.ndarray:
-    """Weights, the last one the unpenalised bias. Each coordinate has its own rate, by the squared gradients it has seen."""
-    size = (1 << s.bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    l1 = np.full(size, s.l1)
-    l1[-1] = 0
+class State:
+    """z and n of each coordinate, the last one being the unpenalised bias. Each coordinate has its own rate, by the squared gradients it has seen."""
 
-    def weights(i):
-        return np.where(np.abs(z[i]) <= l1[i], 0.0, -(z[i] - np.sign(z[i]) * l1[i]) / ((s.beta + np.sqrt(n[i])) / s.alpha + s.l2))
+    def __init__(self, s: Ftrl, at=(), z=(), n=()) -> None:
+        self.s, size = s, (1 << s.bits) + 1
+        self.z, self.n, self.l1 = np.zeros(size), np.zeros(size), np.full(size, s.l1)
+        self.z[list(at)], self.n[list(at)] = z, n
+        self.l1[-1] = 0
 
-    for _ in range(s.epochs):
-        for i, x, y in rows:
-            i, x = np.append(i, size - 1), np.append(x, 1.0)
-            w = weights(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x * (s.positive_weight if y else 1.0)
-            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / s.alpha * w
-            n[i] += g * g
-    return weights(np.arange(size))
+    def weights(self, i) -> np.ndarray:
+        s, z, l1 = self.s, self.z[i], self.l1[i]
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(self.n[i])) / s.alpha + s.l2))
+
+    def learn(self, i: np.ndarray, x: np.ndarray, y: int) -> None:
+        """One step on a text: distinct places, values, label."""
+        s = self.s
+        i, x = np.append(i, len(self.z) - 1), np.append(x, 1.0)
+        w, n = self.weights(i), self.n[i]
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x * (s.positive_weight if y else 1.0)
+        self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / s.alpha * w
+        self.n[i] += g * g
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, s: Ftrl, folds: int = 5) -> np.ndarray:
     """Weights learned from at most about max_rows labelled rows outside fold 0.
 
-    The sample is by a hash of doc_id. It is dealt into shards; each is learned
-    in one task from its bounded share, and the shards' weights are averaged
-    place by place. The result has 2**bits + 1 numbers, whatever the input.
-    Null labels teach nothing; of labels repeated for a doc_id the largest holds.
+    The sample is by a hash of doc_id, and so is its order. Its features are made
+    where the texts are, and written; then one task streams them in each epoch,
+    a few at a time, and hands z and n to the next one. So no task holds the
+    sample, however long its texts, and no step is averaged away. The result has
+    2**bits + 1 numbers, whatever the input. Null labels teach nothing; of labels
+    repeated for a doc_id the largest holds.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")).filter(fold(F.col("doc_id"), folds) != 0)
     known = settle(known, "labels")
     share = min(1.0, s.max_rows / max(1, known.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003))
-    sample = known.filter(draw < int(share * 1_000_003)).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(71)), F.lit(s.shards)))
+    sample = known.filter(draw < int(share * 1_000_003))
     # max_rows bounds the sample, so it may be broadcast
     rows = texts(docs).join(F.broadcast(sample), "doc_id")
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        pdf = pdf.iloc[np.argsort([hash((int(d) * 2654435761) % 2**32) for d in pdf["doc_id"]], kind="stable")]
-        w = ftrl([(*features(t, s.bits), int(y)) for t, y in zip(pdf["text"], pdf["y"], strict=True)], s)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"at": at, "w": w[at]})
-
-    shards = settle(rows.groupBy("shard").applyInPandas(learn, "at long, w double").withColumn("one", F.lit(1)), "weights")
-    used = max(1, sample.select("shard").distinct().count())
-    out = np.zeros((1 << s.bits) + 1)
-    for at, w in shards.groupBy("at").agg((F.sum("w") / used).alias("w")).collect():  # 2**bits + 1 rows at most
-        out[at] = w
-    return out
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in (pdf.iloc[k : k + 50] for k in range(0, len(pdf), 50)):
+                each = [features(t, s.bits) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(), "at": [i.astype("<i4").tobytes() for i, _ in each], "x": [np.asarray(x, "<f4").tobytes() for _, x in each]})
+
+    table = settle(rows.mapInPandas(made, "doc_id long, y int, at binary, x binary"), "features")
+    state = State(s)
+    for epoch in range(s.epochs):
+        seen = np.flatnonzero(state.n)
+        before = (seen, state.z[seen], state.n[seen])
+
+        def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now = State(s, *before)
+            for pdf in batches:
+                for at, x, y in zip(pdf["at"], pdf["x"], pdf["y"], strict=True):
+                    now.learn(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), int(y))
+            i = np.flatnonzero(now.n)
+            yield pd.DataFrame({"at": i, "z": now.z[i], "n": now.n[i]})
+
+        # one task by design: steps follow each other, over a sample of bounded size
+        order = [F.xxhash64("doc_id", F.lit(31 + epoch)), "doc_id", F.xxhash64("at", "x")]
+        got = table.repartition(1).sortWithinPartitions(*order).mapInPandas(learn, "at long, z double, n double").collect()  # 2**bits + 1 rows at most
+        state = State(s, [r["at"] for r in got], [r["z"] for r in got], [r["n"] for r in got])
+    return state.weights(np.arange((1 << s.bits) + 1))
 
 
 def score(docs: DataFrame, weights: np.ndarray, features: Features, bits: int) -> DataFrame:

@@ -19,7 +19,7 @@ _SHAPES: dict[bytes, int] = {}
 
 
 def shapes(text: str) -> list[bytes]:
-    """Of each word: its characters by class, runs of a class as one character, 12 at most."""
+    """Of each word: its characters by class, runs of a class as one character."""
     c = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_CLASS), np.uint8)
     first = np.ones(len(c), bool)
     first[1:] = c[1:] != c[:-1]
@@ -31,7 +31,7 @@ def _shape_hash(form: bytes) -> int:
     if got is None:
         if len(_SHAPES) > 100_000:
             _SHAPES.clear()
-        got = _SHAPES[form] = int(hashes([form[:12]])[0])
+        got = _SHAPES[form] = int(hashes([form])[0])
     return got
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pressloom.llm.linear import Ftrl, counted, judged, score, train
 from pressloom.llm.textkit import hashes, mix, ngrams, words
 
-SETTINGS = Ftrl(alpha=3.0, l1=5.0, l2=0.1, epochs=4, positive_weight=3.0, shards=4)
+SETTINGS = Ftrl(alpha=3.0, l1=10.0, l2=0.1, epochs=4, positive_weight=2.0)
 THRESHOLD = 0.5
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
 

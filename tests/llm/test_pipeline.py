@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from pressloom.llm import mixing, neardup, quality, rules
+from tests.llm.helpers import awkward, empty
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,23 @@ def test_stages_take_effect(spark):
             assert {d: step[name].count(d) for d in set(step[name])} == plan
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(step["mixing"])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_take_awkward_and_no_documents(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names; each stage by itself and after the others."""
+    tables = os.path.join(os.path.dirname(SF), "sf0.001")
+    long = " ".join(f"word{i % 977}x{i % 31}" for i in range(3000))
+    odd = awkward(spark, [(7, long, "en", "a", 1, 1.0, "x"), (7, long, "en", "a", 1, 1.0, "x"), (8, long + " more", "en", "b", 1, None, None)])
+    odd = odd.withColumnsRenamed({"extra": "turn", "score": "rule"})
+    none = empty(spark).withColumnsRenamed({"extra": "turn", "score": "rule"})
+    after, nothing = odd, none
+    for name, f in corpus_pipeline.STAGES:
+        f(spark, odd, tables).collect()
+        after, nothing = f(spark, after, tables), f(spark, nothing, tables)
+        assert nothing.count() == 0
+        if name != "packing":
+            assert after.columns == odd.columns
+        if name == "near_dedup":
+            assert [r["doc_id"] for r in after.collect()].count(7) <= 1
+    after.collect()
