@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,12 +39,15 @@ def counted(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class State:
     """z and n of each coordinate, the last one being the unpenalised bias. Each coordinate has its own rate, by the squared gradients it has seen."""
 
-    def __init__(self, s: Ftrl, at=(), z=(), n=()) -> None:
+    def __init__(self, s: Ftrl, data: bytes | None = None) -> None:
         self.s, size = s, (1 << s.bits) + 1
-        self.z, self.n, self.l1 = np.zeros(size), np.zeros(size), np.full(size, s.l1)
-        self.z[list(at)], self.n[list(at)] = z, n
+        self.z, self.n = np.frombuffer(data).reshape(2, size).copy() if data else np.zeros((2, size))
+        self.l1 = np.full(size, s.l1)
         self.l1[-1] = 0
 
+    def data(self) -> bytes:
+        return np.stack([self.z, self.n]).tobytes()
+
     def weights(self, i) -> np.ndarray:
         s, z, l1 = self.s, self.z[i], self.l1[i]
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(self.n[i])) / s.alpha + s.l2))
@@ -85,21 +89,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, s:
     table = settle(rows.mapInPandas(made, "doc_id long, y int, at binary, x binary"), "features")
     state = State(s)
     for epoch in range(s.epochs):
-        seen = np.flatnonzero(state.n)
-        before = (seen, state.z[seen], state.n[seen])
+        before = zlib.compress(state.data(), 1)
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now = State(s, *before)
+            now = State(s, zlib.decompress(before))
             for pdf in batches:
                 for at, x, y in zip(pdf["at"], pdf["x"], pdf["y"], strict=True):
                     now.learn(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), int(y))
-            i = np.flatnonzero(now.n)
-            yield pd.DataFrame({"at": i, "z": now.z[i], "n": now.n[i]})
+            yield pd.DataFrame({"state": [zlib.compress(now.data(), 1)]})
 
         # one task by design: steps follow each other, over a sample of bounded size
         order = [F.xxhash64("doc_id", F.lit(31 + epoch)), "doc_id", F.xxhash64("at", "x")]
-        got = table.repartition(1).sortWithinPartitions(*order).mapInPandas(learn, "at long, z double, n double").collect()  # 2**bits + 1 rows at most
-        state = State(s, [r["at"] for r in got], [r["z"] for r in got], [r["n"] for r in got])
+        after = table.repartition(1).sortWithinPartitions(*order).mapInPandas(learn, "state binary").collect()  # a row of 2**(bits + 4) bytes at most
+        state = State(s, zlib.decompress(after[0]["state"])) if after else state
     return state.weights(np.arange((1 << s.bits) + 1))
 
 
