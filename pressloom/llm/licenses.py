@@ -15,7 +15,48 @@ ISC_BODY = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n"
     "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+)
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+ZERO_BSD_BODY = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+ZLIB_BODY = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n"
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
+    "3. This notice may not be removed or altered from any source distribution."
+)
+UNLICENSE_BODY = (
+    "This is free and unencumbered software released into the public domain.\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+    "For more information, please refer to <https://unlicense.org>"
+)
+APACHE_NOTICE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n"
+    "http://www.apache.org/licenses/LICENSE-2.0\n"
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 KNOWN: list[tuple[str, str]] = [
+    ("0BSD", ZERO_BSD_BODY),
+    ("Apache-2.0", APACHE_NOTICE),
+    ("BSD-2-Clause", BSD_TERMS + BSD_END),
+    ("BSD-3-Clause", BSD_TERMS + BSD_NAMES + BSD_END),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("MPL-2.0", MPL_NOTICE),
+    ("Unlicense", UNLICENSE_BODY),
+    ("Zlib", ZLIB_BODY),
     ("MIT", MIT_BODY),
     ("MIT", "MIT License\n" + MIT_BODY),
     ("MIT", "The MIT License (MIT)\n" + MIT_BODY),
@@ -57,26 +98,27 @@ def digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, more: list[tuple[str, str]] = ()) -> DataFrame:
-    """licence, digest: a row for each known text (a fixed list, so it may be broadcast)."""
+    """licence, digest: a row for each known text (a list in the program, so it may be broadcast). Of licences with equal texts the first by name."""
     rows = spark.createDataFrame([*KNOWN, *more], "licence string, body string")
-    return rows.select("licence", digest(F.col("body")).alias("digest")).dropDuplicates(["digest"])
+    named = rows.withColumn("digest", digest(F.col("body"))).filter(F.col("digest") != digest(F.lit("")))
+    return named.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, more: list[tuple[str, str]] = ()) -> DataFrame:
     """doc_id, text_digest, whole_licence, n_notices, notices for every row of docs.
 
     whole_licence names the licence whose digest the entire text has, if any;
-    n_notices counts the text's lines that are
-    in full a known text of one line, whatever punctuation and white space
-    surround it; notices names their licences, sorted. Null, empty or unlettered text: the digest of the
-    empty text, no licence. Repeated rows and null ids keep their rows. Other
-    columns are ignored.
+    n_notices counts the text's lines that have the digest of a known text, of
+    whatever length and whatever punctuation and white space surround them;
+    notices names their licences, sorted. Both are hash joins to the known
+    digests. Null, empty or unlettered text: the digest of the empty text, no
+    licence. Repeated rows and null ids keep their rows: what a text's lines hold
+    is found for the text, by its own hash. Other columns are ignored.
     """
-    small = F.broadcast(known_licences(docs.sparkSession, more))  # a fixed list
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = rows.withColumn("text_digest", digest(F.col("text"))).join(small.select(F.col("licence").alias("whole_licence"), F.col("digest").alias("text_digest")), "text_digest", "left")
-    notices = [(name, body) for name, body in [*KNOWN, *more] if "\n" not in body]
-    # constant: Spark folds the canonical notices when it plans
-    names = F.map_from_entries(F.array_distinct(F.array(*[F.struct(canonical(F.lit(body)), F.lit(name)) for name, body in notices])))
-    hits = F.filter(F.transform(F.split("text", "\n"), lambda x: F.try_element_at(names, canonical(x))), lambda x: x.isNotNull())
-    return whole.withColumn("hits", hits).select("doc_id", "text_digest", "whole_licence", F.size("hits").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"))
+    known = F.broadcast(known_licences(docs.sparkSession, more))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("same", F.unhex(F.sha2("text", 256)))
+    lines = rows.select("same", F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.col("body").rlike(r"\p{L}"))
+    hits = lines.select("same", "line", digest(F.col("body")).alias("digest")).join(known, "digest").groupBy("same", "line").agg(F.min("licence").alias("licence"))
+    notices = hits.groupBy("same").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("names"))  # as many names as there are licences at most
+    whole = rows.select("doc_id", "same", digest(F.col("text")).alias("text_digest")).join(known.select(F.col("licence").alias("whole_licence"), F.col("digest").alias("text_digest")), "text_digest", "left")
+    return whole.join(notices, "same", "left").select("doc_id", "text_digest", "whole_licence", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("names", F.lit("")).alias("notices"))

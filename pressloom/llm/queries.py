@@ -111,14 +111,12 @@ def _licence_sql() -> str:
     for pattern, to in licenses.SPELLINGS:
         spell = f"regexp_replace({spell}, {quote(pattern)}, {quote(to)}, 'g')"
     digest = f"sha256({spell})"
-    longest = max(len(b) for _, b in licenses.KNOWN if "\n" not in b)
     return f"""
 WITH k(licence, body) AS (VALUES {known}),
-     g AS (SELECT DISTINCT ON (digest) licence, digest FROM (SELECT licence, {digest.replace("lower(T)", "lower(body)")} AS digest FROM k)),
+     g AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, {digest.replace("lower(T)", "lower(body)")} AS digest FROM k) GROUP BY digest),
      d AS (SELECT doc_id, coalesce(text, '') AS text, {digest.replace("lower(T)", "lower(coalesce(text, ''))")} AS text_digest FROM documents),
      l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-     h AS (SELECT doc_id, licence FROM (SELECT doc_id, {digest.replace("lower(T)", "lower(line)")} AS digest FROM l WHERE length(line) <= {2 * longest} AND regexp_matches(lower(line), 'licen[cs]')) x
-           JOIN (SELECT DISTINCT licence, {digest.replace("lower(T)", "lower(body)")} AS digest FROM k WHERE body NOT LIKE '%' || chr(10) || '%') y USING (digest)),
+     h AS (SELECT doc_id, licence FROM (SELECT doc_id, {digest.replace("lower(T)", "lower(line)")} AS digest FROM l WHERE regexp_matches(line, '\\p{{L}}')) x JOIN g USING (digest)),
      a AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM h GROUP BY doc_id)
 SELECT d.doc_id, d.text_digest, g.licence AS whole_licence, coalesce(a.n, 0)::BIGINT AS n_notices, coalesce(a.names, '') AS notices
 FROM d LEFT JOIN g ON d.text_digest = g.digest LEFT JOIN a ON d.doc_id = a.doc_id

@@ -34,3 +34,13 @@ def test_notices_in_banners_and_without_the_word(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines), "en", "a", 1, 1.0, "x")], SCHEMA)
     row = licenses.scan(docs, more=[("PD", "Dedicated to the public domain.")]).first()
     assert (row["n_notices"], row["notices"]) == (3, "CC-BY-4.0,MIT,PD")
+
+
+def test_lines_and_entire_texts_of_any_form_are_looked_up(spark):
+    mit = "Released under the MIT License."
+    rows = [(1, "intro\n" + "-" * 400 + " " + mit + " " + "=" * 400 + "\nend"), (2, "cc0 1.0 UNIVERSAL"), (3, "A dedication of my own\nA dedication of my own"), (4, licenses.BSD_TERMS + licenses.BSD_NAMES + licenses.BSD_END), (4, licenses.MPL_NOTICE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # a text that is known already, and one that two names share
+    more = [("Own", "a dedication of my own!"), ("Again", mit), ("Other", "A dedication, of my own"), ("None", "...")]
+    got = sorted((r["doc_id"], r["whole_licence"] or "", r["n_notices"], r["notices"]) for r in licenses.scan(df, more).collect())
+    assert got == [(1, "", 1, "Again"), (2, "CC0-1.0", 1, "CC0-1.0"), (3, "", 2, "Other"), (4, "BSD-3-Clause", 0, ""), (4, "MPL-2.0", 1, "MPL-2.0")]
