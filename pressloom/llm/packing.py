@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,8 @@ from pressloom.llm.textkit import encoder
 from pressloom.llm.token_files import END, crc_of
 
 CAPACITY = 2048
+#: Steps that the search takes after its first descent.
+NODES = 3000
 #: A filling: (length, how many), largest first; and how many sequences are filled that way.
 Filling = tuple[tuple[int, int], ...]
 Bins = list[tuple[Filling, int]]
@@ -43,6 +44,21 @@ def best_fit(counts: dict[int, int], capacity: int) -> Bins:
     return [(tuple(f), m) for bins in open_bins.values() for f, m in bins]
 
 
+def _reach(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """For each i: which sums up to room the first i sizes make, as bits."""
+    limit = (1 << (room + 1)) - 1
+    reach = [1]
+    for s in sizes:
+        bits, step, left = reach[-1], 1, min(counts[s], room // s)
+        while left:  # counts in binary parts
+            now = min(step, left)
+            bits |= (bits << (s * now)) & limit
+            left -= now
+            step *= 2
+        reach.append(bits)
+    return reach
+
+
 def _fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     """Lengths from counts with the largest sum that fits room; of such, the one with the largest lengths."""
     if counts.get(room):
@@ -55,16 +71,7 @@ def _fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
         b = room - int(a)
         if a > b or a == b and counts[b] > 1:
             return [(int(a), 1), (b, 1)] if a > b else [(b, 2)]
-    limit = (1 << (room + 1)) - 1
-    reach = [1]
-    for s in sizes:
-        bits, step, left = reach[-1], 1, min(counts[s], room // s)
-        while left:  # counts in binary parts
-            now = min(step, left)
-            bits |= (bits << (s * now)) & limit
-            left -= now
-            step *= 2
-        reach.append(bits)
+    reach = _reach(counts, sizes, room)
     target, out = reach[-1].bit_length() - 1, []
     for i in range(len(sizes) - 1, -1, -1):
         s = sizes[i]
@@ -77,119 +84,130 @@ def _fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     return out
 
 
-def _undominated(counts: dict[int, int], room: int, slack: int, most: int) -> list[list[int]]:
-    """Fillings of room that waste slack at most, fullest first; none in which one unused length could stand for one or two used ones and fill more."""
-    sizes = [s for s in sorted(counts, reverse=True) if counts[s] and s <= room]
-    out: list[list[int]] = []
-    visits = 0
-
-    def extend(i: int, left: int, used: list[int]) -> None:
-        nonlocal visits
-        visits += 1
-        if len(out) >= 4 * most or visits > 4000:
-            return
-        if left <= slack:
-            gap = left
-            free = [s for s in sizes if counts[s] > used.count(s)]
-            pairs = set(used) | {a + b for k, a in enumerate(used) for b in used[k + 1 :]}
-            if not any(p < s <= p + gap or s == p and p not in used for p in pairs for s in free):
-                out.append(list(used))
-        for j in range(i, len(sizes)):
-            s = sizes[j]
-            if s <= left and used.count(s) < counts[s]:
-                extend(j, left - s, [*used, s])
-
-    extend(0, room, [])
-    return sorted(out, key=lambda x: (-sum(x), len(x)))[:most]
-
-
-@dataclass
-class _Search:
-    capacity: int
-    best: Bins
-    nodes: int
-    total: int
-    width: int = 6
-    path: Bins = field(default_factory=list)
-
-    @property
-    def bins(self) -> int:
-        return sum(m for _, m in self.best)
-
-    def run(self, counts: dict[int, int], used: int, waste: int) -> None:
-        lower = -(-self.total // self.capacity)
-        if self.bins == lower or self.nodes <= 0:
-            return
-        self.nodes -= 1
-        largest = max((s for s, c in counts.items() if c), default=None)
-        if largest is None:
-            if used < self.bins:
-                self.best = list(self.path)
-            return
-        slack = (self.bins - 1) * self.capacity - self.total - waste  # more waste can't beat the best
-        if slack < 0:
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: lengths above half need a bin each; what of the others, down to any threshold, doesn't fit beside these needs more."""
+    if not counts:
+        return 0
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[int(s)] for s in sizes], np.int64)
+    many, total = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * sizes))
+    half = int(np.searchsorted(sizes, capacity // 2, "right"))
+    best = 0
+    low = np.append(0, np.unique(sizes[:half]))
+    beside = np.searchsorted(sizes, capacity - low, "right")  # lengths above half that leave room for the threshold
+    small = np.searchsorted(sizes, low)
+    spare = (many[beside] - many[half]) * capacity - (total[beside] - total[half])
+    over = np.maximum(0, total[half] - total[small] - spare)
+    best = int((many[-1] - many[half] + -(-over // capacity)).max())
+    return max(best, -(-int(total[-1]) // capacity))
+
+
+def _fillings(counts: dict[int, int], room: int) -> Iterator[list[tuple[int, int]]]:
+    """Every filling of room that none dominates, fullest first, made as they are asked for.
+
+    One is left out if some length that it doesn't use could stand for one or two
+    of those it uses and fill more (Martello and Toth's rule for one and two). A
+    length that fills room alone dominates all others.
+    """
+    sizes = [s for s in sorted(counts) if counts[s] and s <= room]
+    if not sizes or counts.get(room):
+        yield [(room, 1)] if sizes else []
+        return
+    reach = _reach(counts, sizes, room)
+    bits = reach[-1]
+
+    def made(i: int, target: int) -> Iterator[list[tuple[int, int]]]:
+        if i < 0:
+            yield []
             return
-        counts[largest] -= 1
-        for filling in _undominated(counts, self.capacity - largest, slack, self.width):
-            for s in filling:
-                counts[s] -= 1
-            kinds = [largest, *filling]
-            self.path.append((tuple((s, kinds.count(s)) for s in dict.fromkeys(kinds)), 1))
-            self.run(counts, used + 1, waste + self.capacity - sum(kinds))
-            self.path.pop()
-            for s in filling:
-                counts[s] += 1
-        counts[largest] += 1
-
-
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 4000, tail: int = 60) -> Bins:
+        for n in range(min(counts[sizes[i]], target // sizes[i]), -1, -1):
+            if reach[i] >> (target - n * sizes[i]) & 1:
+                for rest in made(i - 1, target - n * sizes[i]):
+                    yield [(sizes[i], n), *rest] if n else rest
+
+    for target in range(room, -1, -1):
+        if not bits >> target & 1:
+            continue
+        gap = room - target
+        for filling in made(len(sizes) - 1, target):
+            used = dict(filling)
+            parts = set(used) | {a + b for a in used for b in used if a < b or a == b and used[a] > 1}
+            if not gap or not any(p < s <= p + gap and counts[s] > used.get(s, 0) for p in parts for s in sizes):
+                yield filling
+
+
+def _steps(counts: dict[int, int], capacity: int) -> Iterator[tuple[Filling, int]]:
+    """Fillings around the largest length left, each as often as the counts allow and then once."""
+    largest = max(counts)
+    rest = {s: c for s, c in counts.items() if c > (s == largest)}
+    if counts[largest] > 1:
+        rest[largest] = counts[largest] - 1
+    first = _fullest(rest, capacity - largest)
+    yield from _multiples(counts, largest, first)
+    for filling in _fillings(rest, capacity - largest):
+        if sorted(filling) != sorted(first):
+            yield from _multiples(counts, largest, filling)
+
+
+def _multiples(counts: dict[int, int], largest: int, filling: list[tuple[int, int]]) -> list[tuple[Filling, int]]:
+    kinds = {largest: 1}
+    for s, n in filling:
+        kinds[s] = kinds.get(s, 0) + n
+    many = min(counts[s] // n for s, n in kinds.items())
+    return [(tuple(kinds.items()), m) for m in dict.fromkeys((many, 1))]
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Bins:
     """Fillings for so many pieces of each length, in as few bins as can be found.
 
-    Bin completion: the largest length left gets the fullest filling around it,
-    as many times as the counts allow, which leaves at most a few fillings for
-    each length however many pieces there are. The last `tail` bins and all
-    bins of small cases are searched by branch and bound over undominated
-    fillings, pruned by the waste that the best known solution leaves, within a
-    number of nodes. Best-fit decreasing and the completed bins are incumbents.
+    Bin completion: the largest length left gets a filling around it, fullest
+    first, as many times as the counts allow or once, so a few steps place
+    however many pieces there are. The first descent, never cut short, and
+    best-fit decreasing are the first incumbents. Then the search goes back step
+    by step through the other undominated fillings, leaving out what wastes more
+    than the best known solution allows and what L2 says can't become better. It
+    ends when a solution meets the lower bound, when all is searched (the best is
+    then optimal), or after `nodes` steps, its only limit.
     """
-    counts = {s: c for s, c in counts.items() if c}
-    total = sum(s * c for s, c in counts.items())
-    left, done = dict(counts), []
-    while left:
-        largest = max(left)
-        left[largest] -= 1
-        around = _fullest(left, capacity - largest)
-        left[largest] += 1
-        kinds: dict[int, int] = {largest: 1}
-        for s, n in around:
-            kinds[s] = kinds.get(s, 0) + n
-        many = min(left[s] // n for s, n in kinds.items())
-        for s, n in kinds.items():
+    left = {s: c for s, c in counts.items() if c}
+    total, least = sum(s * c for s, c in left.items()), lower_bound(left, capacity)
+    best = best_fit(left, capacity)
+    bins = sum(m for _, m in best)
+    frames: list[Iterator] = [_steps(left, capacity)] if left else []
+    path: Bins = []
+    used = waste = 0
+    descending = True
+    while frames and bins > least and nodes > 0:
+        if len(path) == len(frames):  # take back this frame's last step
+            filling, many = path.pop()
+            used, waste = used - many, waste - many * (capacity - sum(s * n for s, n in filling))
+            for s, n in filling:
+                left[s] = left.get(s, 0) + n * many
+        step = next(frames[-1], None)
+        if step is None:
+            frames.pop()
+            continue
+        filling, many = step
+        gap = capacity - sum(s * n for s, n in filling)
+        slack = (bins - 1) * capacity - total - waste
+        if not descending and gap * many > slack:
+            if gap > slack:  # the others are no fuller
+                frames.pop()
+            continue
+        nodes -= not descending
+        path.append(step)
+        used, waste = used + many, waste + many * gap
+        for s, n in filling:
             left[s] -= n * many
             if not left[s]:
                 del left[s]
-        done.append((tuple(kinds.items()), many))
-    best = min((done, best_fit(counts, capacity)), key=lambda b: sum(m for _, m in b))
-    if sum(m for _, m in best) == -(-total // capacity):
-        return best
-    # free the last bins, where waste gathers, and search them anew
-    kept, free = [], 0
-    for filling, many in sorted(best, key=lambda b: capacity - sum(s * n for s, n in b[0])):
-        kept.append((filling, many))
-    opened: dict[int, int] = {}
-    open_bins: Bins = []
-    while kept and free < tail:
-        filling, many = kept.pop()
-        now = min(many, tail - free)
-        if many > now:
-            kept.append((filling, many - now))
-        open_bins.append((filling, now))
-        free += now
-        for s, n in filling:
-            opened[s] = opened.get(s, 0) + n * now
-    search = _Search(capacity, min((open_bins, best_fit(opened, capacity)), key=lambda b: sum(m for _, m in b)), nodes, sum(s * c for s, c in opened.items()))
-    search.run(opened, 0, 0)
-    return [*kept, *search.best]
+        if not left:
+            descending = False
+            if used < bins:
+                best, bins = list(path), used
+        elif descending or used + lower_bound(left, capacity) < bins:
+            frames.append(_steps(left, capacity))
+    return best
 
 
 def _pieces(vocabulary: str, capacity: int):

@@ -51,6 +51,38 @@ def test_plan_is_optimal_on_small_cases(sizes):
     assert sum(m for _, m in bins) == fewest(tuple(sizes), 20)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_is_optimal_on_hard_lengths(seed):
+    """Just over a third and a half of the capacity, and between a quarter and a half."""
+    rng = random.Random(seed)
+    low, high = [(650, 1060), (683, 760), (520, 1030), (400, 1100)][seed % 4]
+    sizes = [rng.randint(low, high) for _ in range(9)]
+    counts = {s: sizes.count(s) for s in sizes}
+    bins = packing.plan_bins(counts, 2048)
+    check(bins, counts, 2048)
+    assert sum(m for _, m in bins) == fewest(tuple(sizes), 2048) >= packing.lower_bound(counts, 2048)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_lower_bound_is_one(sizes):
+    counts = {s: sizes.count(s) for s in sizes}
+    assert -(-sum(sizes) // 20) <= packing.lower_bound(counts, 20) <= fewest(tuple(sizes), 20)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=5), st.integers(0, 14))
+def test_fillings_are_lazy_fullest_first_and_complete(counts, room):
+    """Some filling among them is as full as any, they come by fullness, and none comes twice."""
+    got = list(packing._fillings(counts, room))
+    sums = [sum(s * n for s, n in f) for f in got]
+    assert sums == sorted(sums, reverse=True) and len({tuple(sorted(f)) for f in got}) == len(got)
+    reach = {0}
+    for s, c in counts.items():
+        reach = {r + s * n for r in reach for n in range(c + 1) if r + s * n <= room}
+    assert sums[0] == max(reach)
+
+
 def test_plan_of_many_pieces_is_tight():
     rng = random.Random(3)
     counts = {}
