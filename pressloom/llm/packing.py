@@ -15,7 +15,7 @@ from pressloom.llm.token_files import END, crc_of
 
 CAPACITY = 2048
 #: Steps that the search takes after its first descent.
-NODES = 3000
+NODES = 1000
 #: A filling: (length, how many), largest first; and how many sequences are filled that way.
 Filling = tuple[tuple[int, int], ...]
 Bins = list[tuple[Filling, int]]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,99 +15,158 @@ from pressloom.llm.shared import settle
 
 #: Rows in a block of data or a group of queries, about; bounds what a task holds.
 BLOCK, GROUP = 4096, 1024
-#: Vectors that the pivots of the cells are chosen from, and the most pivots.
-SAMPLE, PIVOTS = 2048, 64
-_LEAF, _FAN = 512, 12
-#: Room for rounding in bounds; scores themselves are whole numbers.
-_SLACK = 1e-6
+#: Vectors that the pivots of the cells are chosen from, and the most pivots, which the driver holds. There is one for each BLOCK rows below that.
+SAMPLE, PIVOTS = 8192, 1024
+#: Rows in a leaf of a block's tree and of a query group's, about; rows that are scored in one product.
+_LEAF, _QUERIES, _CHUNK = 64, 256, 1024
+#: Room for rounding in bounds, as a part of the norms; scores themselves are whole numbers.
+_SLACK = 1e-9
+#: Products below this are exact in doubles.
+_EXACT = 2.0**53
 
 
 @dataclass
-class Node:
-    """A ball: its centre is a row (nesting), its children's centres are apart by their level's radius and cover its rows."""
+class Tree:
+    """Balls in the order of their levels. Ball i covers rows start[i] to end[i] of the tree's own order within radius[i] of row centre[i]; its children are first[i] to last[i]."""
 
-    rows: np.ndarray
+    order: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
     centre: np.ndarray
-    radius: float
-    children: list[Node]
+    radius: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
+    def leaf(self, i) -> np.ndarray:
+        return self.first[i] == self.last[i]
 
-def cover_tree(vectors: np.ndarray, leaf: int = _LEAF) -> Node:
-    """A cover tree down to leaves or equal rows.
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """Leaves stay, other nodes give way to their children."""
+        inner = nodes[~self.leaf(nodes)]
+        n = self.last[inner] - self.first[inner]
+        ends = np.cumsum(n)
+        return np.concatenate([nodes[self.leaf(nodes)], np.arange(n.sum()) + np.repeat(self.first[inner] - (ends - n), n)])
 
-    A level's centres are chosen farthest first until they cover the node within
-    half its radius, or, where rows are far from each other as in many dimensions,
-    until there are _FAN of them; they are then apart by the radius they cover with.
-    """
 
-    def build(rows: np.ndarray, at: int, far: np.ndarray) -> Node:
-        radius = float(far.max())
-        node = Node(rows, vectors[at], radius, [])
-        if len(rows) <= leaf or radius == 0:
-            return node
-        reach = radius / 2
-        centres, owner, near = [at], np.zeros(len(rows), np.int64), far.copy()
-        while near.max() > reach and len(centres) < _FAN:
-            k = int(near.argmax())
-            d = np.linalg.norm(vectors[rows] - vectors[rows[k]], axis=1)
-            closer = d < near
-            owner[closer], near[closer] = len(centres), d[closer]
-            centres.append(int(rows[k]))
-        for c, centre in enumerate(centres):
-            mine = owner == c
-            node.children.append(build(rows[mine], centre, near[mine]))
-        return node
-
-    rows = np.arange(len(vectors))
-    far = np.linalg.norm(vectors - vectors[0], axis=1)
-    return build(rows, 0, far)
-
-
-def dual_search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, qt: Node, pt: Node, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (score, id) of each query over the rows p, those below the query's floor aside; ids -1 where there are fewer.
-
-    A pair of nodes is left out when the largest inner product that their
-    centres and radii allow is below the worst kth score of the node's queries.
+def cover_tree(vectors: np.ndarray, leaf: int = _LEAF) -> Tree:
+    """A cover tree down to leaves of about `leaf` rows or of equal rows.
+
+    A node's centres are its own centre and then, farthest first, rows of it,
+    until they cover it within half its radius: they are then apart by more than
+    the radius they cover with. Where rows are so far from each other that this
+    takes more centres than the node would fill leaves, its level ends at that
+    many centres, at the radius that they cover with.
     """
-    best = np.full((len(q), k), -np.inf)
-    ids = np.full((len(q), k), -1, np.int64)
-    kth = floor.astype(float)
+    order = np.arange(len(vectors))
+    far = [np.linalg.norm(vectors - vectors[0], axis=1)]
+    start, end, centre, radius, first, last = [0], [len(vectors)], [0], [], [], []
+    at = 0
+    while at < len(start):
+        rows, near = order[start[at] : end[at]].copy(), far[at]
+        far[at] = None
+        radius.append(float(near.max(initial=0)))
+        first.append(len(start))
+        if len(rows) > leaf and radius[at] > 0:
+            centres, owner = [centre[at]], np.zeros(len(rows), np.int64)
+            while near.max() > radius[at] / 2 and len(centres) <= len(rows) // leaf:
+                k = int(near.argmax())
+                d = np.linalg.norm(vectors[rows] - vectors[rows[k]], axis=1)
+                closer = d < near
+                owner[closer], near[closer] = len(centres), d[closer]
+                centres.append(int(rows[k]))
+            by = np.argsort(owner, kind="stable")
+            order[start[at] : end[at]] = rows[by]
+            ends = start[at] + np.cumsum(np.bincount(owner, minlength=len(centres)))
+            for c, (row, stop) in enumerate(zip(centres, ends.tolist(), strict=True)):
+                start.append(start[at] if c == 0 else end[-1])
+                end.append(stop)
+                centre.append(row)
+                far.append(near[owner == c])
+        last.append(len(start))
+        at += 1
+    place = np.argsort(order)
+    return Tree(order, *(np.array(x, np.int64) for x in (start, end)), place[centre], np.array(radius), *(np.array(x, np.int64) for x in (first, last)))
+
+
+def _merge(scores, s_ids, best, ids, k):
+    """The k best of both, ties to the smaller id."""
+    s, n = np.concatenate([best, scores]), np.concatenate([ids, s_ids])
+    at = np.lexsort((n, -s))[:k]
+    return s[at], n[at]
+
+
+def _exact(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As dual_search, in whole numbers of any size, row by row; scores beyond 64 bits are the nearest such number."""
+    best, ids = np.zeros((len(q), k), np.int64), np.full((len(q), k), -1, np.int64)
+    whole = lambda x: np.array([[int(c) for c in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+    data = whole(p)
+    for i, x in enumerate(whole(q)):
+        scored = sorted((-max(-(2**63), min(2**63 - 1, s)), n) for s, n in zip(data @ x, p_ids.tolist(), strict=True) if n != q_ids[i])[:k]
+        for j, (s, n) in enumerate(scored):
+            best[i, j], ids[i, j] = -s, n
+    return best, ids
+
 
-    def bound(a: Node, b: Node) -> float:
-        return a.centre @ b.centre + a.radius * math.sqrt(b.centre @ b.centre) + b.radius * math.sqrt(a.centre @ a.centre) + a.radius * b.radius + _SLACK
+def dual_search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, qt: Tree, pt: Tree, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (score, id) of each query over the rows p, those below the query's floor aside; ids -1 where there are fewer. Both sides stand in their trees' order.
 
-    def base(a: Node, b: Node) -> None:
-        scores = q[a.rows] @ p[b.rows].T
-        hit = (scores >= kth[a.rows][:, None]) & (q_ids[a.rows][:, None] != p_ids[b.rows][None, :])
+    Both trees are descended together: a node of queries takes along the nodes of
+    data that it can't rule out, a level deeper each time. A pair of nodes is left
+    out when the largest inner product that their centres and radii allow is below
+    the worst kth score of the node's queries. A leaf of queries scores what leaves
+    are left to it from the most promising on, in products of bounded size, until
+    its worst kth score rules out the rest.
+    """
+    if np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * q.shape[1] >= _EXACT:
+        return _exact(q, q_ids, p, p_ids, k)
+    best, ids, kth = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64), floor.astype(float)
+    qc, pc = q[qt.centre], p[pt.centre]
+    qn, pn = np.linalg.norm(qc, axis=1), np.linalg.norm(pc, axis=1)
+
+    def most(a: int, nodes: np.ndarray) -> np.ndarray:
+        reach = qt.radius[a] * pn[nodes] + pt.radius[nodes] * qn[a] + qt.radius[a] * pt.radius[nodes]
+        return pc[nodes] @ qc[a] + reach + _SLACK * (qn[a] * pn[nodes] + reach)
+
+    def scored(a: int, leaves: np.ndarray) -> None:
+        rows = np.concatenate([np.arange(pt.start[i], pt.end[i]) for i in leaves])
+        mine = slice(qt.start[a], qt.end[a])
+        scores = q[mine] @ p[rows].T
+        hit = (scores >= kth[mine, None]) & (q_ids[mine, None] != p_ids[rows][None, :])
         for i in np.flatnonzero(hit.any(axis=1)):
-            r, here = a.rows[i], hit[i]
-            s = np.concatenate([best[r], scores[i][here]])
-            n = np.concatenate([ids[r], p_ids[b.rows[here]]])
-            order = np.lexsort((n, -s))[:k]
-            best[r], ids[r] = s[order], n[order]
+            r, here = qt.start[a] + i, hit[i]
+            best[r], ids[r] = _merge(scores[i][here], p_ids[rows[here]], best[r], ids[r], k)
             kth[r] = max(kth[r], best[r, -1])
 
-    stack = [(bound(qt, pt), qt, pt)]
+    stack = [(0, np.zeros(min(1, len(p)), np.int64))] if len(q) else []
     while stack:
-        most, a, b = stack.pop()
-        if most < kth[a.rows].min():
-            continue
-        if not a.children and not b.children:
-            base(a, b)
+        a, nodes = stack.pop()
+        bound = most(a, nodes)
+        worst = kth[qt.start[a] : qt.end[a]].min()
+        nodes, bound = nodes[bound >= worst], bound[bound >= worst]
+        if not len(nodes):
             continue
-        if b.children and (not a.children or b.radius >= a.radius):
-            pairs = [(bound(a, c), a, c) for c in b.children]
+        if not qt.leaf(a):
+            stack += [(c, pt.below(nodes)) for c in range(qt.first[a], qt.last[a])]
+        elif not pt.leaf(nodes).all():
+            stack.append((a, pt.below(nodes)))
         else:
-            pairs = [(bound(c, b), c, b) for c in a.children]
-        stack += sorted(pairs, key=lambda x: x[0])  # the most promising pair is popped first
-    return best, ids
+            by = np.argsort(-bound, kind="stable")
+            nodes, bound = nodes[by], bound[by]
+            size = np.cumsum(pt.end[nodes] - pt.start[nodes])
+            at = 0
+            while at < len(nodes) and bound[at] >= kth[qt.start[a] : qt.end[a]].min():
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHUNK, "right")))
+                scored(a, nodes[at:to])
+                at = to
+    return np.where(ids >= 0, best, 0).astype(np.int64), ids
 
 
 def quantised(embeddings: DataFrame, scale: int) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component. Vectors null or holding null, NaN or infinite components take no part."""
-    x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
+    """vec_id, v: floor(scale * x) of each component, as doubles. Vectors null or holding null, NaN or infinite components take no part, nor do those that are infinite when scaled."""
+    x = F.transform(F.col("embedding"), lambda c: c.cast("double") * scale)
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return embeddings.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"))
+    whole = F.transform(x, lambda c: F.when(F.abs(c) < _EXACT, F.floor(c).cast("double")).otherwise(c))
+    return embeddings.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -141,7 +199,9 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
 
     A row with the query's own id never answers it. Repeated data rows each
     count; a repeated query id is answered once, by its smallest vector. Vectors
-    of unequal lengths are as if filled up with zeros. Empty sides: no rows.
+    of unequal lengths are as if filled up with zeros. Scores are exact; one
+    beyond 64 bits is the nearest such number, and ties with others like it. Empty
+    sides: no rows.
     """
     spark = data.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
@@ -159,20 +219,22 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
             d = np.stack([np.linalg.norm(x - c, axis=1) for c in pivots], axis=1)
             yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
 
-    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+    def blocks(df: DataFrame, rows: int, leaf: int, name: str) -> DataFrame:
         """cell, block, radius, packed: ids, vectors and tree of each block."""
         dealt = settle(df.mapInPandas(assign, "vec_id long, v array<double>, cell int, far double"), name)
         cells = dealt.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("long").alias("parts"))  # a row for each pivot
         dealt = dealt.join(F.broadcast(cells), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
 
         def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = _matrix(pdf["v"], width)
-            packed = pickle.dumps((pdf["vec_id"].to_numpy(np.int64), x.astype(np.int32 if np.abs(x).max(initial=0) < 2**31 else np.float64), cover_tree(x)))
-            return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "block": [pdf["block"].iloc[0]], "radius": [float(pdf["far"].max())], "packed": [packed]})
+            x, far = _matrix(pdf["v"], width), float(pdf["far"].max())
+            t = cover_tree(x, leaf)
+            ids, x = pdf["vec_id"].to_numpy(np.int64)[t.order], x[t.order]
+            small = next((k for k in (np.int16, np.int32) if np.abs(x).max(initial=0) <= np.iinfo(k).max), np.float64)
+            return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "block": [pdf["block"].iloc[0]], "radius": [far], "packed": [pickle.dumps((ids, x.astype(small), t))]})
 
         return settle(dealt.groupBy("cell", "block").applyInPandas(tree, "cell int, block long, radius double, packed binary"), f"{name}-trees")
 
-    groups, parts = blocks(queries, GROUP, "queries"), blocks(data, BLOCK, "data")
+    groups, parts = blocks(queries, GROUP, _QUERIES, "queries"), blocks(data, BLOCK, _LEAF, "data")
     radii = np.full(len(pivots), -1.0)
     for r in parts.groupBy("cell").agg(F.max("radius").alias("r")).collect():  # a row for each pivot
         radii[r["cell"]] = r["r"]
@@ -187,8 +249,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
                 p_ids, p, pt = pickle.loads(row.packed)
                 floor = np.frombuffer(row.floors) if row.floors is not None else np.full(len(q), -np.inf)
                 best, ids = dual_search(q.astype(float), q_ids, p.astype(float), p_ids, qt, pt, k, floor)
-                at, rank = np.nonzero(best > -np.inf)
-                yield pd.DataFrame({"gcell": row.gcell, "gblock": row.gblock, "query_id": q_ids[at], "vec_id": ids[at, rank], "score": best[at, rank].astype(np.int64)})
+                at, rank = np.nonzero(ids >= 0)
+                yield pd.DataFrame({"gcell": row.gcell, "gblock": row.gblock, "query_id": q_ids[at], "vec_id": ids[at, rank], "score": best[at, rank]})
 
     # a pair of blocks is seconds of work in a few bytes: it is dealt by itself, not by what its bytes would fill
     tasks = min(2000, max(1, groups.count() * parts.count()))
@@ -214,7 +276,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
                 q = q.astype(float)
                 worst = dict(row.worst) if row.worst is not None else {}
                 floors = np.array([float(worst.get(i, -np.inf)) for i in q_ids.tolist()])
-                most = q @ pivots.T + np.linalg.norm(q, axis=1)[:, None] * np.maximum(radii, 0)[None] + _SLACK
+                size = np.linalg.norm(q, axis=1)[:, None]
+                most = q @ pivots.T + size * np.maximum(radii, 0)[None] + _SLACK * size * (np.linalg.norm(pivots, axis=1) + np.maximum(radii, 0))[None]
                 for cell in np.flatnonzero((most >= floors[:, None]).any(axis=0) & (radii >= 0)):
                     if cell != home[row.gcell]:
                         yield pd.DataFrame({"gcell": [row.gcell], "gblock": [row.gblock], "cell": [int(cell)], "floors": [floors.tobytes()]})

@@ -37,26 +37,46 @@ def test_unusable_vectors_and_small_sides(spark):
 
 def test_cover_tree_covers_and_separates():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(700, 5))
-
-    def visit(node):
-        assert (np.linalg.norm(x[node.rows] - node.centre, axis=1) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
-        for c in node.children:
-            assert c.radius <= node.radius
-            visit(c)
-
-    visit(topk.cover_tree(x))
-    assert not topk.cover_tree(np.ones((500, 3))).children
+    for x in (rng.normal(size=(3000, 5)), np.concatenate([rng.normal(size=(300, 3)) + c for c in rng.normal(size=(9, 3)) * 500])):
+        t = topk.cover_tree(x, 16)
+        y = x[t.order]
+        assert sorted(t.order.tolist()) == list(range(len(x))) and (t.start[0], t.end[0]) == (0, len(x))
+        for i in range(len(t.start)):
+            rows, children = y[t.start[i] : t.end[i]], range(t.first[i], t.last[i])
+            assert (np.linalg.norm(rows - y[t.centre[i]], axis=1) <= t.radius[i] + 1e-9).all()
+            if children:
+                assert t.start[children[0]] == t.start[i] and t.end[children[-1]] == t.end[i]
+                assert all(t.end[a] == t.start[b] for a, b in zip(children, children[1:]))
+                reach = max(t.radius[c] for c in children)
+                apart = min(np.linalg.norm(y[t.centre[a]] - y[t.centre[b]]) for a in children for b in children if a < b)
+                assert reach <= t.radius[i] and apart >= reach - 1e-9 and (reach <= t.radius[i] / 2 or len(children) >= len(rows) // 16)
+            else:
+                assert len(rows) <= 16 or t.radius[i] == 0
+    assert len(topk.cover_tree(np.ones((500, 3))).start) == 1
 
 
 def test_dual_search_over_deep_trees():
     rng = np.random.default_rng(5)
     p = np.floor(np.concatenate([rng.normal(size=(400, 6)) * 9 + c for c in rng.normal(size=(5, 6)) * 60] + [np.zeros((90, 6))]))
     q, ids = p[::17], np.arange(len(p))
-    best, got = topk.dual_search(q, ids[::17], p, ids, topk.cover_tree(q, 8), topk.cover_tree(p, 8), 5, np.full(len(q), -np.inf))
-    for i, row in enumerate(q @ p.T):
-        row[ids[::17][i]] = -np.inf
+    qt, pt = topk.cover_tree(q, 8), topk.cover_tree(p, 8)
+    best, got = topk.dual_search(q[qt.order], ids[::17][qt.order], p[pt.order], ids[pt.order], qt, pt, 5, np.full(len(q), -np.inf))
+    for i, row in enumerate(q[qt.order] @ p.T):
+        row[ids[::17][qt.order[i]]] = -np.inf
         want = np.lexsort((ids, -row))[:5]
         assert got[i].tolist() == want.tolist() and best[i].tolist() == row[want].tolist()
+
+
+def test_huge_components_are_scored_exactly(spark):
+    rows = [(1, [2.0**40, 3.0]), (2, [2.0**40, 5.0]), (3, [2.0**40, 4.0]), (4, [1e12, -1e12]), (5, [-1e300, 1.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 256)
+    got = sorted(tuple(map(int, r)) for r in topk.top_k(v, v, 4).collect())
+    whole = {i: [int(c * 256) for c in x] for i, x in rows}
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for i, x in whole.items():
+        order = sorted((-clamp(sum(a * b for a, b in zip(x, y))), j) for j, y in whole.items() if j != i)[:4]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(order)]
+    assert got == sorted(want)
+    near = spark.createDataFrame([(1, [2.0**30, 1.0]), (2, [2.0**30, 3.0]), (3, [2.0**30, 2.0])], "vec_id long, v array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(near.filter("vec_id = 1"), near, 2).orderBy("rank").collect()] == [(2, 2**60 + 3), (3, 2**60 + 2)]
