@@ -224,8 +224,9 @@ def _date_candidates(html: pd.Series) -> pd.DataFrame:
     def one(h):
         page = read(h)
         found = [str(x.get(k)) for d in _json(page.scripts) for x in (d if isinstance(d, list) else d.get("@graph", [d]) if isinstance(d, dict) else []) if isinstance(x, dict) for k in ("datePublished", "dateCreated") if x.get(k)]
+        first = [t for tag, _, t in page.found if tag in ("p", "div", "span", "time", "small", "header")][:30]  # the rule's own bound: it looks at the beginning
         metas = {a.get("property") or a.get("name") or a.get("itemprop"): a.get("content") for t, a, _ in page.found if t == "meta"}
-        return found[0] if found else None, next((metas[k] for k in DATE_PLACES if metas.get(k)), None), next((a["datetime"] for t, a, _ in page.found if t == "time" and a.get("datetime")), None), " | ".join(t for tag, _, t in page.found if tag in ("p", "div", "span", "time", "small", "header") and 4 < len(t) < 200)[:6000] or None
+        return found[0] if found else None, next((metas[k] for k in DATE_PLACES if metas.get(k)), None), next((a["datetime"] for t, a, _ in page.found if t == "time" and a.get("datetime")), None), " | ".join(t for t in first if 4 < len(t) < 200) or None
 
     return pd.DataFrame([one(h) for h in html], columns=["jsonld", "meta", "time", "text"])
 

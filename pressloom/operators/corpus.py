@@ -93,6 +93,18 @@ def overview(df: DataFrame, as_of: str) -> DataFrame:
 
 
 def collection_runs(times: DataFrame, column: str, gap: str = "30 minutes") -> DataFrame:
-    """start, end, n: runs of a time column with no gap over the given one, by session windows (no global sort)."""
+    """start, end, n: runs of a time column with no gap over the given one.
+
+    Session windows make a day's runs, each day by itself. A day's first run goes
+    on with the run before it if their gap is short enough; that is found from a
+    row for each day, the only rows that meet in one task.
+    """
     t = times.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("timestamp").alias("t")).agg(F.count("*").alias("n"))
-    return t.groupBy(F.session_window("t", gap).alias("s")).agg(F.min("t").alias("start"), F.max("t").alias("end"), F.sum("n").alias("n")).drop("s")
+    runs = t.groupBy(F.to_date("t").alias("day"), F.session_window("t", gap).alias("s")).agg(F.min("t").alias("start"), F.max("t").alias("end"), F.sum("n").alias("n"))
+    days = runs.groupBy("day").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.count("*").alias("runs"))
+    by_day = Window.orderBy("day")
+    joined = F.coalesce(F.col("first") < F.lag("last").over(by_day) + F.expr(f"INTERVAL {gap}"), F.lit(False)).cast("int")
+    days = days.withColumn("joined", joined).withColumn("before", F.coalesce(F.sum(F.col("runs") - F.col("joined")).over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("start")) - F.col("joined")
+    numbered = runs.join(days.select("day", "joined", "before"), "day").withColumn("run", number)
+    return numbered.groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("run")

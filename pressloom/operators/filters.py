@@ -10,6 +10,48 @@ from pyspark.sql import functions as F
 from pressloom.plans.search import keyword_filter
 
 
+# Names by which a text concerns one of the sixteen targets. Short roots that are parts of common words stand between word boundaries.
+TARGET_NAMES = [
+    r"украин|зеленск|киев|всу\b|донбасс|донецк|луганск|запорож|херсон|крым",
+    r"сша|американ|вашингтон|трамп|байден|пентагон",
+    r"европейский союз|\bес\b|брюссел|еврокомисси",
+    r"нато|североатлантич",
+    r"германи|немецк|берлин|шольц|мерц",
+    r"франци|французск|макрон|париж",
+    r"прибалтик|эстони|латви|литв",
+    r"кита[ий]|китайск|пекин|си цзиньпин",
+    r"инди[яйи]|индийск|\bдели\b|\bмоди\b",
+    r"западн[а-я]* стран|западн[а-я]* мир|западные партнеры",
+    r"брикс|глобальный юг",
+    r"грузи[яю]|грузинск|тбилиси",
+    r"навальн|оппозицион|иноагент",
+    r"казахстан|астана|токаев",
+    r"армени[яю]|ереван|пашинян",
+    r"молдав|кишинев|приднестров|санду",
+    r"\bиран|тегеран|хаменеи",
+    r"шахед|герань-2",
+]
+# Roots by which a video counts as political, by subject.
+POLITICAL_STEMS = [
+    "войн", "воен", "арми", "фронт", "мобилизац", "призыв", "военкомат", "оборон", "удар", "обстрел", "дрон", "бпла", "ракет", "наступлен", "сво ", "всу", "солдат", "офицер", "генерал", "оккупац", "теракт", "спецслужб", "фсб", "гру", "кгб", "вагнер", "чвк",
+    "путин", "кремл", "госдум", "дум", "выбор", "депутат", "министр", "правительств", "власт", "президент", "губернатор", "чиновник", "оппозиц", "навальн", "яблок", "партия", "митинг", "протест", "лавров", "медведев", "шойгу", "мишустин", "патрушев", "кадыров",
+    "репресс", "арест", "суд", "приговор", "тюрьм", "колони", "уголовн", "иноагент", "экстремис", "цензур", "полиц", "росгварди", "закон", "заключен", "обыск", "штраф", "пытк",
+    "санкц", "бюджет", "инфляц", "рубл", "экономик", "нефт", "газпром", "энерг", "налог", "девальвац", "дефицит", "коррупц", "олигарх",
+    "украин", "россия", "росси", "москв", "киев", "нато", "запад", "сша", "америк", "трамп", "европ", "евросоюз", "ес ", "китай", "белорус", "лукашенк", "казахстан", "армени", "грузи", "молдав", "иран", "израил", "сири", "кндр", "корея", "турци", "польш", "прибалтик", "эстони", "латви", "литв", "чечн", "крым", "донбасс", "зеленск", "переговор", "перемири", "дипломат", "посол", "саммит",
+    "мигрант", "эмиграц", "релокант", "пропаганд", "цензур", "церков", "патриарх", "демограф", "мобилизован", "беженц",
+]
+
+
+def concerns_targets(text: Column) -> Column:
+    """Whether a text names any target, and so goes to the stance scorer. Null: no."""
+    return F.coalesce(text, F.lit("")).rlike("(?iU)(" + "|".join(TARGET_NAMES) + ")")
+
+
+def political(*columns: str) -> Column:
+    """Whether any political root is in the columns, case and ё aside."""
+    return any_stem(POLITICAL_STEMS, *columns)
+
+
 def article_filter(start: str | None = None, end: str | None = None, *, search: str | None = None, default: str = "AND", **lists: list[str] | None) -> Column:
     """Dates from start to the whole of end, each optional; a list for each named column (empty: all); the search box."""
     parts = [F.lit(True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ ORAL = ["вот", "ну", "ага", "угу", "короче", "типа", "ти
 
 
 def without_particles(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?iu)\b(?:" + "|".join(sorted(ORAL, key=len, reverse=True)) + r")\b", " ")
+    return F.regexp_replace(text, r"(?iU)\b(?:" + "|".join(sorted(ORAL, key=len, reverse=True)) + r")\b", " ")
 
 
 def term_overview(df: DataFrame, lexicon: dict[str, str], category: str = "stem") -> DataFrame:
@@ -71,15 +73,18 @@ def lemmatised(words: DataFrame, lemmas: DataFrame | None) -> DataFrame:
     return words.join(known, "token", "left").withColumn("token", F.coalesce("lemma", "token")).drop("lemma")
 
 
-def divergence(counts: DataFrame, alpha: float = 0.5, least: int = 8, sources: int = 3, most: int = 60) -> DataFrame:
+def divergence(counts: DataFrame, alpha: float = 0.5, least: int = 8, sources: int = 3, most: int = 60, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """axe, groupe, token, contribution, freq_groupe, freq_reste, n_groupe, rang: words that set a group apart from the rest of its axis.
 
     counts: axe, groupe, source, token, n. A word's part in KL(group || rest),
     Laplace smoothed over the axis's vocabulary, kept where it is positive, often
     enough used, and by several sources (fewer where the group has fewer). A
-    group alone on its axis is left out.
+    group alone on its axis is left out. keep settles what several steps read, so
+    that texts are taken apart once.
     """
+    counts = keep(counts, "counts")
     by = counts.groupBy("axe", "groupe", "token").agg(F.sum("n").alias("n"), F.countDistinct("source").alias("s"))
+    by = keep(by, "words")
     word = by.groupBy("axe", "token").agg(F.sum("n").alias("all_n"))
     vocabulary = word.groupBy("axe").agg(F.count("*").alias("v"), F.sum("all_n").alias("axis_n"))
     group = by.groupBy("axe", "groupe").agg(F.sum("n").alias("group_n")).join(counts.groupBy("axe", "groupe").agg(F.countDistinct("source").alias("group_s")), ["axe", "groupe"]).join(vocabulary, "axe").filter("axis_n > group_n")

@@ -52,6 +52,20 @@ def repaired(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in columns.items()})
 
 
+def with_default(df: DataFrame, column: str, value: str) -> DataFrame:
+    """A column that older rows lack, or hold null in, filled with the value (scopes came later than assignments)."""
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in df.columns else F.lit(value))
+
+
+def drop_derived(spark: SparkSession, names: list[str], base: tuple[str, ...] = ("articles", "sources")) -> list[str]:
+    """Drop the tables that can be computed again; those whose last part is a base table's name stay, and are returned."""
+    kept = [n for n in names if n.split(".")[-1].rpartition("__")[2] in base]
+    for n in names:
+        if n not in kept:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+    return kept
+
+
 def refreshed_counts(topics: DataFrame, assigned: DataFrame) -> DataFrame:
     n = assigned.groupBy("topic_key").agg(F.count("*").alias("article_count"))
     return topics.drop("article_count").join(n, "topic_key", "left").withColumn("article_count", F.coalesce("article_count", F.lit(0)))

@@ -159,6 +159,7 @@ def structure(rows: DataFrame) -> DataFrame:
 
 
 def minimum_cluster(n: int) -> int:
+    """The least cluster of a day with n documents."""
     return max(4, min(15, n // 25))
 
 
@@ -166,6 +167,17 @@ def neighbours(n: int) -> int:
     return max(2, min(10, n - 1))
 
 
+def cluster_settings(rows: DataFrame) -> DataFrame:
+    """portee, n, least, near: minimum_cluster and neighbours of each scope."""
+    n = rows.groupBy("portee").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(4), F.least(F.lit(15), F.floor(F.col("n") / 25)))
+    return n.select("portee", "n", least.cast("long").alias("least"), F.greatest(F.lit(2), F.least(F.lit(10), F.col("n") - 1)).cast("long").alias("near"))
+
+
+#: What a snapshot of the registry holds.
+REGISTRY = "topic_key int, label string, top_words string, centroid array<double>, article_count long, first_seen date, last_seen date, active boolean, portee string"
+
+
 def enough(rows: DataFrame, docs: int = 40, parents: int = 5) -> DataFrame:
     """Per scope, whether a day has documents and parents enough to be clustered by itself."""
     n = rows.groupBy("portee").agg(F.count("*").alias("docs"), F.countDistinct("parent").alias("parents"))

@@ -41,31 +41,33 @@ def keyword_filter(text: str | None, default: str = "AND", title: str = "title",
         return None
     marks = _marks(text.strip(), default)[::-1]  # read from the end of the list
 
-    def level(names: str, below, join) -> Column:
-        parts = [below()]
+    def level(names: str, below, join, row: Column) -> Column:
+        parts = [below(row)]
         while marks and marks[-1] == names:
             marks.pop()
-            parts.append(below())
+            parts.append(below(row))
         return reduce(join, parts)
 
-    def either() -> Column:
-        return level("OR", both, lambda a, b: a | b)
+    def either(row: Column) -> Column:
+        return level("OR", both, lambda a, b: a | b, row)
 
-    def both() -> Column:
-        return level("AND", single, lambda a, b: a & b)
+    def both(row: Column) -> Column:
+        return level("AND", single, lambda a, b: a & b, row)
 
-    def single() -> Column:
+    def single(row: Column) -> Column:
         mark = marks.pop() if marks else ""
         if mark == "NOT":
-            return ~single()
+            return ~single(row)
         if mark == "(":
-            inside = either()
+            inside = either(row)
             if marks and marks[-1] == ")":
                 marks.pop()
             return inside
         if mark[:1] == "=":
             like = f"%{fold_literal(mark[1:])}%"
-            return fold(F.col(title)).ilike(like) | fold(F.col(content)).ilike(like)
+            return row["title"].ilike(like) | row["content"].ilike(like)
         return F.lit(True)
 
-    return either()
+    # inside a lambda, title and content are folded once for a row and not again for each term
+    folded = F.array(F.struct(fold(F.col(title)).alias("title"), fold(F.col(content)).alias("content")))
+    return F.get(F.transform(folded, either), F.lit(0))

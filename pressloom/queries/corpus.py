@@ -243,6 +243,34 @@ def flt03(spark, sf_dir):
     return articles(spark, sf_dir).filter(filters.article_filter(search='tion "the and" OU (ción -queado)')).select("id")
 
 
+def _found(spark, sf_dir, search, default="AND"):
+    return articles(spark, sf_dir).filter(filters.article_filter(search=search, default=default)).select("id")
+
+
+@query("flt03a", f"{VIEWS} SELECT id FROM A WHERE {_T('tion')} AND {_T('the and')} AND NOT {_T('queado')} OR {_T('ungkeit')} AND NOT {_T('zzz')}")
+def flt03a(spark, sf_dir):
+    """Phrases, parentheses, every sign of the operators, a dash for not."""
+    return _found(spark, sf_dir, '(tion && "the and" -queado) | ungkeit SAUF zzz')
+
+
+@query("flt03b", f"{VIEWS} SELECT id FROM A WHERE {_T('tion')} OR ({_T('ment')} AND NOT {_T('queado')})")
+def flt03b(spark, sf_dir):
+    """Neighbours take the default operator, a not always and."""
+    return _found(spark, sf_dir, "tion ment NOT queado", "OR")
+
+
+@query("flt03c", f"{VIEWS} SELECT id FROM A WHERE {_T('cion')} OR {_T('m_nt%er')}")
+def flt03c(spark, sf_dir):
+    """Accents and case aside; a term's % and _ are wildcards."""
+    return _found(spark, sf_dir, "CIÓN OU m_nt%er")
+
+
+@query("flt03d", f"{VIEWS} SELECT id FROM A WHERE {_T('tion')} AND ({_T('ment')} OR true)")
+def flt03d(spark, sf_dir):
+    """A missing operand is true, an open parenthesis ends with the text, what follows a stray one is not read."""
+    return _found(spark, sf_dir, "tion AND (ment OR")
+
+
 @query("flt04", f"{VIEWS} SELECT source_kind, count(*)::BIGINT AS n FROM A WHERE {_OK} GROUP BY 1")
 def flt04(spark, sf_dir):
     return _eligible(spark, sf_dir).groupBy("source_kind").agg(F.count("*").alias("n"))

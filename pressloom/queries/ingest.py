@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from pressloom.operators import maintenance
-from pressloom.plans.articles import VIEWS, articles, assignments, sentiment, table, techniques, topic_names, topic_quality
+from pressloom.operators import maintenance, topics
+from pressloom.plans.articles import AS_OF, VIEWS, articles, assignments, sentiment, table, techniques, topic_names, topic_quality
 from pressloom.registry import query
 from pressloom.sources import landed, sinks
+from pressloom.sources.sinks import scratch_path as _scratch
 from pressloom.streaming import ingest
 
 
-def _scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pressloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("snk01", f"{VIEWS} SELECT count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS ids FROM A")
 def snk01(spark, sf_dir):
     """Half of the articles appended, then all of them twice: each is stored once."""
@@ -67,9 +59,9 @@ def src07(spark, sf_dir):
     return landed.captions(spark, path).select("video", F.size("cues").cast("long").alias("cues"))
 
 
-@query("src09", f"{VIEWS}, r AS (SELECT source_name, id AS video, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC, id) AS r FROM A WHERE doc_id % 7 <> 0 AND published_at >= DATE '2024-01-31' - INTERVAL 21 DAY AND doc_id % 2 = 1 AND doc_id % 4000 + 100 BETWEEN 180 AND 14400) SELECT source_name, video FROM r WHERE r <= 2")
+@query("src09", f"{VIEWS}, r AS (SELECT source_name, id AS video, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC, id) AS r FROM A WHERE doc_id % 7 <> 0 AND published_at >= DATE '2024-01-31' - INTERVAL 21 DAY AND doc_id % 4000 + 100 BETWEEN 180 AND 14400) SELECT source_name, video FROM r WHERE r <= 2")
 def src09(spark, sf_dir):
-    found = articles(spark, sf_dir).filter("doc_id % 2 = 1").select("source_name", F.col("id").alias("video"), "title", "published_at", "doc_id", (F.col("doc_id") % 4000 + 100).alias("duration"), F.lit(1).alias("author_id"))
+    found = articles(spark, sf_dir).select("source_name", F.col("id").alias("video"), "title", "published_at", "doc_id", (F.col("doc_id") % 4000 + 100).alias("duration"), F.lit(1).alias("author_id"))
     seen = found.filter("doc_id % 7 = 0").select("video")
     return landed.episodes(found, F.lit(1), F.lit("."), "2024-01-31", seen=seen).select("source_name", "video")
 
@@ -139,10 +131,12 @@ def dml08(spark, sf_dir):
 
 @query("dml09", f"{VIEWS} SELECT article_id, portee, count(*)::BIGINT AS n FROM ASG GROUP BY 1, 2")
 def dml09(spark, sf_dir):
-    """Rows of before scopes existed become the whole's."""
+    """Rows of before scopes existed, without the column or null in it, become the whole's."""
     a = assignments(spark, sf_dir)
-    old = a.filter("portee = 'global'").drop("portee").withColumn("portee", F.lit("global"))
-    return old.unionByName(a.filter("portee <> 'global'")).groupBy("article_id", "portee").agg(F.count("*").alias("n"))
+    whole = a.filter("portee = 'global'")
+    older = maintenance.with_default(whole.filter("doc_id % 3 = 0").drop("portee"), "portee", "global")
+    old = maintenance.with_default(whole.filter("doc_id % 3 <> 0").withColumn("portee", F.lit(None).cast("string")), "portee", "global")
+    return old.unionByName(older).unionByName(a.filter("portee <> 'global'")).groupBy("article_id", "portee").agg(F.count("*").alias("n"))
 
 
 @query("dml10", f"{VIEWS} SELECT label, (100 + row_number() OVER (ORDER BY label))::INTEGER AS topic_key FROM T")
@@ -188,3 +182,74 @@ def str03(spark, sf_dir):
 def str04(spark, sf_dir):
     out = _stream(spark, sf_dir, lambda r: ingest.sliding(r, "ts", "1 day", "7 days", "1 day"), "complete")
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query("dml07", f"{VIEWS} SELECT 'articles' AS name, count(*)::BIGINT AS n FROM A")
+def dml07(spark, sf_dir):
+    """Articles and two tables derived from them; the derived ones are dropped."""
+    run = _scratch(spark, "reset")
+    prefix = f"run_{run.rpartition('-')[2]}"
+    made = {"articles": articles(spark, sf_dir).select("id", "url"), "sentiment": sentiment(spark, sf_dir), "assignments": assignments(spark, sf_dir)}
+    for name, df in made.items():
+        df.write.option("path", f"{run}/{name}").saveAsTable(f"{prefix}__{name}")
+    maintenance.drop_derived(spark, [f"{prefix}__{name}" for name in made])
+    out = None
+    for name in [n for n in made if spark.catalog.tableExists(f"{prefix}__{n}")]:
+        n = spark.table(f"{prefix}__{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+_TYPE = "CASE CAST(substr(source_name, 4) AS BIGINT) % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'telegram' WHEN 2 THEN 'hls' ELSE 'vk' END"
+
+
+@query("src15", f"{VIEWS} SELECT CASE {_TYPE} WHEN 'rss' THEN 'press' WHEN 'hls' THEN 'tv' ELSE {_TYPE} END AS kind, count(*)::BIGINT AS n FROM A GROUP BY 1")
+def src15(spark, sf_dir):
+    """The sources as a YAML catalogue, read back and joined to their articles: articles by the kind that follows from the collector."""
+    path, a = _scratch(spark, "catalogue"), articles(spark, sf_dir).select("source_name")
+    entry = F.concat(F.lit("  - name: "), "source_name", F.lit("\n    type: "), F.expr(_TYPE))
+    lines = a.distinct().agg(F.concat(F.lit("sources:\n"), F.concat_ws("\n", F.sort_array(F.collect_list(entry)))).alias("value"))  # a few dozen entries
+    lines.coalesce(1).write.text(path)
+    known = landed.catalogue(spark, path).select(F.col("name").alias("source_name"), F.col("source_kind").alias("kind"))
+    return a.groupBy("source_name").agg(F.count("*").alias("n")).join(F.broadcast(known), "source_name").groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+def _last_day(spark, sf_dir):
+    return assignments(spark, sf_dir).filter("portee = 'global' AND topic_key > 0").agg(F.coalesce(F.max("run_date"), F.lit(AS_OF).cast("date")).cast("string")).first()[0]
+
+
+def _clusters(spark, sf_dir, last):
+    """The clusters of the last three days: topics by label and day, their mean vectors and sizes."""
+    recent = F.col("run_date") >= F.date_sub(F.lit(last).cast("date"), 2)
+    day = assignments(spark, sf_dir).filter("portee = 'global' AND topic_key > 0").filter(recent).select(F.col("doc_id").alias("vec_id"), "topic_key", "run_date")
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).join(day, "vec_id")
+    mean = x.groupBy("run_date", "topic_key", "p").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    by = mean.groupBy("run_date", F.col("topic_key").alias("i")).agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("c"), F.max("n").cast("int").alias("n"))
+    return by.select("run_date", F.lit("global").alias("scope"), "i", F.transform("c", lambda s: s["x"]).alias("centroid"), F.expr("'theme ' || i").alias("label"), F.expr("'k' || i || ', common'").alias("top_words"), "n")
+
+
+def _snapshot(spark, path):
+    empty = spark.createDataFrame([], f"{topics.REGISTRY}, run_date date")
+    s = (spark.read.parquet(path) if sinks.exists(spark, path) else empty).withColumn("run_date", F.col("run_date").cast("string"))
+    return s.select("run_date", "topic_key", "label", "article_count", F.col("last_seen").cast("string").alias("last_seen"), "active")
+
+
+@query("str08")
+def str08(spark, sf_dir):
+    """The registry's snapshots of three days, kept by a stream of clusters."""
+    landing, path = _scratch(spark, "clusters"), _scratch(spark, "registry")
+    made = _clusters(spark, sf_dir, _last_day(spark, sf_dir))
+    made.write.parquet(landing)
+    stream = spark.readStream.schema(made.schema).parquet(landing)
+    ingest.drain(stream, ingest.into_registry(path), _scratch(spark, "state")).awaitTermination()
+    return _snapshot(spark, path)
+
+
+@query("ml10")
+def ml10(spark, sf_dir):
+    """The same by backfill of the last two days, oldest first, twice: the second run changes nothing."""
+    last = _last_day(spark, sf_dir)
+    path, made = _scratch(spark, "registry"), sinks.settled(_clusters(spark, sf_dir, last), "clusters")
+    for _ in range(2):
+        ingest.backfill(made, path, last, 2)
+    return _snapshot(spark, path)

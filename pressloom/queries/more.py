@@ -8,7 +8,9 @@ from pressloom.functions import columns as c
 from pressloom.functions import html, scoring
 from pressloom.operators import corpus, filters, lexical, maintenance
 from pressloom.plans.articles import AS_OF, PARENT, TECHNIQUES, VIEWS, WORDS, articles, assignments, sentiment, techniques
+from pressloom.queries.rankings import _KL, _KL_COLUMNS
 from pressloom.registry import query
+from pressloom.sources.sinks import scratch_path, settled
 
 _DAY = "'%d/%m/%Y %H:%M'"
 
@@ -84,22 +86,31 @@ def scl24(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter(F.size("embedding") > 0).select("vec_id", F.size("embedding").alias("n"))
 
 
-@query("src05", f"{VIEWS} SELECT source_name, length(content)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY source_name, left(content, 80) ORDER BY length(content) DESC, doc_id) AS r FROM (SELECT source_name, doc_id, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS content FROM A WHERE source_kind = 'telegram' AND NOT regexp_matches(content, '[<>&]')) WHERE length(content) >= 50) WHERE r = 1")
+@query("src05", f"{VIEWS} SELECT source_name, length(content)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY source_name, left(content, 80) ORDER BY length(content) DESC, doc_id) AS r FROM (SELECT source_name, doc_id, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS content FROM A WHERE source_kind = 'telegram') WHERE length(content) >= 50) WHERE r = 1")
 def src05(spark, sf_dir):
     """Posts put into channel pages, read back from their HTML, one for each beginning."""
-    a = articles(spark, sf_dir).filter("source_kind = 'telegram' AND NOT content RLIKE '[<>&]'")
-    posts = a.select("source_name", "doc_id", F.concat(F.lit("<div class='message_text'>"), F.col("content"), F.lit("</div>")).alias("html"))
+    a = articles(spark, sf_dir).filter("source_kind = 'telegram'")
+    escaped = F.replace(F.replace(F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    posts = a.select("source_name", "doc_id", F.concat(F.lit("<div class='message_text'>"), escaped, F.lit("</div>")).alias("html"))
     texts = posts.select("source_name", F.col("doc_id").alias("ordinal"), F.inline(html._posts("html")).alias("o", "text")).filter(F.length("text") >= 50)
     return html.longest_by_prefix(texts).select("source_name", F.length("text").cast("long").alias("n"))
 
 
-@query("txt06")
+_RECENT = f"published_at >= TIMESTAMP '2024-01-02' AND published_at < TIMESTAMP '2024-02-01' AND language = 'en' AND length(content) >= 200"
+_RECENT_KL = _KL.replace("FROM A WHERE content IS NOT NULL", f"FROM A WHERE {_RECENT} AND (SELECT count(*) FROM A WHERE {_RECENT}) >= 100")
+
+
+@query("txt06", f"{VIEWS}, {_RECENT_KL} SELECT {_KL_COLUMNS}, '{AS_OF}' AS run_date FROM r WHERE rang <= 60")
 def txt06(spark, sf_dir):
-    """Divergence over the last days of one language, if there are documents enough: rows by axis and group."""
+    """Divergence over the last days of one language, if there are documents enough, stored by run date, twice: the rows of the run."""
     recent = articles(spark, sf_dir).filter(filters.article_filter("2024-01-02", AS_OF, language=["en"]) & (F.length("content") >= 200))
     enough = recent.agg((F.count("*") >= 100).alias("enough"))
     counts = lexical.axis_counts(recent).join(F.broadcast(enough)).filter("enough").drop("enough")
-    return lexical.divergence(counts).withColumn("run_date", F.lit(AS_OF))
+    rows = lexical.divergence(counts, keep=settled).withColumn("run_date", F.lit(AS_OF))
+    path = scratch_path(spark, "divergence")
+    for _ in range(2):
+        maintenance.overwrite_partitions(rows, path, "run_date")
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query("txt11", f"{VIEWS} SELECT id AS article_id, {'CASE doc_id % 15 ' + ' '.join(f'WHEN {i} THEN ' + repr(t) for i, t in enumerate(TECHNIQUES)) + ' END'} AS technique, least(1.0::DOUBLE, (doc_id % 13)::DOUBLE / 10) AS confiance FROM A WHERE source_kind IN ('tv', 'youtube')")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import columns as c
 from pressloom.functions import html, scoring, segments
-from pressloom.operators import corpus, lexical
+from pressloom.operators import corpus, filters, lexical
 from pressloom.plans.articles import PARENT, TARGETS, VIEWS, WORDS, articles, table
 from pressloom.registry import query
 from pressloom.sources.landed import cues_of
@@ -212,10 +212,12 @@ def txt02(spark, sf_dir):
     return segments.segment_rows(videos)
 
 
-@query("txt04", "SELECT doc_id, text AS text FROM documents")
+@query("txt04", "SELECT doc_id, '  ' || text || ' некстати ' || ' .' AS text FROM documents")
 def txt04(spark, sf_dir):
-    """Spoken particles taken out; these texts hold none of them."""
-    return table(spark, sf_dir, "documents").select("doc_id", lexical.without_particles(F.col("text")).alias("text"))
+    """Spoken particles taken out: one before each text, one in capitals behind it, and a word that only holds one, which stays."""
+    one = lambda n: F.element_at(F.array(*[F.lit(w) for w in lexical.ORAL]), (F.col("doc_id") % n + 1).cast("int"))
+    text = F.concat(one(len(lexical.ORAL)), F.lit(" "), "text", F.lit(" некстати "), F.upper(one(7)), F.lit("."))
+    return table(spark, sf_dir, "documents").select("doc_id", lexical.without_particles(text).alias("text"))
 
 
 _GATE = "regexp_matches(lower(coalesce(content, '')), 'idiot|ungkeit|tion')"
@@ -226,6 +228,23 @@ def flt06(spark, sf_dir):
     return articles(spark, sf_dir).groupBy("source_kind").agg(F.count_if(F.coalesce(F.col("content"), F.lit("")).rlike("(?iu)idiot|ungkeit|tion")).alias("gated"))
 
 
+_NAMED = ["Украины", "недели", "тираны", "Дели", "США", "кот", "ЕС", "лес"]
+
+
+@query("flt06_targets", "SELECT doc_id, doc_id % 8 IN (0, 3, 4, 6) AS gated FROM documents")
+def flt06_targets(spark, sf_dir):
+    """The gate of the sixteen targets, on texts that each end in a Russian word."""
+    word = F.element_at(F.array(*[F.lit(w) for w in _NAMED]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", filters.concerns_targets(F.concat_ws(" ", "text", word)).alias("gated"))
+
+
+@query("flt07_political", "SELECT doc_id, doc_id % 5 IN (0, 2, 4) AS political FROM documents")
+def flt07_political(spark, sf_dir):
+    """The political roots, on texts that each end in a Russian word."""
+    word = F.element_at(F.array(*[F.lit(w) for w in ("Путинские", "ёлка", "военкомат", "котик", "Суд")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").withColumn("word", word).select("doc_id", filters.political("text", "word").alias("political"))
+
+
 @query("txt10")
 def txt10(spark, sf_dir):
     """Sixteen rows a document through a lexicon scorer: counts by target and stance."""

@@ -140,9 +140,9 @@ def srt04(spark, sf_dir):
     return _drill(spark, sf_dir).orderBy(F.col("published_at").desc_nulls_last(), "id").limit(50).select("id", "source_name")
 
 
-@query("srt04_techniques", f"{VIEWS} SELECT article_id, technique, confiance FROM X WHERE technique = 'doute' ORDER BY confiance DESC, article_id LIMIT 15")
+@query("srt04_techniques", f"{VIEWS} SELECT article_id, technique, confiance FROM X WHERE technique = 'slogan' ORDER BY confiance DESC, article_id LIMIT 15")
 def srt04_techniques(spark, sf_dir):
-    return techniques(spark, sf_dir).filter("technique = 'doute'").orderBy(F.desc("confiance"), "article_id").limit(15).select("article_id", "technique", "confiance")
+    return techniques(spark, sf_dir).filter("technique = 'slogan'").orderBy(F.desc("confiance"), "article_id").limit(15).select("article_id", "technique", "confiance")
 
 
 @query("srt08", f"{VIEWS}, r AS (SELECT topic_key::INTEGER AS topic_key, article_id, row_number() OVER (PARTITION BY topic_key ORDER BY probability DESC, article_id)::INTEGER AS rank FROM ASG WHERE portee = 'global' AND topic_key >= 0) SELECT * FROM r WHERE rank <= 11")
@@ -248,7 +248,13 @@ def ml07(spark, sf_dir):
 def ml02(spark, sf_dir):
     """k-means in place of density clustering, small clusters as noise: size of each."""
     v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "vec")
-    return topics.cluster(v, 10).groupBy("topic").agg(F.count("*").alias("n"))
+    return topics.cluster(v, 10, least=topics.minimum_cluster(v.count())).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("ml08", f"{VIEWS} SELECT portee, count(*)::BIGINT AS n, greatest(4, least(15, count(*) // 25))::BIGINT AS least, greatest(2, least(10, count(*) - 1))::BIGINT AS near FROM ASG GROUP BY 1")
+def ml08(spark, sf_dir):
+    """The least cluster and the neighbours that each scope's number of documents calls for."""
+    return topics.cluster_settings(assignments(spark, sf_dir))
 
 
 @query("ml06")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,23 @@ from pressloom.operators.maintenance import insert_new
 SNAPSHOT = ["id", "source_name", "feed_url", "url", "title", "author", "summary", "content", "language", "published_at", "fetched_at", "pays", "type_media", "statut_legal_ru", "source_kind", "view_count"]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one where a local session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="pressloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back, for what several later steps read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_articles(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Append rows whose id and url aren't stored yet. Partitioned by day, so that date filters prune."""
     stored = spark.read.parquet(path) if exists(spark, path) else new.limit(0)

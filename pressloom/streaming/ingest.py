@@ -1,4 +1,4 @@
-"""Incremental ingestion: deduplicated rows, windows, sessions."""
+"""Incremental ingestion: deduplicated rows, windows, sessions, the topic registry across runs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from pressloom.operators import topics
 from pressloom.operators.maintenance import insert_new
 
 
@@ -50,3 +51,38 @@ def into_articles(path: str) -> Callable[[DataFrame, int], None]:
         new.write.mode("append").parquet(path)
 
     return each
+
+
+def advance_registry(clusters: DataFrame, path: str, day: str, scope: str = "global", threshold: float = 0.62) -> None:
+    """Write the registry's snapshot of a day (path/run_date=day) from the last one before it and the day's clusters: scope, i, centroid, label, top_words, n.
+
+    A day that is run again is written again from the same snapshot, so nothing
+    is counted twice. Without an earlier snapshot every cluster is a new topic.
+    """
+    from pressloom.sources.sinks import exists
+
+    spark = clusters.sparkSession
+    before = spark.createDataFrame([], topics.REGISTRY)
+    if exists(spark, path):
+        stored = spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("date")).filter(F.col("run_date") < F.lit(day).cast("date"))
+        last = stored.agg(F.max("run_date")).first()[0]
+        if last is not None:
+            before = stored.filter(F.col("run_date") == F.lit(last)).drop("run_date")
+    new = topics.update_registry(before, clusters, topics.greedy_match(clusters, before, threshold), day, scope=scope)
+    new.write.mode("overwrite").parquet(f"{path}/run_date={day}")
+
+
+def into_registry(path: str, scope: str = "global") -> Callable[[DataFrame, int], None]:
+    """A batch writer: the days of a batch (run_date beside the clusters' columns), oldest first, into the registry."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        for (day,) in batch.select(F.col("run_date").cast("string")).distinct().orderBy("run_date").collect():  # days, one or a few
+            advance_registry(batch.filter(F.col("run_date") == F.lit(day).cast("date")).drop("run_date"), path, day, scope)
+
+    return each
+
+
+def backfill(clusters: DataFrame, path: str, as_of: str, days: int, scope: str = "global") -> None:
+    """The registry over the last days up to as_of, oldest first, since each day starts from the one before."""
+    within = F.col("run_date").cast("date").between(F.date_sub(F.lit(as_of).cast("date"), days - 1), F.lit(as_of).cast("date"))
+    into_registry(path, scope)(clusters.filter(within), 0)
