@@ -37,9 +37,13 @@ class _Page(HTMLParser):
         self.pieces: list[str] = []
         self.blocks: list[list[str]] = []
 
+    def _in_paragraph(self) -> bool:
+        """Whether a paragraph is open below inline elements only, such as a bold one that is never closed."""
+        return next((t == "p" for t, _, _ in reversed(self.open) if t in _BLOCK), False)
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        if tag in _BLOCK and tag != "br" and self.open and self.open[-1][0] == "p":  # a paragraph ends where the next block begins
+        if tag in _BLOCK and tag != "br" and self._in_paragraph():  # a paragraph ends where the next block begins
             self.handle_endtag("p")
         if tag in _VOID:
             self.found.append((tag, a, ""))

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.functions.html import page_date
+
 
 def insert_new(stored: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("id", "url")) -> DataFrame:
     """The rows of new to append: none of their keys is stored, and each occurs once among them."""
@@ -52,6 +54,20 @@ def repaired(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in columns.items()})
 
 
+def late_dates(stored: DataFrame, pages: DataFrame, key: str = "id") -> DataFrame:
+    """stored (key, published_at, fetched_at) with dates that were missing, and the way each was found (method).
+
+    Only pages (key, url, html; one a key) of rows without a date are parsed. A row
+    whose page is gone or holds no date takes the time it was fetched at; without
+    that it stays null, with a null method.
+    """
+    missing = stored.filter("published_at IS NULL").select(key)
+    found = pages.join(missing, key, "left_semi").dropDuplicates([key]).select(key, page_date(F.col("html"), F.col("url")).alias("__d"))
+    kept, found_at = F.col("published_at").isNotNull(), F.col("__d.dt").isNotNull()
+    rows = stored.join(found, key, "left").withColumn("method", F.when(kept, "kept").when(found_at, F.col("__d.method")).when(F.col("fetched_at").isNotNull(), "fetched"))
+    return repaired(rows, published_at=F.coalesce("__d.dt", "fetched_at")).drop("__d")
+
+
 def with_default(df: DataFrame, column: str, value: str) -> DataFrame:
     """A column that older rows lack, or hold null in, filled with the value (scopes came later than assignments)."""
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in df.columns else F.lit(value))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import columns as c
 from pressloom.functions import html, scoring, segments
-from pressloom.operators import corpus, filters, lexical
+from pressloom.operators import corpus, filters, lexical, maintenance
 from pressloom.plans.articles import PARENT, TARGETS, VIEWS, WORDS, articles, table
 from pressloom.registry import query
 from pressloom.sources.landed import cues_of
@@ -141,7 +141,10 @@ def scl21(spark, sf_dir):
     return articles(spark, sf_dir).withColumn("raw", F.expr(_RAW_AUTHOR)).select("id", c.clean_author(F.col("raw")).alias("name"))
 
 
-@query("src04", "WITH u AS (SELECT page_id, regexp_replace(url, '/+$', '') AS url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages), p AS (SELECT page_id, url, trim(regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^[^?#]*'), '/') AS path FROM u), l AS (SELECT *, string_split(path, '/')[-1] AS last FROM p) SELECT page_id, path <> '' AND NOT regexp_matches('/' || path, '(?i)/(tag|tags|author|page|wp-content|wp-json|wp-admin|wp-includes|feed|comments|search|login|register|contact|about|mentions|privacy|cookies|rss|atom|sitemap|cdn-cgi)(/|$)|\\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|mp4|mp3|css|js)$') AND length(path) - length(replace(path, '/', '')) <= 6 AND (length(last) >= 20 OR length(last) - length(replace(last, '-', '')) >= 2 OR regexp_matches(last, '^\\d{5,}$') OR regexp_matches(path, '/\\d{4}/\\d{2}/\\d{2}(/|$)')) AND (NOT string_split(path, '/')[1] IN ('category', 'cat', 'rubrique', 'rubriques') OR length(last) >= 20 OR length(last) - length(replace(last, '-', '')) >= 2) AS article FROM l")
+_ARTICLE = "path <> '' AND NOT regexp_matches('/' || path, '(?i)/(tag|tags|author|page|wp-content|wp-json|wp-admin|wp-includes|feed|comments|search|login|register|contact|about|mentions|privacy|cookies|rss|atom|sitemap|cdn-cgi)(/|$)|\\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|mp4|mp3|css|js)$') AND length(path) - length(replace(path, '/', '')) <= 6 AND (length(last) >= 20 OR length(last) - length(replace(last, '-', '')) >= 2 OR regexp_matches(last, '^\\d{5,}$') OR regexp_matches(path, '/\\d{4}/\\d{2}/\\d{2}(/|$)')) AND (NOT string_split(path, '/')[1] IN ('category', 'cat', 'rubrique', 'rubriques') OR length(last) >= 20 OR length(last) - length(replace(last, '-', '')) >= 2)"
+
+
+@query("src04", "WITH u AS (SELECT page_id, regexp_replace(url, '/+$', '') AS url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages), p AS (SELECT page_id, url, trim(regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^[^?#]*'), '/') AS path FROM u), l AS (SELECT *, string_split(path, '/')[-1] AS last FROM p) SELECT page_id, " + _ARTICLE + " AS article FROM l")
 def src04(spark, sf_dir):
     url = F.regexp_replace("url", "/+$", "")
     return table(spark, sf_dir, "pages").select("page_id", c.article_url(url, F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)).alias("article"))
@@ -164,23 +167,42 @@ def src02(spark, sf_dir):
     return html.links(table(spark, sf_dir, "pages")).select("page_id", "url")
 
 
-@query("src03")
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+
+
+@query("src03", f"""WITH f AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS found FROM pages), a AS (SELECT page_id, base, unnest(found) AS a, unnest(range(len(found))) AS pos FROM f),
+ t AS (SELECT page_id, pos, base, trim(split_part({_PLAIN.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")}, '#', 1), '/') AS path, {_PLAIN.format("regexp_extract(a, '>([^<]*)<', 1)")} AS title FROM a),
+ r AS (SELECT *, rtrim(base || '/' || path, '/') AS url, string_split(path, '/')[-1] AS last, row_number() OVER (PARTITION BY page_id, base, path ORDER BY pos) AS r FROM t) SELECT page_id, pos::INTEGER AS pos, url, left(trim(title), 300) AS title, {_ARTICLE} AS article FROM r WHERE r = 1""")
 def src03(spark, sf_dir):
     """The same with place, title and whether they look like articles."""
     return html.links(table(spark, sf_dir, "pages"))
 
 
-@query("src14")
+@query("src14", f"""WITH a AS (SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM a),
+ t AS (SELECT page_id, i, trim(regexp_replace({_PLAIN.format("regexp_replace(part, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g')) AS line FROM p), j AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) FILTER (line <> '') AS text FROM t GROUP BY 1) SELECT page_id, length(text)::INTEGER AS n, md5(text) AS digest FROM j""")
 def src14(spark, sf_dir):
     """Main text of landed pages: its length and digest."""
     text = html.main_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", text.alias("text")).select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
-@query("txt07")
+def _planted(pages, tag: str, parts: list[str]):
+    """Pages with one of several parts put behind a tag, by page_id; a % in a part stands for a day."""
+    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    part = F.replace(F.element_at(F.array(*[F.lit(x) for x in parts]), (F.col("page_id") % len(parts) + 1).cast("int")), F.lit("%"), day)
+    return pages.withColumn("html", F.replace("html", F.lit(tag), F.concat(F.lit(tag), part)))
+
+
+@query("txt07", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Anna Berg' WHEN 1 THEN 'Jean Dupont' WHEN 2 THEN 'Maria Rossi' WHEN 3 THEN 'Jane Doe' ELSE 'Roger MOUSSAVOU' END AS author FROM pages")
 def txt07(spark, sf_dir):
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", html.page_author(F.col("html"), host).alias("author"))
+    """Authors of the pages, each of which names one in another of the cascade's five places."""
+    places = [
+        '<script type="application/ld+json">{"@graph": [{"author": [{"@type": "Organization", "name": "Outlet"}, {"name": "Anna Berg"}]}]}</script>', '<meta name="author" content="@handle"><meta property="article:author" content="par Jean Dupont">',
+        '<span class="byline">maria rossi</span>', "<p>By Jane Doe</p>", '<meta name="author" content="Wire Desk">',
+    ]
+    host = F.when(F.col("page_id") % 5 == 4, "agp.example.com").otherwise(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1))
+    signed = F.when(F.col("page_id") % 5 == 4, F.replace("html", F.lit("</article>"), F.lit("<p>Roger MOUSSAVOU / AGP</p></article>"))).otherwise(F.col("html"))
+    return _planted(table(spark, sf_dir, "pages"), "<body>", places).select("page_id", html.page_author(signed, host).alias("author"))
 
 
 @query("txt08", f"{VIEWS}, r AS (SELECT id, doc_id, source_name, author FROM A) SELECT id, CASE WHEN doc_id % 6 = 0 THEN author WHEN doc_id % 6 = 4 AND length(source_name) <= 4 THEN 'Src' || substr(source_name, 4) || ' Desk' END AS author FROM r")
@@ -190,12 +212,46 @@ def txt08(spark, sf_dir):
     return articles(spark, sf_dir).select("id", F.when(~c.bad_author(raw, F.col("source_name")), c.clean_author(raw)).alias("author"))
 
 
-@query("txt09")
+_DAY = "lpad((page_id % 28 + 1)::VARCHAR, 2, '0')"
+_DATED = f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN '2024-03-' || {_DAY} || ' 10:00:00' WHEN 1 THEN '2024-04-' || {_DAY} || ' 00:00:00' WHEN 2 THEN '2024-05-' || {_DAY} || ' 01:02:03' WHEN 3 THEN '2024-06-' || {_DAY} || ' 00:00:00' ELSE '2024-07-' || {_DAY} || ' 00:00:00' END AS dt, CASE page_id % 5 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'meta' WHEN 2 THEN 'time' WHEN 3 THEN 'text' ELSE 'url' END AS method FROM pages"
+
+
+def _dated(spark, sf_dir):
+    """The pages, each with its date in another of the cascade's five places."""
+    places = ['<script type="application/ld+json">{"datePublished": "2024-03-%T10:00:00Z"}</script>', '<meta property="article:published_time" content="2024-04-%">', '<time datetime="2024-05-%T01:02:03">then</time>', "<p>Опубликовано % июня 2024</p>", "<hr>"]
+    url = F.concat(F.lit("https://example.org/2024/07/"), (F.col("page_id") % 28 + 1).cast("string"), F.lit("/a"))
+    return _planted(table(spark, sf_dir, "pages"), "<body>", places).withColumn("url", F.when(F.col("page_id") % 5 == 4, url).otherwise(F.col("url")))
+
+
+@query("txt09", _DATED)
 def txt09(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.page_date(F.col("html"), F.col("url")).alias("d")).select("page_id", F.date_format("d.dt", "yyyy-MM-dd HH:mm:ss").alias("dt"), "d.method")
+    """Dates of the pages and the way each was found."""
+    return _dated(spark, sf_dir).select("page_id", html.page_date(F.col("html"), F.col("url")).alias("d")).select("page_id", F.date_format("d.dt", "yyyy-MM-dd HH:mm:ss").alias("dt"), "d.method")
+
+
+_STORED = "CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS published_at, TIMESTAMP '2024-08-01 00:00:00' AS fetched_at"
+
+
+@query("str06", f"""WITH d AS ({_DATED}), s AS (SELECT page_id, {_STORED} FROM pages), r AS (SELECT page_id, CASE WHEN published_at IS NOT NULL THEN 'kept' WHEN page_id % 7 = 0 THEN 'fetched' ELSE method END AS method, coalesce(strftime(published_at, '%Y-%m-%d %H:%M:%S'), CASE WHEN page_id % 7 = 0 THEN strftime(fetched_at, '%Y-%m-%d %H:%M:%S') ELSE dt END) AS dt FROM s JOIN d USING (page_id))
+ SELECT method, count(*)::BIGINT AS n, min(dt) AS first_date, max(dt) AS last_date FROM r GROUP BY 1""")
+def str06(spark, sf_dir):
+    """Two thirds of the stored rows without a date, repaired from the pages that could be fetched again (six of seven): counts and dates by method."""
+    pages = _dated(spark, sf_dir)
+    stored = pages.select("page_id", *[F.expr(x) for x in _STORED.split(", ")])
+    rows = maintenance.late_dates(stored, pages.filter("page_id % 7 <> 0"), "page_id")
+    rows = rows.withColumn("dt", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
+    return rows.groupBy("method").agg(F.count("*").alias("n"), F.min("dt").alias("first_date"), F.max("dt").alias("last_date"))
 
 
-@query("txt01")
+# SQL of segments over cues k, i, t, w: the fold as a recursion over sizes, then blocks b with a short last one joined to the one before.
+_BLOCKS = """z AS MATERIALIZED (SELECT k, i, length(w) + 1 AS size, regexp_matches(w, '[.!?…][''"»)]?\\s*$') AS ends FROM cues),
+ r AS (SELECT k, -1::BIGINT AS i, 0::BIGINT AS n, -1::BIGINT AS b FROM z WHERE i = 0 UNION ALL SELECT k, i, CASE WHEN m >= 2000 AND ends THEN 0 ELSE m END, b FROM (SELECT k, z.i, ends, CASE WHEN n = 0 OR n + size > 2300 THEN size ELSE n + size END AS m, CASE WHEN n = 0 OR n + size > 2300 THEN b + 1 ELSE b END AS b FROM r JOIN z USING (k) WHERE z.i = r.i + 1)),
+ g AS (SELECT k, b, min(t) AS start, string_agg(w, ' ' ORDER BY i) AS text FROM cues JOIN r USING (k, i) GROUP BY 1, 2), h AS (SELECT *, CASE WHEN b > 0 AND b = max(b) OVER (PARTITION BY k) AND length(text) < 300 THEN b - 1 ELSE b END AS segment FROM g),
+ segments AS (SELECT k, segment::INTEGER AS segment, min(start) AS start, string_agg(text, ' ' ORDER BY b) AS text FROM h GROUP BY 1, 2)"""
+
+
+@query("txt01", f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(1)), chr(1)) AS ws FROM documents), cues AS MATERIALIZED (SELECT doc_id AS k, unnest(ws) AS w, unnest(range(len(ws))) AS i, (i * 4)::DOUBLE AS t FROM l), {_BLOCKS}
+ SELECT k AS doc_id, segment, start, length(text)::INTEGER AS n, md5(text) AS digest FROM segments""")
 def txt01(spark, sf_dir):
     """Documents' words as cues, regrouped into segments: start, length and digest of each."""
     words = F.split("text", r"(?<=\.) ")
@@ -204,7 +260,9 @@ def txt01(spark, sf_dir):
     return rows.select("doc_id", "segment", "s.start", F.length("s.text").alias("n"), F.md5("s.text").alias("digest"))
 
 
-@query("txt02")
+@query("txt02", f"""WITH RECURSIVE c AS (SELECT conv_id, turn, trim(replace(text, chr(10), ' ')) AS text FROM conversations), f AS (SELECT * FROM c WHERE length(text) > 0), l AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM f),
+ cues AS MATERIALIZED (SELECT conv_id AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn * 30.0 AS t, text AS w FROM l WHERE before IS NULL OR before <> text), {_BLOCKS}, u AS (SELECT *, 'https://example.org/watch?v=c' || k AS base, count(*) OVER (PARTITION BY k) AS parts FROM segments)
+ SELECT left(sha256(base || '#seg' || segment), 16) AS id, base || '&t=' || start::BIGINT || 's' AS url, 'Conversation ' || k || ' [' || (segment + 1) || '/' || parts || ']' AS title, text AS content, segment FROM u""")
 def txt02(spark, sf_dir):
     """Conversations as transcripts: rows of their segments with identity, address and title."""
     cues = cues_of(segments.clean_cues(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(F.col("conv_id").alias("video"), F.col("turn").alias("pos"), (F.col("turn") * 30.0).alias("t"), "text"))
@@ -245,10 +303,15 @@ def flt07_political(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("word", word).select("doc_id", filters.political("text", "word").alias("political"))
 
 
-@query("txt10")
+_HINTS = dict(zip(TARGETS, ["tion", "ment", "ung", "ción", "eau", "keit", "ing", "que", "ado", "sch", "hea", "oi", "ble", "ver", "ra", "ent"], strict=True))
+_COUNT = "(length(c) - length(replace(c, '{0}', ''))) // length('{0}')"
+
+
+@query("txt10", f"""{VIEWS}, d AS (SELECT lower(coalesce(content, '')) AS c FROM A), l AS (SELECT c, regexp_matches(c, 'tion|ment|ung|ción') AS gate, {_COUNT.format("good")} + {_COUNT.format("the")} - {_COUNT.format("idiot")} - {_COUNT.format("stupid")} AS lean FROM d), w(target, word) AS (VALUES {", ".join(f"('{t}', '{w}')" for t, w in _HINTS.items())}),
+ r AS (SELECT target, gate AND contains(c, word) AS hit, lean FROM l CROSS JOIN w) SELECT target, CASE WHEN NOT hit THEN 'non_concerne' WHEN lean > 0 THEN 'pro' WHEN lean < 0 THEN 'anti' ELSE 'neutre' END AS stance, count(*)::BIGINT AS n, round(avg(CASE WHEN hit THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, lean / 10::DOUBLE)) ELSE 0.0::DOUBLE END), 6) AS lean FROM r GROUP BY 1, 2""")
 def txt10(spark, sf_dir):
     """Sixteen rows a document through a lexicon scorer: counts by target and stance."""
-    targets = {t: [w] for t, w in zip(TARGETS, ["tion", "ment", "ung", "ción", "eau", "keit", "ing", "que", "ado", "sch", "hea", "oi", "ble", "ver", "ra", "ent"], strict=True)}
+    targets = {t: [w] for t, w in _HINTS.items()}
     gate = F.coalesce(F.col("content"), F.lit("")).rlike("(?iu)tion|ment|ung|ción")
     rows = scoring.sentiment_rows(articles(spark, sf_dir), gate, lambda: scoring.LexiconScorer(targets, ["good", "the"], ["idiot", "stupid"]), TARGETS)
     return rows.groupBy("target", "stance").agg(F.count("*").alias("n"), F.round(F.avg("lean"), 6).alias("lean"))

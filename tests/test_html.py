@@ -58,3 +58,8 @@ def test_author_bylines_and_signatures(spark):
     assert author(signed) == "Wire Desk"
     assert author(signed, "AGP Gabon") == "Roger MOUSSAVOU"
     assert author("<p>Text of it.</p><p>Roger MOUSSAVOU / AGP</p>") == "Roger MOUSSAVOU"
+
+
+def test_paragraphs_with_unclosed_bold(spark):
+    page = "<article><p><b>First.<br><p>Second.</p><p>Third.</article><p><span><div>Block</div>"
+    assert one(spark, html.main_text(F.col("html")), html=page) == "First.\nSecond.\nThird."

@@ -96,3 +96,13 @@ def test_stream_into_articles_is_idempotent(spark, tmp_path):
     for n in range(2):
         each(articles(spark, [1, 2, 2, 3]), n)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_late_dates(spark):
+    stored = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP'2024-01-01', NULL), (2, NULL, NULL), (3, NULL, TIMESTAMP'2024-08-01'), (4, NULL, TIMESTAMP'2024-08-01'), (NULL, NULL, NULL) AS t(id, published_at, fetched_at)")
+    page = '<meta property="article:published_time" content="2024-03-06">'
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", "<p>none</p>"), (3, "u", page), (3, "u", page), (9, "u", page)], "id int, url string, html string")
+    rows = maintenance.late_dates(stored, pages).collect()
+    got = {r["id"]: (str(r["published_at"])[:10], r["method"]) for r in rows}
+    assert len(rows) == 5
+    assert got == {1: ("2024-01-01", "kept"), 2: ("None", None), 3: ("2024-03-06", "meta"), 4: ("2024-08-01", "fetched"), None: ("None", None)}
