@@ -216,7 +216,15 @@ def ml05(spark, sf_dir):
     return topics.reattach(docs, registry(spark, sf_dir))
 
 
-@query("ml04")
+_RECURSIVE = VIEWS.replace("WITH base", "WITH RECURSIVE base", 1)
+
+
+@query("ml04", f"""{_RECURSIVE}, {_CENTROIDS}, sup AS (SELECT doc_id AS vec_id, CASE WHEN min(source_kind) IN ('youtube', 'tv') THEN 1 ELSE 2 END AS support FROM A GROUP BY 1),
+ comp AS (SELECT (label * 10 + coalesce(support, 0))::INTEGER AS i, unnest(range(1, len(embedding) + 1)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings LEFT JOIN sup USING (vec_id) WHERE label > 0),
+ new AS (SELECT i, list(v ORDER BY p) AS v FROM (SELECT i, p, avg(v) AS v FROM comp GROUP BY 1, 2) GROUP BY 1),
+ pairs AS (SELECT i, topic_key::INTEGER AS topic_key, sim, row_number() OVER (ORDER BY sim DESC, i, topic_key) AS r FROM (SELECT i, topic_key, list_inner_product(v, c) / ((sqrt(list_inner_product(v, v)) + 1e-9) * (sqrt(list_inner_product(c, c)) + 1e-9)) AS sim FROM new, c) WHERE sim >= 0.62),
+ walk AS (SELECT 0::BIGINT AS r, []::INTEGER[] AS used_i, []::INTEGER[] AS used_k, false AS picked UNION ALL SELECT r, CASE WHEN free THEN list_append(used_i, i) ELSE used_i END, CASE WHEN free THEN list_append(used_k, topic_key) ELSE used_k END, free FROM (SELECT pairs.r, used_i, used_k, i, topic_key, NOT list_contains(used_i, i) AND NOT list_contains(used_k, topic_key) AS free FROM walk JOIN pairs ON pairs.r = walk.r + 1))
+ SELECT 'global' AS scope, i, topic_key, round(sim, 6) AS sim FROM walk JOIN pairs USING (r) WHERE picked""")
 def ml04(spark, sf_dir):
     """Centroids of all labelled vectors by label and support (video, text, no document), matched one to one with the registry."""
     support = articles(spark, sf_dir).groupBy(F.col("doc_id").alias("vec_id")).agg(F.when(F.min("source_kind").isin("youtube", "tv"), 1).otherwise(2).alias("support"))
@@ -257,12 +265,15 @@ def ml08(spark, sf_dir):
     return topics.cluster_settings(assignments(spark, sf_dir))
 
 
-@query("ml06")
+@query("ml06", f"""{VIEWS}, r AS (SELECT *, topic_key % 3 <> 0 AS hit, topic_key % 3 <> 0 AND topic_key % 2 = 1 AS changed FROM T), fresh AS (SELECT (SELECT max(topic_key) FROM T) + row_number() OVER (ORDER BY topic_key) AS topic_key FROM T WHERE topic_key % 3 = 0)
+ SELECT topic_key::INTEGER AS topic_key, CASE WHEN changed THEN 'new label' ELSE label END AS label, CASE WHEN changed THEN 'other, words' ELSE top_words END AS top_words, CASE WHEN hit THEN 15 ELSE 10 END::BIGINT AS article_count, '2024-01-01' AS first_seen, CASE WHEN hit THEN '{AS_OF}' ELSE '2024-01-20' END AS last_seen, hit AS active FROM r
+ UNION ALL SELECT topic_key::INTEGER, 'fresh', 'fresh, words', 7, '{AS_OF}', '{AS_OF}', true FROM fresh""")
 def ml06(spark, sf_dir):
-    """The registry after a day on which clusters 1 to 4 came back and one was new."""
+    """The registry after a day on which two thirds of its topics came back, some with other words, and as many clusters as the rest were new."""
     old = registry(spark, sf_dir).select("topic_key", "label", "top_words", "centroid", F.lit(10).cast("long").alias("article_count"), F.lit("2024-01-01").cast("date").alias("first_seen"), F.lit("2024-01-20").cast("date").alias("last_seen"), "active", F.lit("global").alias("portee"))
-    back = old.filter("topic_key <= 4").select(F.lit("global").alias("scope"), F.col("topic_key").alias("i"), "centroid", F.lit("new label").alias("label"), F.when(F.col("topic_key") == 1, "other, words").otherwise(F.col("top_words")).alias("top_words"), F.lit(5).alias("n"))
-    fresh = old.filter("topic_key = 5").select(F.lit("global").alias("scope"), F.lit(0).alias("i"), F.transform("centroid", lambda x: -x).alias("centroid"), F.lit("fresh").alias("label"), F.lit("fresh, words").alias("top_words"), F.lit(7).alias("n"))
+    words = F.when(F.col("topic_key") % 2 == 1, "other, words").otherwise(F.col("top_words"))
+    back = old.filter("topic_key % 3 <> 0").select(F.lit("global").alias("scope"), F.col("topic_key").alias("i"), "centroid", F.lit("new label").alias("label"), words.alias("top_words"), F.lit(5).alias("n"))
+    fresh = old.filter("topic_key % 3 = 0").select(F.lit("global").alias("scope"), F.col("topic_key").alias("i"), F.transform("centroid", lambda x: -x).alias("centroid"), F.lit("fresh").alias("label"), F.lit("fresh, words").alias("top_words"), F.lit(7).alias("n"))
     new = back.unionByName(fresh)
     out = topics.update_registry(old, new, topics.greedy_match(new, old, 0.62), AS_OF)
     return out.select("topic_key", "label", "top_words", "article_count", _D("first_seen"), _D("last_seen"), "active")
