@@ -69,10 +69,15 @@ def excerpt(text: Column, most: int = 250) -> Column:
     return F.left(text, F.lit(most))
 
 
-def eligible(content: Column, kind: Column, language: Column, wanted: str = "ru") -> Column:
-    """Enough text in the wanted language to be analysed: 300 characters, 50 for a telegram post."""
+def long_enough(content: Column, kind: Column) -> Column:
+    """Enough text to be analysed: 300 characters, 50 for a telegram post."""
     n = F.length(content)
-    return content.isNotNull() & (((kind == "telegram") & (n >= 50)) | ((kind != "telegram") & (n >= 300))) & (language == wanted)
+    return content.isNotNull() & (((kind == "telegram") & (n >= 50)) | ((kind != "telegram") & (n >= 300)))
+
+
+def eligible(content: Column, kind: Column, language: Column, wanted: str = "ru") -> Column:
+    """Enough text in the wanted language to be analysed."""
+    return long_enough(content, kind) & (language == wanted)
 
 
 def week_of(ts: Column) -> Column:

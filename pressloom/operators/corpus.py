@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressloom.functions.columns import offset_seconds, parent_id, period, share, word_count
+from pressloom.functions.columns import long_enough, offset_seconds, parent_id, period, share, word_count
 
 
 def parent() -> Column:
@@ -62,7 +62,7 @@ def ranked(df: DataFrame, keys: list[str], most: int, value: str = "n") -> DataF
 
 
 def processed(df: DataFrame, key: Column | str, sentiment: DataFrame, assigned: DataFrame) -> DataFrame:
-    """key, total, contenu, auteur, sentiment, themes: rows and how many of them each step has reached.
+    """key, total, contenu, auteur, sentiment, themes: rows, how many hold text enough to be analysed, and how many each step has reached.
 
     The steps' ids are made distinct and joined to the rows once, then one
     aggregation counts all of them.
@@ -70,17 +70,28 @@ def processed(df: DataFrame, key: Column | str, sentiment: DataFrame, assigned:
     s = sentiment.select(F.col("article_id").alias("id"), F.lit(1).alias("__s")).distinct()
     t = assigned.select(F.col("article_id").alias("id"), F.lit(1).alias("__t")).distinct()
     rows = df.join(s, "id", "left").join(t, "id", "left")
-    return rows.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.length("content") > 0).alias("contenu"), F.count_if(F.trim("author") != "").alias("auteur"), F.count("__s").alias("sentiment"), F.count("__t").alias("themes"))
+    return rows.groupBy(key).agg(F.count("*").alias("total"), F.count_if(long_enough(F.col("content"), F.col("source_kind"))).alias("contenu"), F.count_if(F.trim("author") != "").alias("auteur"), F.count("__s").alias("sentiment"), F.count("__t").alias("themes"))
 
 
-def coverage(df: DataFrame, sentiment: DataFrame, assigned: DataFrame, good: float = 95, fair: float = 80) -> DataFrame:
-    """source, articles, shares of each step, the least of the analyses, status."""
+def _reached(n: DataFrame, digits: int) -> dict[str, Column]:
+    """Shares of processed's counts: of all rows, or of those long enough for the analyses (null where there are none)."""
+    pct = lambda c, of: F.round(100 * F.col(c) / F.nullif(F.col(of), F.lit(0)), digits)
+    return {"contenu": pct("contenu", "total"), "auteur": pct("auteur", "total"), "sentiment": pct("sentiment", "contenu"), "themes": pct("themes", "contenu")}
+
+
+def coverage(df: DataFrame, sentiment: DataFrame, assigned: DataFrame, good: int = 95, fair: int = 80) -> DataFrame:
+    """source, articles, whole percentages of each step, the least of the analyses, status."""
     n = processed(df, F.col("source_name").alias("source"), sentiment, assigned)
-    pct = lambda c: share(F.col(c), F.col("total")).alias(c)
-    out = n.select("source", F.col("total").alias("articles"), pct("contenu"), pct("auteur"), pct("sentiment"), pct("themes"))
+    out = n.select("source", F.col("total").alias("articles"), *[c.cast("int").alias(k) for k, c in _reached(n, 0).items()])
     out = out.withColumn("analyses", F.least("sentiment", "themes"))
-    worst = F.least("contenu", "analyses")
-    return out.withColumn("statut", F.when(worst >= good, "OK").when(worst >= fair, "warning").otherwise("problem"))
+    below = lambda limit: (F.col("contenu") < limit) | (F.col("analyses") < limit)
+    return out.withColumn("statut", F.when(below(fair), "PROBLÈME").when(below(good), "ATTENTION").otherwise("OK"))
+
+
+def coverage_over_time(df: DataFrame, sentiment: DataFrame, assigned: DataFrame, grain: str = "week") -> DataFrame:
+    """period, total, contenu, sentiment, themes: percentages by period, to one digit."""
+    n = processed(df, period(F.col("published_at"), grain).alias("period"), sentiment, assigned)
+    return n.select("period", "total", *[c.alias(k) for k, c in _reached(n, 1).items() if k != "auteur"])
 
 
 def overview(df: DataFrame, as_of: str) -> DataFrame:

@@ -73,6 +73,16 @@ def lemmatised(words: DataFrame, lemmas: DataFrame | None) -> DataFrame:
     return words.join(known, "token", "left").withColumn("token", F.coalesce("lemma", "token")).drop("lemma")
 
 
+def axis_words(by: DataFrame) -> DataFrame:
+    """axe, token, all_n: the union of an axis's vocabularies, each word with its count in all groups."""
+    return by.groupBy("axe", "token").agg(F.sum("n").alias("all_n"))
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    """axe, v, axis_n: distinct words and occurrences."""
+    return words.groupBy("axe").agg(F.count("*").alias("v"), F.sum("all_n").alias("axis_n"))
+
+
 def divergence(counts: DataFrame, alpha: float = 0.5, least: int = 8, sources: int = 3, most: int = 60, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """axe, groupe, token, contribution, freq_groupe, freq_reste, n_groupe, rang: words that set a group apart from the rest of its axis.
 
@@ -85,9 +95,8 @@ def divergence(counts: DataFrame, alpha: float = 0.5, least: int = 8, sources: i
     counts = keep(counts, "counts")
     by = counts.groupBy("axe", "groupe", "token").agg(F.sum("n").alias("n"), F.countDistinct("source").alias("s"))
     by = keep(by, "words")
-    word = by.groupBy("axe", "token").agg(F.sum("n").alias("all_n"))
-    vocabulary = word.groupBy("axe").agg(F.count("*").alias("v"), F.sum("all_n").alias("axis_n"))
-    group = by.groupBy("axe", "groupe").agg(F.sum("n").alias("group_n")).join(counts.groupBy("axe", "groupe").agg(F.countDistinct("source").alias("group_s")), ["axe", "groupe"]).join(vocabulary, "axe").filter("axis_n > group_n")
+    word = axis_words(by)
+    group = by.groupBy("axe", "groupe").agg(F.sum("n").alias("group_n")).join(counts.groupBy("axe", "groupe").agg(F.countDistinct("source").alias("group_s")), ["axe", "groupe"]).join(vocabulary(word), "axe").filter("axis_n > group_n")
     rows = by.filter(F.col("n") >= least).join(F.broadcast(group), ["axe", "groupe"]).filter(F.col("s") >= F.least(F.lit(sources), F.col("group_s"))).join(word, ["axe", "token"])
     p = (F.col("n") + alpha) / (F.col("group_n") + alpha * F.col("v"))
     q = (F.col("all_n") - F.col("n") + alpha) / (F.col("axis_n") - F.col("group_n") + alpha * F.col("v"))

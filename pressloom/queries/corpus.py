@@ -129,18 +129,35 @@ def _processed(spark, sf_dir):
     return articles(spark, sf_dir), sentiment(spark, sf_dir).filter("stance <> 'non_concerne'"), assignments(spark, sf_dir)
 
 
-@query("agg26", f"""{VIEWS}, {_DONE}, n AS (SELECT source_name AS source, count(*)::BIGINT AS articles, round(100.0::DOUBLE * count(*) FILTER (length(content) > 0) / count(*), 6) AS contenu, round(100.0::DOUBLE * count(author) / count(*), 6) AS auteur,
- round(100.0::DOUBLE * count(s) / count(*), 6) AS sentiment, round(100.0::DOUBLE * count(t) / count(*), 6) AS themes FROM p GROUP BY 1)
- SELECT *, least(sentiment, themes) AS analyses, CASE WHEN least(contenu, sentiment, themes) >= 95 THEN 'OK' WHEN least(contenu, sentiment, themes) >= 80 THEN 'warning' ELSE 'problem' END AS statut FROM n""")
+_LONG = "content IS NOT NULL AND length(content) >= CASE WHEN source_kind = 'telegram' THEN 50 ELSE 300 END"
+_COVERAGE = f"""{_DONE}, n AS (SELECT source_name AS source, count(*) AS total, count(*) FILTER ({_LONG}) AS long, count(*) FILTER (trim(author) <> '') AS named, count(s) AS s, count(t) AS t FROM p WHERE published_at >= TIMESTAMP '2024-01-01' GROUP BY 1),
+ pct AS (SELECT source, total::BIGINT AS articles, round(100.0 * long / total)::INTEGER AS contenu, round(100.0 * named / total)::INTEGER AS auteur, round(100.0 * s / nullif(long, 0))::INTEGER AS sentiment, round(100.0 * t / nullif(long, 0))::INTEGER AS themes FROM n),
+ v AS (SELECT *, least(sentiment, themes) AS analyses, CASE WHEN contenu < 80 OR least(sentiment, themes) < 80 THEN 'PROBLÈME' WHEN contenu < 95 OR least(sentiment, themes) < 95 THEN 'ATTENTION' ELSE 'OK' END AS statut FROM pct)"""
+
+
+def _coverage(spark, sf_dir):
+    a, s, t = _processed(spark, sf_dir)
+    return corpus.coverage(a.filter(filters.article_filter("2024-01-01")), s, t)
+
+
+@query("agg26", f"{VIEWS}, {_COVERAGE} SELECT * FROM v")
 def agg26(spark, sf_dir):
-    return corpus.coverage(*_processed(spark, sf_dir))
+    """Coverage of the last thirty days."""
+    return _coverage(spark, sf_dir)
+
+
+@query("udaf02", f"{VIEWS}, {_COVERAGE} SELECT statut, count(*)::BIGINT AS sources, sum(articles)::BIGINT AS articles FROM v GROUP BY 1")
+def udaf02(spark, sf_dir):
+    """Sources, and their articles, of each status."""
+    return _coverage(spark, sf_dir).groupBy("statut").agg(F.count("*").alias("sources"), F.sum("articles").alias("articles"))
 
 
-@query("agg27", f"""{VIEWS}, {_DONE} SELECT strftime(date_trunc('week', published_at), '%Y-%m-%d') AS period, count(*)::BIGINT AS total, count(*) FILTER (length(content) > 0)::BIGINT AS contenu, count(author)::BIGINT AS auteur, count(s)::BIGINT AS sentiment, count(t)::BIGINT AS themes
- FROM p WHERE published_at >= TIMESTAMP '2024-01-08' GROUP BY 1""")
+@query("agg27", f"""{VIEWS}, {_DONE}, n AS (SELECT strftime(date_trunc('week', published_at), '%Y-%m-%d') AS period, count(*) AS total, count(*) FILTER ({_LONG}) AS long, count(s) AS s, count(t) AS t FROM p WHERE published_at >= TIMESTAMP '2024-01-08' GROUP BY 1)
+ SELECT period, total::BIGINT AS total, round(100.0::DOUBLE * long / total, 1) AS contenu, round(100.0::DOUBLE * s / nullif(long, 0), 1) AS sentiment, round(100.0::DOUBLE * t / nullif(long, 0), 1) AS themes FROM n""")
 def agg27(spark, sf_dir):
     a, s, t = _processed(spark, sf_dir)
-    return corpus.processed(a.filter(filters.article_filter("2024-01-08")), F.date_format(period(F.col("published_at"), "week"), "yyyy-MM-dd").alias("period"), s, t)
+    rows = corpus.coverage_over_time(a.filter(filters.article_filter("2024-01-08")), s, t)
+    return rows.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
 @query("agg28", f"""{VIEWS} SELECT source_name AS source, type_media, count(*)::BIGINT AS articles, count(DISTINCT CASE WHEN source_kind IN ('youtube', 'tv') THEN {PARENT} END)::BIGINT AS videos, strftime(min(published_at), '%Y-%m-%d') AS "first", strftime(max(published_at), '%Y-%m-%d') AS "last",

@@ -107,3 +107,10 @@ def txt03(spark, sf_dir):
     return t.groupBy("source_kind").agg(F.count("*").alias("n"), F.countDistinct("token").alias("vocabulary"))
 
 
+_FOUND = "SELECT replace(unnest(regexp_extract_all(lower(content), '[a-zA-Zа-яёА-ЯЁ][a-zA-Zа-яёА-ЯЁ\\-'']{2,}')), 'ё', 'е') AS token FROM A"
+
+
+@query("set01", f"{VIEWS}, f AS ({_FOUND}) SELECT unnest(['type_media', 'source_kind']) AS axe, count(DISTINCT token)::BIGINT AS v, count(*)::BIGINT AS axis_n FROM f")
+def set01(spark, sf_dir):
+    """The union of the vocabularies of each axis's groups: its words and their occurrences."""
+    return lexical.vocabulary(lexical.axis_words(lexical.axis_counts(articles(spark, sf_dir))))

@@ -18,7 +18,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local one where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pressloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
