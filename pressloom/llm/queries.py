@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import katz, licenses, mixing, neardup, packing, quality, rules, token_files, topk, toxicity
+from pressloom.llm import align, katz, licenses, mixing, neardup, packing, prefixes, quality, rules, token_files, topk, toxicity, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
+
+
+def op12_tokenizer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -104,6 +116,27 @@ SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kep
 """
 
 
+#: The polynomial of crc32, applied eight times to each of the 256 bytes, then to a text's bytes in order.
+_VARIANTS_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+     crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+     r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+     d AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+     b AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END)) AS bytes FROM d),
+     h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+     e AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM h),
+     w AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+     x AS (SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+     q AS (SELECT a.word, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+           UNION SELECT a.word, b.word, b.n FROM x a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM x a JOIN w b ON a.rest = b.word),
+     g AS (SELECT word, count(*)::BIGINT AS n_near, min(struct_pack(m := -other_n, o := other)) AS best FROM q GROUP BY word),
+     f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 2 * w.n THEN best.o END AS form, CASE WHEN -best.m >= 2 * w.n THEN (-best.m)::BIGINT END AS form_n FROM w LEFT JOIN g ON w.word = g.word),
+     c(word, place) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.place = f.word WHERE f.form IS NOT NULL),
+     z AS (SELECT c.word, c.place AS root FROM c JOIN f ON c.place = f.word WHERE f.form IS NULL)
+SELECT f.*, root FROM f JOIN z ON f.word = z.word
+"""
+
+
 def _licence_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(name)}, {quote(body)})" for name, body in licenses.KNOWN)
@@ -124,4 +157,4 @@ FROM d LEFT JOIN g ON d.text_digest = g.digest LEFT JOIN a ON d.doc_id = a.doc_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": _TOP_SQL, "op3_superminhash_groups": _NEAR_SQL, "op5_quality_rules": _RULES_SQL, "op10_licence_scan": _licence_sql()}
+    return {"op2_exact_top_k": _TOP_SQL, "op3_superminhash_groups": _NEAR_SQL, "op5_quality_rules": _RULES_SQL, "op10_licence_scan": _licence_sql(), "op13_spelling_variants": _VARIANTS_SQL}

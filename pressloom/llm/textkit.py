@@ -45,6 +45,8 @@ def shingles(text: str, n: int) -> np.ndarray:
     return np.unique(ngrams(h, min(n, len(h)))) if len(h) else h
 
 
+#: The white space of the vocabularies' own pattern.
+BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space other than blanks and line feeds, marks that Python alone takes for white space, and two of white space together.
 _ODD = [*"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", "\n\n", " \n", "\n "]
