@@ -20,7 +20,27 @@ BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 1000
 #: A pair of ids as one number: a * SIDE + b.
 SIDE = 1 << 32
 
-_BLANKS = " \t-\r\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿"
+#: White space, and marks that some take for it: a generous list only cuts less.
+_BLANKS = " \t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+
+
+def _ends(spans: np.ndarray, whole: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where tokens end, in bytes: where their spans do, if they are whole characters; else so many decoded bytes after the last that is."""
+    total = np.cumsum(lengths)
+    last = np.maximum.accumulate(np.where(whole, np.arange(len(spans)), -1))
+    return np.where(last < 0, total, np.where(whole, spans, spans[last] + total - total[last]))
+
+
+class _Known(dict):
+    """Chunks' numbers; an unknown chunk gets the next one and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        at = self[chunk] = len(self)
+        self.new.append(chunk)
+        return at
 
 
 class Aligner:
@@ -29,25 +49,27 @@ class Aligner:
     Both tokenizers take a text apart at places that neither ever joins: before
     a blank or line feed that follows no white space and, where B's vocabulary
     has no piece across it, between a letter or digit and the stop or comma after
-    it. Distinct chunks between such places are aligned once and kept, until
-    there are `most`. In a chunk, A's character offsets and B's spans say where
-    tokens end; where tokens split a character, the lengths of their decoded
-    bytes do.
+    it. Distinct chunks between such places are aligned once, many in one call,
+    and kept until there are `most`. A's character offsets and B's byte spans say
+    where tokens end; where tokens split a character, the lengths of their
+    decoded bytes do. Groups end where tokens of both do.
     """
 
-    def __init__(self, a: str, b: str, most: int = 250_000):
+    def __init__(self, a: str, b: str, most: int = 500_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a, self.b, self.most = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b), most
-        self.a.encode_special_tokens = True
         byte_of = self._alphabet()
         added = {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
         self.a_bytes = {i: added[i].encode() if i in added else bytes(map(byte_of.__getitem__, t)) for t, i in self.a.get_vocab().items()}
+        self.a_lengths = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        #: A special token's string, at which A splits before anything else, and its id.
+        self.mark = next(((i, t.content) for i, t in self.a.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_byte = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.b_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, self.b_byte, strict=True)]
-        self.cut = self._cuts(pieces)
+        self._cuts(pieces)
         self._empty()
 
     @staticmethod
@@ -56,94 +78,138 @@ class Aligner:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         return {chr(x): x for x in plain} | {chr(0x100 + k): x for k, x in enumerate(sorted({*range(256)} - {*plain}))}
 
-    def _cuts(self, pieces: list[str]) -> re.Pattern:
-        """What matches a chunk: the places at which a text is cut follow from B's vocabulary."""
+    def _cuts(self, pieces: list[str]) -> None:
+        """The places at which a text may be cut follow from B's vocabulary."""
         joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        inside = {c for pair in joined for c in pair}
-        letters = [c for c in map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]) if c + "." not in joined and c + "," not in joined]
-        if "\n" in inside or any("▁" in p.lstrip("▁") for p in pieces):  # no guard, or pieces across words: whole texts
-            return re.compile("(?s).+")
-        stop = f"(?<=[{''.join(letters)}])(?=[.,])" if letters else "(?!)"
-        return re.compile(f"(?s)(?:(?!^)(?<![{_BLANKS}])(?=[ \n])|{stop})")
+        letters = "".join(c for c in map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]) if c + "." not in joined and c + "," not in joined)
+        #: Whether B never joins a line feed to anything and has no piece across words; else texts stay whole.
+        self.cuts = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
+        stop = f"(?<=[{letters}])(?=[.,])" if letters else "(?!)"
+        self.cut = re.compile(f"(?:(?!^)(?<![{_BLANKS}])(?=[ \n])|{stop})")
+        #: Stops and commas that aren't cut off, and white space that takes the slower way.
+        self.bound, self.odd = re.compile(f"(?<![{letters}])[.,]"), re.compile(f"[\\0{_BLANKS.removeprefix(' ').replace(chr(9) + '-', chr(9) + chr(11) + '-')}]|[ \n][ \n]")
+
+    def chunks(self, text: str) -> list[str]:
+        if not text:
+            return []
+        text = " " + text
+        if not self.cuts:
+            return [text]
+        if self.odd.search(text) or self.bound.search(text):
+            return self.cut.split(text)
+        return text[1:].replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").join([" ", ""]).split("\0")
 
     def _empty(self) -> None:
-        self.at: dict[str, int] = {}
+        self.known = _Known()
         self.names: list[str] = []
-        self.sums: list[tuple[int, int, int, int]] = []
-        self.links: list[np.ndarray] = []
-
-    def _ends(self, chunk: str, ids: list[int], spans: list[tuple[int, int]]) -> list[int]:
-        """Where A's tokens end, in bytes."""
-        if chunk.isascii():
-            return [e for _, e in spans]
-        place = [0, *np.cumsum([len(c.encode()) for c in chunk]).tolist()]
-        out, at = [], 0
-        for k, (i, (_, end)) in enumerate(zip(ids, spans, strict=True)):
-            whole = k + 1 == len(ids) or spans[k + 1][0] >= end
-            at = place[end] if whole else at + len(self.a_bytes[i])
-            out.append(at)
-        return out
-
-    def _pieces(self, chunk: str) -> tuple[list[int], list[int]]:
-        """B's ids of the chunk and where they end in bytes. A line feed goes before, which no piece joins to anything, and comes off again with the blank that B puts in front."""
-        guarded = chunk[0] != " " or chunk == " "
-        proto = self.b.encode("\n" + chunk if guarded else chunk[1:], return_type="proto").pieces
-        shift = -1 if guarded else 1
-        ids, ends, at = [], [], 0
-        for p in proto[2:] if guarded else proto:
-            at = at + 1 if self.b_byte[p.id] else p.end + shift
-            ids.append(p.id)
-            ends.append(at)
-        return ids, ends
-
-    def aligned(self, chunk: str, ids: list[int], spans: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]] | None:
-        """The groups of a chunk; None if a side's bytes aren't the chunk's."""
-        ends = self._ends(chunk, ids, spans)
-        b, b_ends = self._pieces(chunk)
-        data = chunk.encode()
-        if b"".join([self.a_bytes[i] for i in ids]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+        #: Of every chunk: tokens of A (-1: the bytes of a side aren't the chunk's) and of B, groups, links; and where its links start.
+        self.sums, self.starts = np.zeros((1 << 14, 4), np.int64), np.zeros(1 << 14, np.int64)
+        self.links, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def _of_a(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of the chunks in order, and where they end in the chunks' bytes."""
+        together = self.mark is not None and not any(self.mark[1] in c for c in chunks)
+        self.a.encode_special_tokens = not together
+        texts = [self.mark[1].join(chunks[i : i + 64]) for i in range(0, len(chunks), 64)] if together else chunks
+        ids, begins, ends, base = [], [], [], 0
+        for text, e in zip(texts, self.a.encode_batch(texts, add_special_tokens=False), strict=True):
+            i, offsets = np.array(e.ids), np.array(e.offsets).reshape(-1, 2)
+            if together:
+                kept = i != self.mark[0]
+                offsets = offsets - len(self.mark[1]) * np.cumsum(~kept)[:, None]
+                i, offsets = i[kept], offsets[kept]
+                base_next = base + len(text) - len(self.mark[1]) * int((~kept).sum())
+            else:
+                base_next = base + len(text)
+            ids.append(i)
+            begins.append(offsets[:, 0] + base)
+            ends.append(offsets[:, 1] + base)
+            base = base_next
+        ids, begins, ends = np.concatenate(ids), np.concatenate(begins), np.concatenate(ends)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        place = np.append(0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)))
+        return ids, _ends(place[ends], np.append(begins[1:] >= ends[:-1], True), self.a_lengths[ids])
+
+    def _of_b(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids of the chunks in order, and where they end. A line feed goes before each chunk, which no piece joins to anything, and comes off again with the blank that B puts in front."""
+        if not self.cuts:
+            chunks = [c[1:] for c in chunks]
+            pieces = [[(p.id, p.end + 1) for p in proto.pieces] for proto in self.b.encode(chunks, return_type="proto", num_threads=1)]
+            bases = np.cumsum(sizes) - sizes
+            ids = np.array([i for x in pieces for i, _ in x], np.int64)
+            spans = np.array([e + base for x, base in zip(pieces, bases.tolist(), strict=True) for _, e in x], np.int64)
+        else:
+            proto = self.b.encode("\n" + "\n".join(chunks), return_type="proto").pieces
+            ids, spans = np.array([p.id for p in proto][1:], np.int64), np.array([p.end for p in proto][1:], np.int64)
+            spans = _ends(spans, ~self.b_byte[ids], np.ones(len(ids), np.int64))
+            guards = np.cumsum(sizes + 1) - sizes
+            guard = np.isin(spans, guards)
+            ids, spans = ids[~guard], (spans - np.searchsorted(guards, spans))[~guard]
+        return ids, _ends(spans, ~self.b_byte[ids], np.ones(len(ids), np.int64))
+
+    def _learn(self, chunks: list[str], at: int) -> None:
+        """Align chunks, the first of which has number `at`."""
+        data = [c.encode() for c in chunks]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        (a, a_ends), (b, b_ends), bounds = self._of_a(chunks), self._of_b(chunks, sizes), np.cumsum(sizes)
+        whole = b"".join(data)
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            if len(chunks) > 1:
+                self._learn(chunks[: len(chunks) // 2], at)
+                return self._learn(chunks[len(chunks) // 2 :], at + len(chunks) // 2)
+            self.names.append("")
+            self.sums[at], self.starts[at] = (-1, 0, 0, 0), self.used
             return None
-        both, out, x, y = {*ends} & {*b_ends}, [], 0, 0
-        for end in sorted(both):
-            i, j = ends.index(end, x) + 1, b_ends.index(end, y) + 1
-            out.append((ids[x:i], b[y:j]))
-            x, y = i, j
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), strict=True):
-            groups = self.aligned(chunk, e.ids, e.offsets)
-            self.at[chunk] = len(self.names)
-            if groups is None:
-                self.names.append("")
-                self.sums.append((-1, 0, 0, 0))
-                self.links.append(np.empty(0, np.int64))
-                continue
-            self.names.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
-            links = [a * SIDE + b for x, y in groups for a in x for b in y]
-            self.sums.append((sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(links)))
-            self.links.append(np.array(links, np.int64))
+        cuts = np.intersect1d(a_ends, b_ends)
+        of_a, of_b = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        n_a, n_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
+        # every A token of a group with each of its B tokens
+        often = n_b[of_a]
+        total = int(often.sum())
+        first_b = (np.cumsum(n_b) - n_b)[of_a]
+        links = np.repeat(a, often) * SIDE + b[np.arange(total) - np.repeat(np.cumsum(often) - often, often) + np.repeat(first_b, often)]
+        chunk = np.searchsorted(bounds, cuts)
+        count = lambda weights: np.bincount(chunk, weights=weights, minlength=len(chunks)).astype(np.int64)
+        n_links = count(n_a * n_b)
+        self.sums[at : at + len(chunks)] = np.stack([count(n_a), count(n_b), count(None), n_links], axis=1)
+        self.starts[at : at + len(chunks)] = self.used + np.cumsum(n_links) - n_links
+        if self.used + total > len(self.links):
+            self.links = np.pad(self.links, (0, max(total, len(self.links))))
+        self.links[self.used : self.used + total] = links
+        self.used += total
+        x, y = [*map(str, a.tolist())], [*map(str, b.tolist())]
+        names, i, j = [], 0, 0
+        for k, m in zip(n_a.tolist(), n_b.tolist(), strict=True):
+            names.append(f"{x[i]}|{y[j]}" if k == m == 1 else f"{','.join(x[i : i + k])}|{','.join(y[j : j + m])}")
+            i, j = i + k, j + m
+        ends = np.cumsum(np.bincount(chunk, minlength=len(chunks))).tolist()
+        self.names += [";".join(names[p:q]) for p, q in zip([0, *ends], ends, strict=False)]
+        return None
 
     def __call__(self, batch: list[str]) -> Iterator[tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]]:
         """Of each text: tokens of A and of B, groups and links; the groups' digest; the distinct linked pairs in order, and how often each is linked."""
-        if len(self.at) > self.most:
+        if len(self.known) > self.most:
             self._empty()
-        cut = [self.cut.split(" " + text) if text else [] for text in batch]
-        if new := list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.at)):
-            self._learn(new)
-        sums = np.array(self.sums, np.int64).reshape(-1, 4)
+        number = self.known.__getitem__
+        places = [np.fromiter(map(number, chunks), np.int64, len(chunks)) for chunks in map(self.chunks, batch)]
+        if new := self.known.new:
+            self.known.new = []
+            if (more := len(self.known) - len(self.starts)) > 0:
+                more = max(more, len(self.starts))
+                self.starts, self.sums = np.pad(self.starts, (0, more)), np.pad(self.sums, ((0, more), (0, 0)))
+            self._learn(new, len(self.known) - len(new))
         nothing = (0, 0, 0, 0), "", np.empty(0, np.int64), np.empty(0, np.int64)
-        for chunks in cut:
-            at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-            if not len(at) or (sums[at, 0] < 0).any():
+        for at in places:
+            sums = self.sums[at]
+            if not len(at) or (sums[:, 0] < 0).any():
                 yield nothing
                 continue
-            each, often = np.unique(at, return_counts=True)
-            links = [self.links[i] for i in each.tolist()]
-            pairs, where = np.unique(np.concatenate(links), return_inverse=True)
-            times = np.bincount(where, weights=np.repeat(often, [*map(len, links)]), minlength=len(pairs)).astype(np.int64)
+            n = sums[:, 3]
+            total = int(n.sum())
+            links = self.links[np.arange(total) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)]
+            pairs, times = np.unique(links, return_counts=True)
             digest = hashlib.sha256(";".join(map(self.names.__getitem__, at.tolist())).encode()).hexdigest()
-            yield tuple(sums[at].sum(axis=0).tolist()), digest, pairs, times
+            yield tuple(sums.sum(axis=0).tolist()), digest, pairs, times
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
