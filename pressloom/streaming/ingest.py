@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pressloom.operators import topics
-from pressloom.operators.maintenance import insert_new
+from pressloom.operators.maintenance import insert_new, overwrite_partitions
+
+#: Days of a scope that one task takes.
+DAYS = 10
+_CLUSTER_SCHEMA = "i int, centroid array<double>, label string, top_words string, n long"
 
 
 def events(spark: SparkSession, path: str, schema: StructType | str, ts: str = "ts") -> DataFrame:
@@ -53,36 +59,86 @@ def into_articles(path: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def advance_registry(clusters: DataFrame, path: str, day: str, scope: str = "global", threshold: float = 0.62) -> None:
-    """Write the registry's snapshot of a day (path/run_date=day) from the last one before it and the day's clusters: scope, i, centroid, label, top_words, n.
-
-    A day that is run again is written again from the same snapshot, so nothing
-    is counted twice. Without an earlier snapshot every cluster is a new topic.
+def _evolved(threshold: float, keep_label: float, dormant_days: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """One scope's snapshots, day after day, from the last one before and the days' clusters (the rules of topics.greedy_match and topics.update_registry)."""
+
+    def words(text: str | None) -> set[str]:
+        return {w.strip() for w in (text or "").split(",")[:10]} - {""}
+
+    def run(key: tuple, before: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
+        known = {r["topic_key"]: dict(r) for r in before.to_dict("records")}
+        out = []
+        for day, rows in clusters.groupby("run_date", sort=True):
+            rows = rows.sort_values("i").to_dict("records")
+            unit = lambda v: np.asarray(v, float) / (np.linalg.norm(np.asarray(v, float)) + 1e-9)
+            keys = [k for k, t in known.items() if t["centroid"] is not None and len(t["centroid"])]
+            old = np.array([unit(known[k]["centroid"]) for k in keys])
+            pairs = [(-float(x), r["i"], k, r) for r in rows for k, x in zip(keys, old @ unit(r["centroid"]) if keys else (), strict=True) if x >= threshold]
+            matched: dict[int, int] = {}
+            for _, i, k, r in sorted(pairs, key=lambda p: p[:3]):
+                if i not in matched and k not in matched.values():
+                    matched[i] = k
+                    t, a, b = known[k], words(known[k]["top_words"]), words(r["top_words"])
+                    same = len(a & b) / len(a | b) if a and b else 0.0
+                    t |= {"top_words": r["top_words"], "centroid": r["centroid"], "last_seen": day, "article_count": (t["article_count"] or 0) + r["n"]} | ({} if same >= keep_label else {"label": r["label"]})
+            top = max(known, default=0)
+            for r in rows:
+                if r["i"] not in matched:
+                    top += 1
+                    known[top] = {"topic_key": top, "label": r["label"], "top_words": r["top_words"], "centroid": r["centroid"], "article_count": r["n"], "first_seen": day, "last_seen": day}
+            out += [t | {"active": (day - t["last_seen"]).days <= dormant_days, "portee": key[0], "run_date": day} for t in known.values()]
+        return pd.DataFrame(out, columns=[*(f.split()[0] for f in topics.REGISTRY.split(", ")), "run_date"])
+
+    return run
+
+
+def into_registry(path: str, scope: str | None = None, threshold: float = 0.62, keep_label: float = 0.4, dormant_days: int = 7) -> Callable[[DataFrame, int], None]:
+    """A batch writer: clusters (run_date, scope, i, centroid, label, top_words, n) into the registry's snapshots at path, by portee and run_date.
+
+    Scopes are registries of their own, with keys of their own. A batch brings a
+    scope's clusters of a day whole; they are kept beside the snapshots, in place
+    of what that scope and day had. Every day of the scope from the earliest one
+    of the batch on is then made again, from the snapshot before it: a day that
+    is run again counts once, and one that arrives late counts on all later days.
+    Scopes run side by side; days of one scope follow each other, DAYS at a time
+    in one task, which holds the scope's registry and those days' clusters. With
+    `scope`, other scopes' rows are left alone.
     """
-    from pressloom.sources.sinks import exists
-
-    spark = clusters.sparkSession
-    before = spark.createDataFrame([], topics.REGISTRY)
-    if exists(spark, path):
-        stored = spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("date")).filter(F.col("run_date") < F.lit(day).cast("date"))
-        last = stored.agg(F.max("run_date")).first()[0]
-        if last is not None:
-            before = stored.filter(F.col("run_date") == F.lit(last)).drop("run_date")
-    new = topics.update_registry(before, clusters, topics.greedy_match(clusters, before, threshold), day, scope=scope)
-    new.write.mode("overwrite").parquet(f"{path}/run_date={day}")
+    from pressloom.sources.sinks import exists, settled
 
-
-def into_registry(path: str, scope: str = "global") -> Callable[[DataFrame, int], None]:
-    """A batch writer: the days of a batch (run_date beside the clusters' columns), oldest first, into the registry."""
+    stored = f"{path.rstrip('/')}.clusters"
 
     def each(batch: DataFrame, number: int) -> None:
-        for (day,) in batch.select(F.col("run_date").cast("string")).distinct().orderBy("run_date").collect():  # days, one or a few
-            advance_registry(batch.filter(F.col("run_date") == F.lit(day).cast("date")).drop("run_date"), path, day, scope)
+        spark = batch.sparkSession
+        rows = batch if scope is None else batch.filter(F.col("scope") == scope)
+        rows = settled(rows.select(F.col("run_date").cast("date").alias("run_date"), F.col("scope").alias("portee"), "i", "centroid", "label", "top_words", F.col("n").cast("long").alias("n")), "clusters")
+        first = {r["portee"]: r["day"] for r in rows.groupBy("portee").agg(F.min("run_date").alias("day")).collect()}  # scopes: a few
+        if not first:
+            return
+        overwrite_partitions(rows, stored, "portee", "run_date")
+        made = spark.read.schema(f"{_CLUSTER_SCHEMA}, portee string, run_date date").parquet(stored)
+        again = F.lit(False)
+        for name, day in first.items():
+            again |= (F.col("portee") == name) & (F.col("run_date") >= F.lit(day))
+        days: dict[str, list] = {}
+        for name, day in made.filter(again).select("portee", "run_date").distinct().orderBy("run_date").collect():  # a row for each day
+            days.setdefault(name, []).append(day)
+        for at in range(0, max(map(len, days.values())), DAYS):
+            spans = [(name, d[at], d[min(at + DAYS, len(d)) - 1]) for name, d in days.items() if at < len(d)]
+            span = spark.createDataFrame(spans, "portee string, low date, high date")
+            before = spark.createDataFrame([], f"{topics.REGISTRY}, run_date date")
+            if exists(spark, path):
+                earlier = spark.read.schema(before.schema).parquet(path).join(F.broadcast(span), "portee").filter("run_date < low")
+                last = earlier.groupBy("portee").agg(F.max("run_date").alias("run_date"))
+                before = earlier.join(F.broadcast(last), ["portee", "run_date"]).select(before.columns)
+            now = made.join(F.broadcast(span), "portee").filter("run_date BETWEEN low AND high").select(made.columns)
+            out = before.drop("run_date").groupBy("portee").cogroup(now.groupBy(F.col("portee").alias("scope"))).applyInPandas(_evolved(threshold, keep_label, dormant_days), before.schema)
+            overwrite_partitions(settled(out, "snapshots"), path, "portee", "run_date")
 
     return each
 
 
-def backfill(clusters: DataFrame, path: str, as_of: str, days: int, scope: str = "global") -> None:
-    """The registry over the last days up to as_of, oldest first, since each day starts from the one before."""
+def backfill(clusters: DataFrame, path: str, as_of: str, days: int, scope: str | None = None) -> None:
+    """The registries over the last days up to as_of, oldest first, since each day starts from the one before."""
     within = F.col("run_date").cast("date").between(F.date_sub(F.lit(as_of).cast("date"), days - 1), F.lit(as_of).cast("date"))
     into_registry(path, scope)(clusters.filter(within), 0)
