@@ -184,8 +184,69 @@ def enough(rows: DataFrame, docs: int = 40, parents: int = 5) -> DataFrame:
     return n.withColumn("enough", (F.col("docs") >= docs) & (F.col("parents") >= parents))
 
 
+def volumes(rows: DataFrame, docs: int = 40, parents: int = 5, days: int = 7) -> DataFrame:
+    """portee, day, docs, parents, wide_docs, wide_parents, takes: what each scope's day is clustered from.
+
+    rows: portee, day, parent of every document. `day` if the day has documents
+    and parents enough by itself; else `week` if the last `days` days up to it
+    have; else `noise`: its documents stay unclassified. Documents are counted by
+    parent and day first; each such row then counts for the days whose window it is in.
+    """
+    by = rows.filter(F.col("day").isNotNull() & F.col("portee").isNotNull()).groupBy("portee", "day", "parent").agg(F.count("*").alias("n"))
+    own = by.groupBy("portee", "day").agg(F.sum("n").alias("docs"), F.count("parent").alias("parents"))
+    spread = by.withColumn("day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda k: F.date_add("day", k.cast("int")))))
+    wide = spread.groupBy("portee", "day", "parent").agg(F.sum("n").alias("n")).groupBy("portee", "day").agg(F.sum("n").alias("wide_docs"), F.count("parent").alias("wide_parents"))
+    enough = lambda n, p: (F.col(n) >= docs) & (F.col(p) >= parents)
+    takes = F.when(enough("docs", "parents"), "day").when(enough("wide_docs", "wide_parents"), "week").otherwise("noise")
+    return own.join(wide, ["portee", "day"]).withColumn("takes", takes)
+
+
+def taken(rows: DataFrame, decided: DataFrame, days: int = 7) -> DataFrame:
+    """portee, of (the day that is clustered), own (whether of that day) and the columns of rows: the documents that each scope's day is clustered from; those of `noise` days are not among them.
+
+    decided: of volumes, a row for each scope and day.
+    """
+    spread = rows.withColumn("of", F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda k: F.date_add("day", k.cast("int")))))
+    own = F.col("of") == F.col("day")
+    d = decided.select("portee", F.col("day").alias("of"), "takes")
+    return spread.join(d, ["portee", "of"]).filter((own & (F.col("takes") == "day")) | (F.col("takes") == "week")).withColumn("own", own).drop("takes")
+
+
+def drawn(assigned: DataFrame, members: int = 5, tests: int = 6, strangers: int = 6, seed: int = 42) -> DataFrame:
+    """topic_key, role (member, test, stranger), rank, article_id: the documents by which each topic is judged.
+
+    assigned: topic_key, article_id, probability. Members and tests are the most
+    probable documents (ties by id) of topics that have enough of both. Strangers
+    are documents of other topics: all are numbered by topic and then by the hash
+    of their id, and a topic takes every so manieth number outside its own from
+    one that its key's hash says, so the draw is the same however rows lie. Only
+    a hundredth or so of a topic's documents meet in one task; noise isn't drawn.
+    """
+    rows = assigned.filter(F.col("topic_key") >= 0).select("topic_key", "article_id", "probability", F.sha2(F.col("article_id").cast("string"), 256).alias("hash"))
+    rows = rows.withColumn("bucket", F.substring("hash", 1, 2))
+    # the most probable of each bucket first, then of the topic
+    top = lambda by, rank: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("probability"), "article_id")).alias(rank)
+    few = rows.select("*", top(["topic_key", "bucket"], "r")).filter(F.col("r") <= members + tests).drop("r")
+    first = few.select("topic_key", "article_id", top(["topic_key"], "rank")).filter(F.col("rank") <= members + tests)
+    sizes = rows.groupBy("topic_key", "bucket").agg(F.count("*").alias("n"))
+    # rows for each topic and bucket, and for each topic: small tables
+    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("topic_key", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    of = base.groupBy("topic_key").agg(F.sum("n").alias("size"), F.min("base").alias("start"))
+    of = of.crossJoin(F.broadcast(of.agg(F.sum("size").alias("all_n")))).filter(F.col("size") >= members + tests)
+    outside = F.col("all_n") - F.col("size")
+    at = F.conv(F.substring(F.sha2(F.concat("topic_key", F.lit(f":{seed}")), 256), 1, 8), 16, 10).cast("long")
+    k = F.explode(F.sequence(F.lit(0), F.lit(strangers - 1)))
+    asked = of.filter(outside >= strangers).select("*", outside.alias("outside"), at.alias("at"), k.alias("k"))
+    asked = asked.select("topic_key", (F.col("k") + 1).alias("rank"), F.expr("(start + size + (at + k * (outside div " + str(strangers) + ")) % outside) % all_n").alias("number"))
+    numbered = rows.join(F.broadcast(base.select("topic_key", "bucket", "base")), ["topic_key", "bucket"])
+    numbered = numbered.select("article_id", (F.col("base") + F.row_number().over(Window.partitionBy("topic_key", "bucket").orderBy("hash", "article_id")) - 1).alias("number"))
+    other = numbered.join(F.broadcast(asked), "number").select("topic_key", F.lit("stranger").alias("role"), "rank", "article_id")
+    own = first.join(F.broadcast(of.select("topic_key")), "topic_key").select("topic_key", F.when(F.col("rank") <= members, "member").otherwise("test").alias("role"), F.when(F.col("rank") <= members, F.col("rank")).otherwise(F.col("rank") - members).alias("rank"), "article_id")
+    return own.unionByName(other)
+
+
 def cluster(docs: DataFrame, k: int, seed: int = 42, least: int | None = None) -> DataFrame:
-    """id, topic: k-means over vectors; clusters below the least size become noise. Takes the place of density clustering, which Spark lacks."""
+    """id, topic: k-means over vectors; clusters below the least size become noise. A plain way beside operators.density."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import columns as c
 from pressloom.functions import html, scoring, segments
-from pressloom.operators import corpus, filters, lexical, maintenance
+from pressloom.operators import corpus, filters, language, lexical, maintenance
 from pressloom.plans.articles import PARENT, TARGETS, VIEWS, WORDS, articles, table
 from pressloom.registry import query
 from pressloom.sources.landed import cues_of
@@ -186,6 +186,34 @@ def src14(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.alias("text")).select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
+_WORDS = "unnest(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')), ' '))"
+_GRAMS = "unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3))) AS gram"
+
+
+def _language_sql(texts, learned="true"):
+    """texts: SQL of key, text; learned: which documents profiles are learned from."""
+    return f"""WITH tw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, {_WORDS} AS word FROM documents WHERE lang IS NOT NULL AND {learned}) WHERE word <> '' GROUP BY ALL),
+ by_l AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, n, {_GRAMS} FROM tw) GROUP BY ALL), tot AS (SELECT lang, sum(n) AS total, (SELECT count(DISTINCT gram) FROM by_l) AS grams FROM by_l GROUP BY 1),
+ xw AS (SELECT key, word, count(*) AS n FROM (SELECT key, {_WORDS} AS word FROM ({texts})) WHERE word <> '' GROUP BY ALL), c AS (SELECT key, gram, sum(n) AS n FROM (SELECT key, n, {_GRAMS} FROM xw) GROUP BY ALL), size AS (SELECT key, sum(n) AS size FROM c GROUP BY 1),
+ sc AS (SELECT key, lang, sum(c.n * ln((coalesce(by_l.n, 0) + 0.5) / (total + 0.5 * (grams + 1)))) AS s FROM c CROSS JOIN tot LEFT JOIN by_l USING (lang, gram) GROUP BY ALL),
+ f AS (SELECT key, lang, round(s / size, 9) AS score FROM sc JOIN size USING (key)), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, lang) AS r FROM f)
+ SELECT key, lang AS language, round(score, 6) AS score FROM r WHERE r = 1"""
+
+
+@query("src14_language", _language_sql("SELECT doc_id AS key, text FROM documents", "doc_id % 5 <> 0"))
+def src14_language(spark, sf_dir):
+    """Every document's language, by profiles learned from four fifths of them; the rest show how well."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identified(docs.select(F.col("doc_id").alias("key"), "text"), language.profiles(docs.filter("doc_id % 5 <> 0")), "key").withColumn("score", F.round("score", 6))
+
+
+@query("src14_pages", _language_sql("SELECT page_id AS key, string_agg(line, chr(10) ORDER BY i) FILTER (line <> '') AS text FROM (SELECT page_id, i, trim(regexp_replace(" + _PLAIN.format("regexp_replace(part, '<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g')) AS line FROM (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts FROM pages))) GROUP BY 1"))
+def src14_pages(spark, sf_dir):
+    """The language of every landed page's main text."""
+    text = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), html.main_text(F.col("html")).alias("text"))
+    return language.identified(text, language.profiles(table(spark, sf_dir, "documents")), "key").withColumn("score", F.round("score", 6))
+
+
 def _planted(pages, tag: str, parts: list[str]):
     """Pages with one of several parts put behind a tag, by page_id; a % in a part stands for a day."""
     day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")

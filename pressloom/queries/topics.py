@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressloom.functions.columns import share
-from pressloom.operators import corpus, filters, maintenance, topics
+from pressloom.operators import corpus, density, filters, maintenance, topics
 from pressloom.plans.articles import AS_OF, PARENT, VIEWS, articles, assignments, supports, table, techniques, topic_names, topic_quality
 from pressloom.plans.articles import topics as registry
 from pressloom.registry import query
@@ -259,6 +259,60 @@ def ml02(spark, sf_dir):
     return topics.cluster(v, 10, least=topics.minimum_cluster(v.count())).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+def _settings(spark, scope, n):
+    least = topics.minimum_cluster(n)
+    return spark.createDataFrame([(scope, f"{m}-{k}", k, m) for k in sorted({max(2, least // 2), least, least + 5}) for m in ("leaf", "eom")], "scope string, setting string, least int, method string")
+
+
+def _points(spark, sf_dir):
+    return _vectors(spark, sf_dir).select(F.lit("all").alias("scope"), F.col("vec_id").alias("id"), "vec")
+
+
+@query("ml02_tree")
+def ml02_tree(spark, sf_dir):
+    """Links of the spanning tree of mutual reachability over all vectors."""
+    docs = _points(spark, sf_dir)
+    near = spark.createDataFrame([("all", topics.minimum_cluster(docs.count()))], "scope string, samples int")
+    return density.density_tree(docs, near).select(F.round("weight", 6).alias("weight"))
+
+
+@query("ml02_density")
+def ml02_density(spark, sf_dir):
+    """Sizes of density clusters under the settings of a grid, from one tree."""
+    docs = _points(spark, sf_dir)
+    settings = _settings(spark, "all", docs.count())
+    return density.density_clusters(docs, settings).groupBy("setting", "topic").agg(F.count("*").alias("n"))
+
+
+@query("ml09_grid")
+def ml09_grid(spark, sf_dir):
+    """The settings of the grid judged at once, over the vectors that belong to articles."""
+    rows = articles(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source_kind").alias("kind"), corpus.parent().alias("parent"))
+    docs = _points(spark, sf_dir).join(rows.select("id"), "id", "left_semi")
+    return density.grid(density.density_clusters(docs, _settings(spark, "all", docs.count())), rows)
+
+
+@query("ml07_fallback", f"""{VIEWS}, r AS (SELECT portee, run_date AS day, {PARENT} AS parent FROM ASG JOIN A ON A.id = ASG.article_id WHERE run_date IS NOT NULL),
+ o AS (SELECT portee, day, count(*)::BIGINT AS docs, count(DISTINCT parent)::BIGINT AS parents FROM r GROUP BY ALL),
+ w AS (SELECT o.portee, o.day, count(*)::BIGINT AS wide_docs, count(DISTINCT parent)::BIGINT AS wide_parents FROM o JOIN r ON r.portee = o.portee AND r.day BETWEEN o.day - 6 AND o.day GROUP BY ALL)
+ SELECT portee, strftime(day, '%Y-%m-%d') AS day, docs, parents, wide_docs, wide_parents, CASE WHEN docs >= 12 AND parents >= 5 THEN 'day' WHEN wide_docs >= 12 AND wide_parents >= 5 THEN 'week' ELSE 'noise' END AS takes FROM o JOIN w USING (portee, day)""")
+def ml07_fallback(spark, sf_dir):
+    """What each scope's day is clustered from: itself, the last seven days, or nothing."""
+    a = assignments(spark, sf_dir).select("article_id", "portee", F.col("run_date").alias("day")).join(articles(spark, sf_dir).select(F.col("id").alias("article_id"), corpus.parent().alias("parent")), "article_id")
+    return topics.volumes(a, docs=12).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("txt13_draw", f"""{VIEWS}, ta AS (SELECT topic_key, article_id, sha256(article_id) AS h FROM ASG WHERE portee = 'global' AND topic_key >= 0),
+ fa AS (SELECT topic_key, article_id, row_number() OVER (PARTITION BY topic_key ORDER BY article_id) AS r FROM ta), na AS (SELECT article_id, row_number() OVER (ORDER BY topic_key, h, article_id) - 1 AS number FROM ta),
+ za AS (SELECT topic_key, count(*) AS size, sum(count(*)) OVER (ORDER BY topic_key) - count(*) AS start, sum(count(*)) OVER () AS all_n FROM ta GROUP BY 1),
+ qa AS (SELECT topic_key, k + 1 AS rank, (start + size + (('0x' || left(sha256(topic_key || ':42'), 8))::BIGINT + k * ((all_n - size) // 6)) % (all_n - size)) % all_n AS number FROM za, range(6) t(k) WHERE size >= 11 AND all_n - size >= 6)
+ SELECT topic_key::INTEGER AS topic_key, CASE WHEN r <= 5 THEN 'member' ELSE 'test' END AS role, (CASE WHEN r <= 5 THEN r ELSE r - 5 END)::INTEGER AS rank, article_id FROM fa JOIN za USING (topic_key) WHERE r <= 11 AND size >= 11
+ UNION ALL SELECT topic_key::INTEGER, 'stranger', rank::INTEGER, article_id FROM qa JOIN na USING (number)""")
+def txt13_draw(spark, sf_dir):
+    """The members, tests and strangers of every topic."""
+    return topics.drawn(assignments(spark, sf_dir).filter("portee = 'global'"))
+
+
 @query("ml08", f"{VIEWS} SELECT portee, count(*)::BIGINT AS n, greatest(4, least(15, count(*) // 25))::BIGINT AS least, greatest(2, least(10, count(*) - 1))::BIGINT AS near FROM ASG GROUP BY 1")
 def ml08(spark, sf_dir):
     """The least cluster and the neighbours that each scope's number of documents calls for."""
