@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import columns as c
 from pressloom.functions import html, scoring, segments
-from pressloom.operators import corpus, filters, language, lexical, maintenance
+from pressloom.operators import corpus, filters, language, lemmas, lexical, maintenance
 from pressloom.plans.articles import PARENT, TARGETS, VIEWS, WORDS, articles, table
 from pressloom.registry import query
 from pressloom.sources.landed import cues_of
@@ -214,6 +214,23 @@ def src14_pages(spark, sf_dir):
     return language.identified(text, language.profiles(table(spark, sf_dir, "documents")), "key").withColumn("score", F.round("score", 6))
 
 
+@query("txt03_lemmas", f"""{VIEWS}, tk AS (SELECT replace(unnest(regexp_extract_all(lower(content), '[a-zA-Zа-яёА-ЯЁ][a-zA-Zа-яёА-ЯЁ\\-'']{{2,}}')), 'ё', 'е') AS word FROM A),
+ ct AS (SELECT word, count(*) AS n FROM tk GROUP BY 1), kn AS (SELECT word, left(word, length(word) - 1) AS lemma FROM ct WHERE word LIKE '%s' AND left(word, length(word) - 1) IN (SELECT word FROM ct) UNION ALL SELECT word, word FROM ct WHERE word NOT LIKE '%s' AND n > 1),
+ sh AS (SELECT word, lemma, len(list_filter(range(1, least(length(word), length(lemma)) + 1), lambda i: left(word, i) = left(lemma, i))) AS shared FROM kn),
+ en AS (SELECT word, lemma, unnest(range(greatest(shared - 4, 0), shared + 1)) AS place FROM sh), ru AS (SELECT substr(word, place + 1) AS suffix, substr(lemma, place + 1) AS ending, count(*) AS n FROM en GROUP BY ALL),
+ be AS (SELECT suffix, arg_min(ending, struct_pack(m := -n, e := ending)) AS ending, max(n) AS n FROM ru GROUP BY 1 HAVING max(n) >= 2),
+ su AS (SELECT word, unnest(range(0, length(word) + 1)) AS size FROM ct WHERE word NOT IN (SELECT word FROM kn)), hi AS (SELECT word, max(size) AS size, arg_max(ending, size) AS ending FROM su JOIN be ON suffix = right(word, size) GROUP BY 1),
+ le AS (SELECT word, lemma FROM kn UNION ALL SELECT ct.word, CASE WHEN size IS NULL THEN ct.word ELSE left(ct.word, length(ct.word) - size) || ending END FROM ct LEFT JOIN hi USING (word) WHERE ct.word NOT IN (SELECT word FROM kn))
+ SELECT lemma, sum(n)::BIGINT AS n, count(*)::BIGINT AS words FROM ct JOIN le USING (word) GROUP BY 1""")
+def txt03_lemmas(spark, sf_dir):
+    """Occurrences and forms by lemma. The dictionary is made of the corpus: words whose form without s occurs too, and repeated words without s; rules learned from it do the rest."""
+    t = articles(spark, sf_dir).select(F.explode(lexical.tokens(F.col("content"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    bare = F.expr("left(word, length(word) - 1)")
+    known = t.filter("word LIKE '%s'").select("word", bare.alias("lemma")).join(t.select(F.col("word").alias("lemma")), "lemma", "left_semi").select("word", "lemma")
+    known = known.unionByName(t.filter("word NOT LIKE '%s' AND n > 1").select("word", F.col("word").alias("lemma")))
+    return lemmas.lemmatise(t.withColumnRenamed("word", "token"), known).groupBy(F.col("token").alias("lemma")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+
+
 def _planted(pages, tag: str, parts: list[str]):
     """Pages with one of several parts put behind a tag, by page_id; a % in a part stands for a day."""
     day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
