@@ -184,6 +184,26 @@ def str04(spark, sf_dir):
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
+def _closed(spark, sf_dir, make):
+    """The windows of the events that a stream has closed: written as they close, read back."""
+    path, source = _scratch(spark, "windows"), table(spark, sf_dir, "events")
+    out = make(ingest.events(spark, _events_dir(spark, sf_dir), source.schema))
+    ingest.drain(out, ingest.into_windows(path), _scratch(spark, "state")).awaitTermination()
+    return spark.read.parquet(path).select(out.columns).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query("str03_closed", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS \"start\", event_type, count(*)::BIGINT AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2")
+def str03_closed(spark, sf_dir):
+    """Daily counts of the days that are over: a day behind the latest event nothing can come."""
+    return _closed(spark, sf_dir, lambda r: ingest.tumbling(r, "ts", "1 day", "1 day", "event_type"))
+
+
+@query("str04_closed", "SELECT strftime(d - to_days(k::INTEGER), '%Y-%m-%d %H:%M') AS \"start\", count(*)::BIGINT AS n FROM (SELECT date_trunc('day', ts) AS d FROM events) e, range(7) t(k) WHERE d - to_days(k::INTEGER) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
+def str04_closed(spark, sf_dir):
+    """The same over windows of seven days."""
+    return _closed(spark, sf_dir, lambda r: ingest.sliding(r, "ts", "1 day", "7 days", "1 day"))
+
+
 @query("dml07", f"{VIEWS} SELECT 'articles' AS name, count(*)::BIGINT AS n FROM A")
 def dml07(spark, sf_dir):
     """Articles and two tables derived from them; the derived ones are dropped."""

@@ -59,6 +59,20 @@ def into_articles(path: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
+def into_windows(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for closed windows, a partition a batch: a batch that is run again takes its own place.
+
+    With a watermark, a stream in append mode emits each window once, when no row
+    that still counts can fall in it; its state goes then. Rows that come later
+    than that are left out.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return each
+
+
 def _evolved(threshold: float, keep_label: float, dormant_days: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """One scope's snapshots, day after day, from the last one before and the days' clusters (the rules of topics.greedy_match and topics.update_registry)."""
 
