@@ -88,25 +88,31 @@ def read(html: str | None) -> _Page:
     return page
 
 
+def found_links(html: str | None, base: str | None) -> list[dict]:
+    """pos, url, title of every link that a page shows, in order."""
+    out = []
+    for tag, a, text in read(html).found:
+        if tag == "a" and a.get("href"):
+            try:
+                url = urljoin(base or "", a["href"]).split("#")[0].rstrip("/")
+            except ValueError:
+                continue
+            out.append({"pos": len(out), "url": url, "title": (text or a.get("aria-label", "") or a.get("title", "")).strip()[:300]})
+    return out
+
+
 @F.pandas_udf(T.ArrayType(_LINK))
 def _links(html: pd.Series, base: pd.Series) -> pd.Series:
-    def one(h, b):
-        out = []
-        for tag, a, text in read(h).found:
-            if tag == "a" and a.get("href"):
-                try:
-                    url = urljoin(b or "", a["href"]).split("#")[0].rstrip("/")
-                except ValueError:
-                    continue
-                out.append({"pos": len(out), "url": url, "title": (text or a.get("aria-label", "") or a.get("title", "")).strip()[:300]})
-        return out
-
-    return pd.Series([one(h, b) for h, b in zip(html, base, strict=True)])
+    return pd.Series([found_links(h, b) for h, b in zip(html, base, strict=True)])
 
 
 def links(pages: DataFrame) -> DataFrame:
     """page_id, pos, url, title, article: the first link to each address that a landed page (page_id, url, html) shows, and whether it looks like an article of that host."""
-    rows = pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.inline(_links("html", "url")))
+    return first_links(pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.inline(_links("html", "url"))))
+
+
+def first_links(rows: DataFrame) -> DataFrame:
+    """Of rows of page_id, host, pos, url, title: the first of each page and address, and whether it looks like an article."""
     first = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))
     return rows.withColumn("r", first).filter("r = 1").select("page_id", "pos", "url", "title", article_url(F.col("url"), F.col("host")).alias("article"))
 

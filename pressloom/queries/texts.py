@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import columns as c
-from pressloom.functions import html, scoring, segments
+from pressloom.functions import html, scoring, segments, tables
 from pressloom.operators import corpus, filters, language, lemmas, lexical, maintenance
 from pressloom.plans.articles import PARENT, TARGETS, VIEWS, WORDS, articles, table
 from pressloom.registry import query
@@ -170,14 +170,25 @@ def src02(spark, sf_dir):
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
 
-@query("src03", f"""WITH f AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS found FROM pages), a AS (SELECT page_id, base, unnest(found) AS a, unnest(range(len(found))) AS pos FROM f),
+_LINKS = f"""WITH f AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS found FROM pages), a AS (SELECT page_id, base, unnest(found) AS a, unnest(range(len(found))) AS pos FROM f),
  t AS (SELECT page_id, pos, base, trim(split_part({_PLAIN.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")}, '#', 1), '/') AS path, {_PLAIN.format("regexp_extract(a, '>([^<]*)<', 1)")} AS title FROM a),
- r AS (SELECT *, rtrim(base || '/' || path, '/') AS url, string_split(path, '/')[-1] AS last, row_number() OVER (PARTITION BY page_id, base, path ORDER BY pos) AS r FROM t) SELECT page_id, pos::INTEGER AS pos, url, left(trim(title), 300) AS title, {_ARTICLE} AS article FROM r WHERE r = 1""")
+ r AS (SELECT *, rtrim(base || '/' || path, '/') AS url, string_split(path, '/')[-1] AS last, row_number() OVER (PARTITION BY page_id, base, path ORDER BY pos) AS r FROM t) SELECT page_id, pos::INTEGER AS pos, url, left(trim(title), 300) AS title, {_ARTICLE} AS article FROM r WHERE r = 1"""
+
+
+@query("src03", _LINKS)
 def src03(spark, sf_dir):
     """The same with place, title and whether they look like articles."""
     return html.links(table(spark, sf_dir, "pages"))
 
 
+@query("src03_lateral", _LINKS)
+def src03_lateral(spark, sf_dir):
+    """The same links by the table function, called from SQL."""
+    tables.register(spark)
+    sql = "SELECT p.page_id, regexp_extract(p.url, '^[a-z]+://([^/?#]*)', 1) AS host, l.* FROM {pages} p, LATERAL page_links(p.html, p.url) l"
+    return html.first_links(spark.sql(sql, pages=table(spark, sf_dir, "pages")))
+
+
 @query("src14", f"""WITH a AS (SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM a),
  t AS (SELECT page_id, i, trim(regexp_replace({_PLAIN.format("regexp_replace(part, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g')) AS line FROM p), j AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) FILTER (line <> '') AS text FROM t GROUP BY 1) SELECT page_id, length(text)::INTEGER AS n, md5(text) AS digest FROM j""")
 def src14(spark, sf_dir):

@@ -63,3 +63,14 @@ def test_author_bylines_and_signatures(spark):
 def test_paragraphs_with_unclosed_bold(spark):
     page = "<article><p><b>First.<br><p>Second.</p><p>Third.</article><p><span><div>Block</div>"
     assert one(spark, html.main_text(F.col("html")), html=page) == "First.\nSecond.\nThird."
+
+
+def test_table_functions_in_sql(spark):
+    from pressloom.functions import tables
+
+    tables.register(spark)
+    pages = spark.createDataFrame([(1, "https://x.org/", '<a href="/a">A</a><p>one</p><a href="b#c" title="B"></a><p>two</p>'), (2, "https://x.org/", None), (3, None, "<p></p>")], "page_id int, url string, html string")
+    got = spark.sql("SELECT p.page_id, l.* FROM {pages} p, LATERAL page_links(p.html, p.url) l", pages=pages).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "https://x.org/a", "A"), (1, 1, "https://x.org/b", "B")]
+    lines = spark.sql("SELECT p.page_id, l.* FROM {pages} p, LATERAL page_lines(p.html) l", pages=pages).collect()
+    assert sorted(map(tuple, lines), key=repr) == [(1, 0, "one"), (1, 1, "two")]
