@@ -61,11 +61,14 @@ def late_dates(stored: DataFrame, pages: DataFrame, key: str = "id") -> DataFram
     whose page is gone or holds no date takes the time it was fetched at; without
     that it stays null, with a null method.
     """
+    found_as = "found"
+    while found_as in {c.lower() for c in stored.columns}:
+        found_as = f"_{found_as}"
     missing = stored.filter("published_at IS NULL").select(key)
-    found = pages.join(missing, key, "left_semi").dropDuplicates([key]).select(key, page_date(F.col("html"), F.col("url")).alias("__d"))
-    kept, found_at = F.col("published_at").isNotNull(), F.col("__d.dt").isNotNull()
-    rows = stored.join(found, key, "left").withColumn("method", F.when(kept, "kept").when(found_at, F.col("__d.method")).when(F.col("fetched_at").isNotNull(), "fetched"))
-    return repaired(rows, published_at=F.coalesce("__d.dt", "fetched_at")).drop("__d")
+    found = pages.join(missing, key, "left_semi").dropDuplicates([key]).select(key, page_date(F.col("html"), F.col("url")).alias(found_as))
+    kept, found_at = F.col("published_at").isNotNull(), F.col(f"{found_as}.dt").isNotNull()
+    rows = stored.join(found, key, "left").withColumn("method", F.when(kept, "kept").when(found_at, F.col(f"{found_as}.method")).when(F.col("fetched_at").isNotNull(), "fetched"))
+    return repaired(rows, published_at=F.coalesce(f"{found_as}.dt", "fetched_at")).drop(found_as)
 
 
 def with_default(df: DataFrame, column: str, value: str) -> DataFrame:

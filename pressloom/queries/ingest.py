@@ -217,7 +217,10 @@ def dml07(spark, sf_dir):
     for name in [n for n in made if spark.catalog.tableExists(f"{prefix}__{n}")]:
         n = spark.table(f"{prefix}__{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
         out = n if out is None else out.unionByName(n)
-    return out
+    counted = sinks.settled(out, "counted")
+    for name in made:
+        spark.sql(f"DROP TABLE IF EXISTS {prefix}__{name}")
+    return counted
 
 
 _TYPE = "CASE CAST(substr(source_name, 4) AS BIGINT) % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'telegram' WHEN 2 THEN 'hls' ELSE 'vk' END"

@@ -106,3 +106,12 @@ def test_late_dates(spark):
     got = {r["id"]: (str(r["published_at"])[:10], r["method"]) for r in rows}
     assert len(rows) == 5
     assert got == {1: ("2024-01-01", "kept"), 2: ("None", None), 3: ("2024-03-06", "meta"), 4: ("2024-08-01", "fetched"), None: ("None", None)}
+
+
+def test_late_dates_with_clashing_names(spark):
+    from pressloom.operators import maintenance
+
+    stored = spark.createDataFrame([("a", None, None, 1, 2), ("b", None, None, 3, 4)], "id string, published_at timestamp, fetched_at timestamp, __d int, found int")
+    pages = spark.createDataFrame([("a", "https://x.org/2024/01/02/a", "<p>x</p>")], "id string, url string, html string")
+    got = {r.id: (r["__d"], r.found, r.method) for r in maintenance.late_dates(stored, pages).collect()}
+    assert got["b"] == (3, 4, None) and got["a"][:2] == (1, 2)
