@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressloom.functions.blocks import body_text
 from pressloom.functions.columns import article_url, bad_author, clean_author, iso_time, text_date, url_date
 
 _TEXT = T.StringType()
@@ -123,13 +124,8 @@ def article_links(pages: DataFrame) -> DataFrame:
 
 @F.pandas_udf(_TEXT)
 def main_text(html: pd.Series) -> pd.Series:
-    """Paragraphs of a page outside navigation, header and footer, a line each; null if there are none."""
-
-    def one(h):
-        kept = [t for t, inside in read(h).paragraphs if not inside & {"nav", "footer", "header", "aside", "form"}]
-        return "\n".join(kept) or None
-
-    return pd.Series([one(h) for h in html])
+    """The main text of a page by density, a line each block; null if there is none."""
+    return html.map(body_text, na_action="ignore").astype(object)
 
 
 @F.pandas_udf(T.ArrayType(_POST))

@@ -189,14 +189,28 @@ def src03_lateral(spark, sf_dir):
     return html.first_links(spark.sql(sql, pages=table(spark, sf_dir, "pages")))
 
 
-@query("src14", f"""WITH a AS (SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM a),
- t AS (SELECT page_id, i, trim(regexp_replace({_PLAIN.format("regexp_replace(part, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g')) AS line FROM p), j AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) FILTER (line <> '') AS text FROM t GROUP BY 1) SELECT page_id, length(text)::INTEGER AS n, md5(text) AS digest FROM j""")
+_ARTICLE_TEXT = f"""WITH a AS (SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM a),
+ t AS (SELECT page_id, i, trim(regexp_replace({_PLAIN.format("regexp_replace(part, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g')) AS line FROM p), j AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) FILTER (line <> '') AS text FROM t GROUP BY 1) SELECT page_id, length(text)::INTEGER AS n, md5(text) AS digest FROM j"""
+
+
+@query("src14", _ARTICLE_TEXT)
 def src14(spark, sf_dir):
     """Main text of landed pages: its length and digest."""
     text = html.main_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", text.alias("text")).select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
+@query("src14_density", _ARTICLE_TEXT)
+def src14_density(spark, sf_dir):
+    """The same with menus, links, comments and scraps planted around and inside the articles, which lose their element: none of it may count."""
+    menu = "<div>" + "".join(f'<div><a href="/r{i}">Section number {i} of the site</a></div>' for i in range(8)) + "</div>"
+    inside = '<div><a href="/more">Read also what was written about it before</a></div><div class="share-buttons">Share this text with all of your friends and with everybody else you know, today and tomorrow</div>'
+    behind = '<div><span>12 replies</span></div><div id="comments">' + "<p>A reader says at some length what readers say, and that there would be much more to say about it.</p>" * 3 + "</div>" + menu + "<div>All rights reserved</div>"
+    h = F.replace("html", F.lit("<article>"), F.lit(menu + '<div class="text">'))
+    h = F.replace(F.replace(h, F.lit("</h1>"), F.lit("</h1>" + inside)), F.lit("</article>"), F.lit("</div>" + behind))
+    return table(spark, sf_dir, "pages").select("page_id", html.main_text(h).alias("text")).select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
 _WORDS = "unnest(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')), ' '))"
 _GRAMS = "unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3))) AS gram"
 

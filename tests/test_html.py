@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pressloom.functions import html
+from pressloom.functions.blocks import body_text
 
 PAGE = """<html><head><meta name="author" content="@outlet"><script type="application/ld+json">{"@graph": [{"@type": "NewsArticle", "datePublished": "2024-03-05T10:00:00Z", "author": [{"@type": "Organization", "name": "Outlet"}, {"@type": "Person", "name": "Jane Doe"}]}]}</script></head>
 <body><nav><p>menu</p><a href="/about">About</a></nav><article><h1>Head</h1><p>First <b>para</b>.<p>Second &amp; last.</article>
@@ -74,3 +75,30 @@ def test_table_functions_in_sql(spark):
     assert sorted(map(tuple, got)) == [(1, 0, "https://x.org/a", "A"), (1, 1, "https://x.org/b", "B")]
     lines = spark.sql("SELECT p.page_id, l.* FROM {pages} p, LATERAL page_lines(p.html) l", pages=pages).collect()
     assert sorted(map(tuple, lines), key=repr) == [(1, 0, "one"), (1, 1, "two")]
+
+
+LONG = "The council met on Monday to speak about the bridge, which has been closed since the flood of last spring."
+
+
+def test_main_text_by_density():
+    links = "".join(f'<li><a href="/{i}">Another story of the day {i}</a></li>' for i in range(6))
+    menu = f"<div><ul>{links}</ul></div>"
+    bare = f"<body>{menu}<div><h2>Bridge closed</h2>{LONG}<br><br>{LONG} Again.<br>Short one.<div>{LONG} Last.</div></div>{menu}<div>Contact us</div>"
+    assert body_text(bare) == "\n".join(["Bridge closed", LONG, LONG + " Again.", "Short one.", LONG + " Last."])
+    comments = f'<article><h1>Bridge</h1><p>{LONG}</p><p>Short.</p></article><section class="comments-area"><h3>Two comments</h3><p>{LONG}</p></section><div id="disqus_thread"><p>{LONG}</p></div>'
+    assert body_text(comments) == f"Bridge\n{LONG}\nShort."
+    related = f"<main><p>{LONG}</p><h3>Related</h3>{menu}<table><tr><td>{LONG}</td></tr></table></main>"
+    assert body_text(related) == LONG
+    inside = f'<article><p>{LONG}</p><p><a href="/x">Read also this other story of ours</a></p><p>{LONG} With <a href="/y">one link</a> in it.</p></article>'
+    assert body_text(inside) == f"{LONG}\n{LONG} With one link in it."
+    assert body_text(f"<h1>Bridge</h1>{menu}<p>{LONG}</p>") == f"Bridge\n{LONG}"
+    assert body_text(f"<h1>Other</h1><p>Far.</p>{menu}<p>{LONG}</p>") == LONG
+    assert body_text(f'<body class="has-sidebar menu"><p>{LONG}</p></body>') == LONG
+    assert body_text(menu) is None
+    for h in (None, "", "<", "<div><p", "plain", "</p></div>", "<a>" * 300):
+        body_text(h)
+
+
+def test_main_text_of_a_long_page():
+    text = body_text("<div>" * 200 + f"<p>{LONG}</p>" * 20000)
+    assert text.count("\n") == 19999
