@@ -8,6 +8,7 @@ from pressloom.operators import maintenance, topics
 from pressloom.plans.articles import AS_OF, VIEWS, articles, assignments, sentiment, table, techniques, topic_names, topic_quality
 from pressloom.registry import query
 from pressloom.sources import landed, sinks
+from pressloom.sources.keyed import KeyedStore
 from pressloom.sources.sinks import scratch_path as _scratch
 from pressloom.streaming import ingest
 
@@ -16,8 +17,10 @@ from pressloom.streaming import ingest
 def snk01(spark, sf_dir):
     """Half of the articles appended, then all of them twice: each is stored once."""
     path, a = _scratch(spark, "articles"), articles(spark, sf_dir)
+    store = KeyedStore(spark, path, buckets=8)
     for part in (a.filter("doc_id % 2 = 0"), a, a):
-        sinks.append_articles(spark, part, path)
+        store.append(part)
+    store.forget()
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 

@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.operators.maintenance import insert_new
-
 #: The columns of a snapshot: all but the raw page.
 SNAPSHOT = ["id", "source_name", "feed_url", "url", "title", "author", "summary", "content", "language", "published_at", "fetched_at", "pays", "type_media", "statut_legal_ru", "source_kind", "view_count"]
 
@@ -34,9 +32,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def append_articles(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Append rows whose id and url aren't stored yet. Partitioned by day, so that date filters prune."""
-    stored = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
-    rows = insert_new(stored, new).withColumn("published_date", F.to_date("published_at"))
-    rows.write.mode("append").partitionBy("published_date").parquet(path)
+    from pressloom.sources.keyed import KeyedStore
+
+    KeyedStore(spark, path).append(new)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

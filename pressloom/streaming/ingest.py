@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pressloom.operators import topics
-from pressloom.operators.maintenance import insert_new, overwrite_partitions
+from pressloom.operators.maintenance import overwrite_partitions
+from pressloom.sources.keyed import KeyedStore
 
 #: Days of a scope that one task takes.
 DAYS = 10
@@ -50,11 +51,7 @@ def into_articles(path: str) -> Callable[[DataFrame, int], None]:
     """A batch writer that appends only ids that aren't stored; a batch that is run again adds nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
-        from pressloom.sources.sinks import exists
-
-        spark = batch.sparkSession
-        new = insert_new(spark.read.parquet(path), batch, ("id",)) if exists(spark, path) else batch.dropDuplicates(["id"])
-        new.write.mode("append").parquet(path)
+        KeyedStore(batch.sparkSession, path, ("id",), day=None).append(batch)
 
     return each
 
