@@ -145,6 +145,7 @@ def clean_author(text: Column) -> Column:
     return F.when(F.length(t).between(3, 60), t)
 
 
+# Parts of a path and endings that no article has.
 _EXCLUDED = r"(?i)/(tag|tags|author|page|wp-content|wp-json|wp-admin|wp-includes|feed|comments|search|login|register|contact|about|mentions|privacy|cookies|rss|atom|sitemap|cdn-cgi)(/|$|\?)|\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|mp4|mp3|css|js)(\?|$)|#"
 
 

@@ -181,6 +181,7 @@ AUTHOR_PLACES = [
 DATE_PLACES = ["article:published_time", "datePublished", "og:published_time", "pubdate", "publishdate", "date", "DC.date.issued", "sailthru.date", "parsely-pub-date"]
 
 
+# What names after 'by' and signatures of the agency look like.
 _LETTERS = "[A-ZÉÈÊÀÂÔÇа-яёА-ЯЁa-zéèêàâôç]+"
 _BYLINE = re.compile(rf"\b(?:par|by|автор:?)\s+({_LETTERS}(?:[\s\-]{_LETTERS}){{0,4}})", re.I)
 _NAME = r"[A-ZÉÈÊÀÂÔÇ][A-ZÉÈÊÀÂÔÇa-zéèêàâôç\-']{2,}"

@@ -119,3 +119,13 @@ def collection_runs(times: DataFrame, column: str, gap: str = "30 minutes") -> D
     number = F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("start")) - F.col("joined")
     numbered = runs.join(days.select("day", "joined", "before"), "day").withColumn("run", number)
     return numbered.groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("run")
+
+
+def treemap(by: DataFrame, group: str, member: str, groups: int = 15, most: int = 10) -> DataFrame:
+    """group, member, n, pct of all rows: of the largest groups the largest members each (ties: first by name)."""
+    sizes = by.groupBy(group).agg(F.sum("n").alias("size"))
+    top = sizes.orderBy(F.desc("size"), group).limit(groups).select(group)
+    total = by.agg(F.sum("n").alias("total"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), member))
+    rows = by.join(F.broadcast(top), group).withColumn("r", rank).filter(F.col("r") <= most)
+    return rows.crossJoin(F.broadcast(total)).select(group, member, "n", share(F.col("n"), F.col("total"), 2).alias("pct"))

@@ -89,10 +89,9 @@ def divergence(counts: DataFrame, alpha: float = 0.5, least: int = 8, sources: i
     counts: axe, groupe, source, token, n. A word's part in KL(group || rest),
     Laplace smoothed over the axis's vocabulary, kept where it is positive, often
     enough used, and by several sources (fewer where the group has fewer). A
-    group alone on its axis is left out. keep settles what several steps read, so
-    that texts are taken apart once.
+    group alone on its axis is left out. counts are read twice, words three times:
+    keep settles the words, axis_counts the counts.
     """
-    counts = keep(counts, "counts")
     by = counts.groupBy("axe", "groupe", "token").agg(F.sum("n").alias("n"), F.countDistinct("source").alias("s"))
     by = keep(by, "words")
     word = axis_words(by)
@@ -105,10 +104,11 @@ def divergence(counts: DataFrame, alpha: float = 0.5, least: int = 8, sources: i
     return rows.withColumn("rang", rank).filter(F.col("rang") <= most).select("axe", "groupe", "token", "contribution", F.round(F.col("p") * 10000, 6).alias("freq_groupe"), F.round(F.col("q") * 10000, 6).alias("freq_reste"), F.col("n").alias("n_groupe"), "rang")
 
 
-def axis_counts(df: DataFrame, stopwords: list[str] = ()) -> DataFrame:
-    """axe, groupe, source, token, n for both axes; words are counted by source before they are dealt to axes."""
+def axis_counts(df: DataFrame, stopwords: list[str] = (), keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """axe, groupe, source, token, n for both axes; words are counted by source before they are dealt to axes. keep settles those counts, a row a source and word, so that texts are taken apart once."""
     words = df.select("source_name", "type_media", "source_kind", F.explode(tokens(F.col("content"), stopwords)).alias("token"))
     n = words.groupBy("source_name", "type_media", "source_kind", "token").agg(F.count("*").alias("n"))
+    n = keep(n, "counts")
     axes = F.explode(F.array(F.struct(F.lit("type_media").alias("axe"), F.col("type_media").alias("groupe")), F.struct(F.lit("source_kind").alias("axe"), F.col("source_kind").alias("groupe"))))
     return n.select(axes.alias("x"), F.col("source_name").alias("source"), "token", "n").select("x.axe", "x.groupe", "source", "token", "n")
 

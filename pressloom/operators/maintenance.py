@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.functions.html import page_date
+from pressloom.functions.columns import bad_author
+from pressloom.functions.html import page_author, page_date
 
 
 def insert_new(stored: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("id", "url")) -> DataFrame:
@@ -71,6 +72,29 @@ def late_dates(stored: DataFrame, pages: DataFrame, key: str = "id") -> DataFram
     return repaired(rows, published_at=F.coalesce(f"{found_as}.dt", "fetched_at")).drop(found_as)
 
 
+def audited_authors(stored: DataFrame, pages: DataFrame, key: str = "id") -> DataFrame:
+    """stored (key, author, source_name) with bad authors taken out and missing ones found on their pages, and what became of each (outcome).
+
+    outcome: kept; nulled (bad, nothing found); replaced (bad, found on the page);
+    found (none before); missing. Only pages (key, html; one a key) of rows without
+    a good author are parsed, once. What is found is cleaned; what is kept stays as
+    it is. A blank author counts as none and becomes null.
+    """
+    taken = {c.lower() for c in stored.columns}
+    free = lambda n: n if n not in taken else free(f"_{n}")
+    found, good, page, of = map(free, ("found", "good", "page", "of"))
+    blank = F.coalesce(F.trim("author"), F.lit("")) == ""
+    rows = stored.withColumn(good, ~blank & ~F.coalesce(bad_author(F.col("author"), F.col("source_name")), F.lit(False)))
+    asked = rows.filter(~F.col(good)).groupBy(key).agg(F.min("source_name").alias(of))
+    held = pages.select(key, F.col("html").alias(page)).join(asked, key).dropDuplicates([key])
+    names = held.select(key, page_author(F.col(page), F.coalesce(of, F.lit(""))).alias(found))
+    out = rows.join(names, key, "left")
+    there = F.col(found).isNotNull()
+    outcome = F.when(F.col(good), "kept").when(blank, F.when(there, "found").otherwise("missing")).otherwise(F.when(there, "replaced").otherwise("nulled"))
+    out = out.withColumn("outcome", outcome).withColumn("author", F.when(F.col(good), F.col("author")).otherwise(F.col(found)))
+    return out.select(*stored.columns, "outcome")
+
+
 def with_default(df: DataFrame, column: str, value: str) -> DataFrame:
     """A column that older rows lack, or hold null in, filled with the value (scopes came later than assignments)."""
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in df.columns else F.lit(value))

@@ -57,12 +57,20 @@ def latest_quality(quality: DataFrame, topics: DataFrame, weak: float = 0.5) ->
     return rows.select("topic_key", "label", "categorie", F.round("coherence", 6).alias("coherence"), F.round("distinction", 6).alias("distinction"), ((F.col("coherence") < weak) | (F.col("distinction") < weak)).alias("weak"))
 
 
-def drifted(now: DataFrame, before: DataFrame) -> DataFrame:
-    """theme, part, ecart, state: shares of a period's themes against the period before; those new have no ecart, those gone no part."""
-    with_share = lambda d: d.crossJoin(F.broadcast(d.agg(F.sum("n").alias("t")))).select("theme", share(F.col("n"), F.col("t")).alias("p"))
-    a, b = with_share(now).withColumnRenamed("p", "part"), with_share(before).withColumnRenamed("p", "was")
-    state = F.when(F.col("was").isNull(), "new").when(F.col("part").isNull(), "gone").otherwise("kept")
-    return a.join(b, "theme", "full").select("theme", "part", F.round(F.col("part") - F.col("was"), 6).alias("ecart"), state.alias("state"))
+def drifted(assigned: DataFrame, topics: DataFrame, now: tuple[str, str], before: tuple[str, str], scope: str = "global") -> DataFrame:
+    """theme, part, was, ecart, state: shares of a period's themes against the period before; those new have no ecart, those gone no part.
+
+    Both periods (first and last day) are counted in one pass, and totals follow
+    from the counts: a row a topic, of which a scope has some thousands at most.
+    """
+    within = lambda span: F.col("run_date").between(*[F.lit(d).cast("date") for d in span])
+    rows = assigned.filter((F.col("portee") == scope) & (F.col("topic_key") >= 0) & (within(now) | within(before)))
+    n = rows.groupBy("topic_key").agg(F.count_if(within(now)).alias("a"), F.count_if(within(before)).alias("b"))
+    named = n.join(topics.select("topic_key", F.col("label").alias("theme")), "topic_key")
+    every = named.agg(F.collect_list(F.struct("theme", "a", "b")).alias("rows"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b")).select(F.inline("rows"), "all_a", "all_b")
+    part = lambda c: F.when(F.col(c) > 0, share(F.col(c), F.col(f"all_{c}")))
+    state = F.when(F.col("b") == 0, "new").when(F.col("a") == 0, "gone").otherwise("kept")
+    return every.select("theme", part("a").alias("part"), part("b").alias("was"), F.round(part("a") - part("b"), 6).alias("ecart"), state.alias("state"))
 
 
 def keyword_jaccard(a: Column, b: Column, first: int = 10) -> Column:

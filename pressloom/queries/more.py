@@ -105,7 +105,7 @@ def txt06(spark, sf_dir):
     """Divergence over the last days of one language, if there are documents enough, stored by run date, twice: the rows of the run."""
     recent = articles(spark, sf_dir).filter(filters.article_filter("2024-01-02", AS_OF, language=["en"]) & (F.length("content") >= 200))
     enough = recent.agg((F.count("*") >= 100).alias("enough"))
-    counts = lexical.axis_counts(recent).join(F.broadcast(enough)).filter("enough").drop("enough")
+    counts = lexical.axis_counts(recent, keep=settled).join(F.broadcast(enough)).filter("enough").drop("enough")
     rows = lexical.divergence(counts, keep=settled).withColumn("run_date", F.lit(AS_OF))
     path = scratch_path(spark, "divergence")
     for _ in range(2):

@@ -88,17 +88,17 @@ _KL_COLUMNS = "axe, groupe, token, contribution, round(p * 10000, 6) AS freq_gro
 
 @query("txt05", f"{VIEWS}, {_KL} SELECT {_KL_COLUMNS} FROM r WHERE rang <= 60")
 def txt05(spark, sf_dir):
-    return lexical.divergence(lexical.axis_counts(articles(spark, sf_dir)), keep=settled)
+    return lexical.divergence(lexical.axis_counts(articles(spark, sf_dir), keep=settled), keep=settled)
 
 
 @query("win08", f"{VIEWS}, {_KL} SELECT axe, groupe, token, rang::INTEGER AS rang FROM r WHERE rang <= 5")
 def win08(spark, sf_dir):
-    return lexical.divergence(lexical.axis_counts(articles(spark, sf_dir)), most=5, keep=settled).select("axe", "groupe", "token", "rang")
+    return lexical.divergence(lexical.axis_counts(articles(spark, sf_dir), keep=settled), most=5, keep=settled).select("axe", "groupe", "token", "rang")
 
 
 @query("srt10", f"{VIEWS}, {_KL} SELECT {_KL_COLUMNS} FROM r WHERE rang <= 25 AND axe = 'type_media'")
 def srt10(spark, sf_dir):
-    return lexical.divergence(lexical.axis_counts(articles(spark, sf_dir)), keep=settled).filter("rang <= 25 AND axe = 'type_media'")
+    return lexical.divergence(lexical.axis_counts(articles(spark, sf_dir), keep=settled), keep=settled).filter("rang <= 25 AND axe = 'type_media'")
 
 
 @query("txt03", f"{VIEWS}, f AS (SELECT source_kind, replace(unnest(regexp_extract_all(lower(content), '[a-zA-Zа-яёА-ЯЁ][a-zA-Zа-яёА-ЯЁ\\-'']{{2,}}')), 'ё', 'е') AS token FROM A) SELECT source_kind, count(*)::BIGINT AS n, count(DISTINCT token)::BIGINT AS vocabulary FROM f GROUP BY 1")

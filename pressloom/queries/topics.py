@@ -67,13 +67,12 @@ _DRIFT = f"""now AS ({_THEMES(*_NOW)}), was AS ({_THEMES(*_BEFORE)}), pa AS (SEL
 
 @query("win11", f"{VIEWS}, {_DRIFT} SELECT theme, part, round(part - was, 6) AS ecart, CASE WHEN was IS NULL THEN 'new' WHEN part IS NULL THEN 'gone' ELSE 'kept' END AS state FROM pa FULL JOIN pb USING (theme)")
 def win11(spark, sf_dir):
-    return topics.drifted(_themes(spark, sf_dir, _NOW), _themes(spark, sf_dir, _BEFORE))
+    return topics.drifted(assignments(spark, sf_dir), topic_names(spark, sf_dir), _NOW, _BEFORE).drop("was")
 
 
 @query("join17", f"{VIEWS}, {_DRIFT} SELECT theme, part, was FROM pa LEFT JOIN pb USING (theme)")
 def join17(spark, sf_dir):
-    d = topics.drifted(_themes(spark, sf_dir, _NOW), _themes(spark, sf_dir, _BEFORE)).filter("part IS NOT NULL")
-    return d.select("theme", "part", F.round(F.col("part") - F.col("ecart"), 6).alias("was"))
+    return topics.drifted(assignments(spark, sf_dir), topic_names(spark, sf_dir), _NOW, _BEFORE).filter("part IS NOT NULL").select("theme", "part", "was")
 
 
 @query("set05", f"{VIEWS}, now AS ({_THEMES('2024-01-31', '2024-01-31')}), was AS ({_THEMES(*_BEFORE)}) SELECT theme FROM was WHERE theme NOT IN (SELECT theme FROM now) ORDER BY theme LIMIT 12")

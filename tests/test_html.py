@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import html
 from pressloom.functions.blocks import body_text
+from pressloom.operators import maintenance
 
 PAGE = """<html><head><meta name="author" content="@outlet"><script type="application/ld+json">{"@graph": [{"@type": "NewsArticle", "datePublished": "2024-03-05T10:00:00Z", "author": [{"@type": "Organization", "name": "Outlet"}, {"@type": "Person", "name": "Jane Doe"}]}]}</script></head>
 <body><nav><p>menu</p><a href="/about">About</a></nav><article><h1>Head</h1><p>First <b>para</b>.<p>Second &amp; last.</article>
@@ -102,3 +103,14 @@ def test_main_text_by_density():
 def test_main_text_of_a_long_page():
     text = body_text("<div>" * 200 + f"<p>{LONG}</p>" * 20000)
     assert text.count("\n") == 19999
+
+
+def test_author_audit(spark):
+    page = '<span class="byline">Jane Doe</span>'
+    stored = spark.createDataFrame([(1, "Lena Kowal", "s", 1), (2, "@x", "s", 1), (3, "@x", None, 1), (4, None, "s", 1), (5, " ", "s", 1), (None, None, "s", 1), (2, "@x", "s", 1)], "id int, author string, source_name string, found int")
+    pages = spark.createDataFrame([(1, page), (2, page), (2, page), (3, "<p>none</p>"), (4, page), (9, page), (None, page)], "id int, html string")
+    got = maintenance.audited_authors(stored, pages)
+    assert got.columns == [*stored.columns, "outcome"]
+    rows = sorted(((r["id"], r["author"], r["outcome"]) for r in got.collect()), key=repr)
+    assert rows == sorted([(1, "Lena Kowal", "kept"), (2, "Jane Doe", "replaced"), (2, "Jane Doe", "replaced"), (3, None, "nulled"), (4, "Jane Doe", "found"), (5, None, "missing"), (None, None, "missing")], key=repr)
+    assert maintenance.audited_authors(stored.limit(0), pages.limit(0)).count() == 0
