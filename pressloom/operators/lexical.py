@@ -92,7 +92,7 @@ def divergence(counts: DataFrame, alpha: float = 0.5, least: int = 8, sources: i
     group alone on its axis is left out. counts are read twice, words three times:
     keep settles the words, axis_counts the counts.
     """
-    by = counts.groupBy("axe", "groupe", "token").agg(F.sum("n").alias("n"), F.countDistinct("source").alias("s"))
+    by = counts.groupBy("axe", "groupe", "token", "source").agg(F.sum("n").alias("n")).groupBy("axe", "groupe", "token").agg(F.sum("n").alias("n"), F.count("source").alias("s"))
     by = keep(by, "words")
     word = axis_words(by)
     group = by.groupBy("axe", "groupe").agg(F.sum("n").alias("group_n")).join(counts.groupBy("axe", "groupe").agg(F.countDistinct("source").alias("group_s")), ["axe", "groupe"]).join(vocabulary(word), "axe").filter("axis_n > group_n")
