@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressloom.functions.columns import url_hash
 
 TARGET, MOST, TAIL, TITLE = 2000, 2300, 300, 150
-_END = r"[.!?…]['\"»)]?\s*$"
+END = r"[.!?…]['\"»)]?\s*$"
 
 
 def clean_cues(rows: DataFrame, video: str = "video", position: str = "pos", text: str = "text") -> DataFrame:
@@ -42,7 +42,7 @@ def segments(cues: Column) -> Column:
         start = F.when(fresh, c["t"]).otherwise(acc["start"])
         text = F.when(fresh, c["text"]).otherwise(F.concat(acc["text"], F.lit(" "), c["text"]))
         n = F.when(fresh, size).otherwise(acc["n"] + size)
-        ends = (n >= TARGET) & c["text"].rlike(_END)
+        ends = (n >= TARGET) & c["text"].rlike(END)
         after = F.concat(done, F.array(F.struct(F.coalesce(start, F.lit(0.0)).cast("double").alias("start"), text.alias("text"))))
         return F.when(ends, pack(after, F.lit(None).cast("double"), F.lit(""), F.lit(0))).otherwise(pack(done, start, text, n))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import columns as c
 from pressloom.functions import html, scoring, segments, tables
-from pressloom.operators import corpus, filters, language, lemmas, lexical, maintenance
-from pressloom.plans.articles import PARENT, TARGETS, VIEWS, WORDS, articles, table
+from pressloom.operators import corpus, filters, language, lemmas, lexical, maintenance, stances
+from pressloom.plans.articles import PARENT, TARGETS, VIEWS, WORDS, articles, sentiment, table
 from pressloom.registry import query
 from pressloom.sources.landed import cues_of
 
@@ -334,8 +334,11 @@ _BLOCKS = """z AS MATERIALIZED (SELECT k, i, length(w) + 1 AS size, regexp_match
  segments AS (SELECT k, segment::INTEGER AS segment, min(start) AS start, string_agg(text, ' ' ORDER BY b) AS text FROM h GROUP BY 1, 2)"""
 
 
-@query("txt01", f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(1)), chr(1)) AS ws FROM documents), cues AS MATERIALIZED (SELECT doc_id AS k, unnest(ws) AS w, unnest(range(len(ws))) AS i, (i * 4)::DOUBLE AS t FROM l), {_BLOCKS}
- SELECT k AS doc_id, segment, start, length(text)::INTEGER AS n, md5(text) AS digest FROM segments""")
+_SEGMENTED = f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(1)), chr(1)) AS ws FROM documents), cues AS MATERIALIZED (SELECT doc_id AS k, unnest(ws) AS w, unnest(range(len(ws))) AS i, (i * 4)::DOUBLE AS t FROM l), {_BLOCKS}
+ SELECT k AS doc_id, segment, start, length(text)::INTEGER AS n, md5(text) AS digest FROM segments"""
+
+
+@query("txt01", _SEGMENTED)
 def txt01(spark, sf_dir):
     """Documents' words as cues, regrouped into segments: start, length and digest of each."""
     words = F.split("text", r"(?<=\.) ")
@@ -344,6 +347,15 @@ def txt01(spark, sf_dir):
     return rows.select("doc_id", "segment", "s.start", F.length("s.text").alias("n"), F.md5("s.text").alias("digest"))
 
 
+@query("txt01_lateral", _SEGMENTED)
+def txt01_lateral(spark, sf_dir):
+    """The same rows from SQL, by the table function transcript_segments."""
+    tables.register(spark)
+    cues = F.transform(F.split("text", r"(?<=\.) "), lambda w, i: F.struct((i * 4).cast("double").alias("t"), w.alias("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", cues.alias("cues"))
+    return spark.sql("SELECT doc_id, s.segment, s.start, length(s.text) AS n, md5(s.text) AS digest FROM {docs}, LATERAL transcript_segments(cues) s", docs=docs)
+
+
 @query("txt02", f"""WITH RECURSIVE c AS (SELECT conv_id, turn, trim(replace(text, chr(10), ' ')) AS text FROM conversations), f AS (SELECT * FROM c WHERE length(text) > 0), l AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM f),
  cues AS MATERIALIZED (SELECT conv_id AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn * 30.0 AS t, text AS w FROM l WHERE before IS NULL OR before <> text), {_BLOCKS}, u AS (SELECT *, 'https://example.org/watch?v=c' || k AS base, count(*) OVER (PARTITION BY k) AS parts FROM segments)
  SELECT left(sha256(base || '#seg' || segment), 16) AS id, base || '&t=' || start::BIGINT || 's' AS url, 'Conversation ' || k || ' [' || (segment + 1) || '/' || parts || ']' AS title, text AS content, segment FROM u""")
@@ -401,6 +413,24 @@ def txt10(spark, sf_dir):
     return rows.groupBy("target", "stance").agg(F.count("*").alias("n"), F.round(F.avg("lean"), 6).alias("lean"))
 
 
+_STANCES = ", ".join(f"count(*) FILTER (stance = '{s}') AS n{i}" for i, s in enumerate(stances.STANCES))
+
+
+@query("txt10_learned", f"""{VIEWS}, v AS (SELECT article_id AS id, {_STANCES} FROM S WHERE stance <> 'non_concerne' AND doc_id % 5 <> 0 GROUP BY 1),
+ w AS MATERIALIZED (SELECT DISTINCT id, replace(unnest(regexp_extract_all(lower(content), '[a-zA-Zа-яёА-ЯЁ][a-zA-Zа-яёА-ЯЁ\\-'']{{2,}}')), 'ё', 'е') AS token FROM A),
+ tot AS (SELECT sum(n0) AS a0, sum(n1) AS a1, sum(n2) AS a2, a0 + a1 + a2 AS judged FROM v JOIN A USING (id) WHERE content IS NOT NULL), k AS MATERIALIZED (SELECT token, sum(n0) AS n0, sum(n1) AS n1, sum(n2) AS n2, (sum(n0) + sum(n1) + sum(n2)) / any_value(judged)::DOUBLE AS rate FROM w JOIN v USING (id), tot GROUP BY 1),
+ lw AS MATERIALIZED (SELECT token, {", ".join(f"ln((n{i} + 2 * rate) / (a{i} + 2)) - ln(rate) AS w{i}" for i in range(3))} FROM k, tot WHERE round(2 * ({" + ".join(f"CASE WHEN n{i} > 0 THEN n{i} * ln(n{i} / (a{i} * rate)) ELSE 0 END" for i in range(3))}), 9) > 20), b AS (SELECT {", ".join(f"ln((a{i} + 0.5::DOUBLE) / (judged + 1.5::DOUBLE)) AS b{i}" for i in range(3))} FROM tot),
+ g AS (SELECT id, sum(w0) AS s0, sum(w1) AS s1, sum(w2) AS s2 FROM w JOIN lw USING (token) GROUP BY 1), f AS (SELECT A.id, coalesce(content, '') AS content, {", ".join(f"round(coalesce(s{i}, 0) + b{i}, 9) AS f{i}" for i in range(3))} FROM A LEFT JOIN g USING (id), b), h(target, word) AS (VALUES {", ".join(f"('{t}', '{w}')" for t, w in _HINTS.items())}),
+ r AS (SELECT target, (length(content) - length(replace(content, word, ''))) // length(word) AS hits, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 'anti' WHEN f1 >= f2 THEN 'neutre' ELSE 'pro' END AS stance, (exp(f2 - greatest(f0, f1, f2)) - exp(f0 - greatest(f0, f1, f2))) / (exp(f0 - greatest(f0, f1, f2)) + exp(f1 - greatest(f0, f1, f2)) + exp(f2 - greatest(f0, f1, f2))) AS lean FROM f, h)
+ SELECT target, CASE WHEN hits > 0 THEN stance ELSE 'non_concerne' END AS stance, count(*)::BIGINT AS n, round(avg(least(1.0::DOUBLE, hits / 10::DOUBLE)), 6) AS score, round(avg(CASE WHEN hits > 0 THEN lean ELSE 0.0::DOUBLE END), 6) AS lean FROM r GROUP BY 1, 2""")
+def txt10_learned(spark, sf_dir):
+    """A scorer learned from the judgements stored for four fifths of the articles, applied to all: counts by target and stance."""
+    a = articles(spark, sf_dir)
+    known = stances.learned(a, sentiment(spark, sf_dir).filter("doc_id % 5 <> 0"))
+    rows = stances.stance_rows(a, known, _HINTS)
+    return rows.groupBy("target", "stance").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"), F.round(F.avg("lean"), 6).alias("lean"))
+
+
 @query("txt12", f"{VIEWS} SELECT topic_key::INTEGER AS topic_key, array_to_string(list_transform(string_split(top_words, ',')[1:3], lambda x: trim(x)), ' / ') AS label FROM T")
 def txt12(spark, sf_dir):
     from pressloom.plans.articles import topic_names

@@ -267,7 +267,13 @@ def _points(spark, sf_dir):
     return _vectors(spark, sf_dir).select(F.lit("all").alias("scope"), F.col("vec_id").alias("id"), "vec")
 
 
-@query("ml02_tree")
+# Prim's algorithm as a recursion: open holds the least link of each document that isn't in the tree yet, null for the others.
+@query("ml02_tree", """WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT greatest(4, least(15, count(*) // 25)) AS k FROM embeddings),
+ d AS MATERIALIZED (SELECT a.i, b.i AS j, list_distance(a.v, b.v) AS d FROM e a CROSS JOIN e b), c AS MATERIALIZED (SELECT i, list_sort(list(d) FILTER (i <> j))[least(k, count(*) - 1)] AS core FROM d CROSS JOIN p GROUP BY i, k),
+ m AS MATERIALIZED (SELECT d.i, list(greatest(d.d, a.core, b.core) ORDER BY j) AS reach FROM d JOIN c a ON a.i = d.i JOIN c b ON b.i = d.j GROUP BY d.i),
+ r AS (SELECT NULL::DOUBLE AS weight, list_transform(reach, lambda x, k: CASE WHEN k > 1 THEN x END) AS open FROM m WHERE i = 1
+  UNION ALL SELECT weight, list_transform(list_zip(open, reach), lambda x, k: CASE WHEN x[1] IS NOT NULL AND k <> next THEN least(x[1], x[2]) END) AS open FROM (SELECT open, list_min(open) AS weight, list_position(open, list_min(open)) AS next FROM r WHERE list_min(open) IS NOT NULL) JOIN m ON m.i = next)
+ SELECT round(weight, 6) AS weight FROM r WHERE weight IS NOT NULL""")
 def ml02_tree(spark, sf_dir):
     """Links of the spanning tree of mutual reachability over all vectors."""
     docs = _points(spark, sf_dir)
