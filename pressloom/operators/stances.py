@@ -56,7 +56,8 @@ def stance_rows(docs: DataFrame, known: DataFrame, targets: dict[str, str]) -> D
     """
     names = list(targets)
     hits = F.array(*[F.regexp_count(F.coalesce("content", F.lit("")), F.lit(targets[t])) for t in names])
-    each = docs.select("id", hits.alias("hits"), F.explode_outer(_words(F.col("content"))).alias("token"))
+    once = docs.select("id", hits.alias("hits"), _words(F.col("content")).alias("words"))  # in one select with the explode, hits would be counted again for every word
+    each = once.select("id", "hits", F.explode_outer("words").alias("token"))
     said = each.join(F.broadcast(known.filter("token IS NOT NULL")), "token", "left").groupBy("id", "hits").agg(*[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(len(STANCES))])
     prior = known.filter("token IS NULL").select(F.col("weights").alias("prior"))
     fit = F.array(*[F.round(F.col(f"s{i}") + F.col("prior")[i], 9) for i in range(len(STANCES))])
