@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -157,27 +158,41 @@ def _multiples(counts: dict[int, int], largest: int, filling: list[tuple[int, in
     return [(tuple(kinds.items()), m) for m in dict.fromkeys((many, 1))]
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Bins:
+@dataclass
+class Plan:
+    """Fillings, what found them ('descent' and 'search' of bin completion, or 'best fit'), and the lower bound on bins."""
+
+    bins: Bins
+    found_by: str
+    least: int
+
+    @property
+    def size(self) -> int:
+        return sum(m for _, m in self.bins)
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Fillings for so many pieces of each length, in as few bins as can be found.
 
     Bin completion: the largest length left gets a filling around it, fullest
     first, as many times as the counts allow or once, so a few steps place
-    however many pieces there are. The first descent, never cut short, and
-    best-fit decreasing are the first incumbents. Then the search goes back step
-    by step through the other undominated fillings, leaving out what wastes more
-    than the best known solution allows and what L2 says can't become better. It
-    ends when a solution meets the lower bound, when all is searched (the best is
-    then optimal), or after `nodes` steps, its only limit.
+    however many pieces there are. The first descent, never cut short, gives the
+    plan unless best-fit decreasing, the other incumbent, needs fewer bins. Then
+    the search goes back step by step through the other undominated fillings,
+    leaving out what wastes more than the best known solution allows and what L2
+    says can't become better. It ends when a solution meets the lower bound, when
+    all is searched (the best is then optimal), or after `nodes` steps, its only
+    limit.
     """
     left = {s: c for s, c in counts.items() if c}
     total, least = sum(s * c for s, c in left.items()), lower_bound(left, capacity)
-    best = best_fit(left, capacity)
+    best, found_by = best_fit(left, capacity), "best fit"
     bins = sum(m for _, m in best)
     frames: list[Iterator] = [_steps(left, capacity)] if left else []
     path: Bins = []
     used = waste = 0
     descending = True
-    while frames and bins > least and nodes > 0:
+    while frames and (descending or bins > least and nodes > 0):
         if len(path) == len(frames):  # take back this frame's last step
             filling, many = path.pop()
             used, waste = used - many, waste - many * (capacity - sum(s * n for s, n in filling))
@@ -202,12 +217,12 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
             if not left[s]:
                 del left[s]
         if not left:
+            if used < bins + descending:
+                best, bins, found_by = list(path), used, "descent" if descending else "search"
             descending = False
-            if used < bins:
-                best, bins = list(path), used
         elif descending or used + lower_bound(left, capacity) < bins:
             frames.append(_steps(left, capacity))
-    return best
+    return Plan(best, found_by, least)
 
 
 def _pieces(vocabulary: str, capacity: int):
@@ -247,7 +262,7 @@ def _slots(bins: Bins) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs; found_by, over_bound: what found the plan and by how many sequences it misses the lower bound, alike in all rows.
 
     Only the histogram of lengths (capacity numbers at most) reaches the driver,
     which plans fillings and how often each is used. Each piece has a rank among
@@ -260,7 +275,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     """
     pieces = settle(cut(docs, vocabulary, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = _slots(plan_bins(histogram, capacity))
+    plan = plan_bins(histogram, capacity)
+    slots = _slots(plan.bins)
     buckets = max(1, sum(histogram.values()) // 10_000)
     placed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sizes = placed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
@@ -280,4 +296,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
                 sequence[here], offset[here] = firsts[at] + ranks[here] - starts[at], offsets[at]
             yield pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=sequence, offset=offset)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.withColumns({"found_by": F.lit(plan.found_by), "over_bound": F.lit(plan.size - plan.least).cast("long")})

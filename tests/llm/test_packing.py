@@ -46,7 +46,7 @@ def check(bins, counts, capacity):
 @given(st.lists(st.integers(1, 20), max_size=9))
 def test_plan_is_optimal_on_small_cases(sizes):
     counts = {s: sizes.count(s) for s in sizes}
-    bins = packing.plan_bins(counts, 20)
+    bins = packing.plan_bins(counts, 20).bins
     check(bins, counts, 20)
     assert sum(m for _, m in bins) == fewest(tuple(sizes), 20)
 
@@ -58,7 +58,7 @@ def test_plan_is_optimal_on_hard_lengths(seed):
     low, high = [(650, 1060), (683, 760), (520, 1030), (400, 1100)][seed % 4]
     sizes = [rng.randint(low, high) for _ in range(9)]
     counts = {s: sizes.count(s) for s in sizes}
-    bins = packing.plan_bins(counts, 2048)
+    bins = packing.plan_bins(counts, 2048).bins
     check(bins, counts, 2048)
     assert sum(m for _, m in bins) == fewest(tuple(sizes), 2048) >= packing.lower_bound(counts, 2048)
 
@@ -89,12 +89,36 @@ def test_plan_of_many_pieces_is_tight():
     for _ in range(20_000):
         s = min(2048, int(rng.lognormvariate(6, 1)) + 1)
         counts[s] = counts.get(s, 0) + 1
-    bins = packing.plan_bins(counts)
+    bins = packing.plan_bins(counts).bins
     check(bins, counts, 2048)
     assert sum(m for _, m in bins) <= -(-sum(s * c for s, c in counts.items()) // 2048) + 1
     check(packing.best_fit(counts, 2048), counts, 2048)
 
 
+def test_plans_come_from_bin_completion():
+    """The first descent where it meets the bound (best fit needs more), the search where neither it nor best fit is enough; best fit alone only as an incumbent."""
+    rng = np.random.default_rng(1)
+    sizes, many = np.unique(np.clip(rng.lognormal(5.5, 1, 100_000).astype(int) + 1, 1, 2048), return_counts=True)
+    counts = dict(zip(sizes.tolist(), many.tolist(), strict=True))
+    plan = packing.plan_bins(counts)
+    check(plan.bins, counts, 2048)
+    assert plan.found_by == "descent" and plan.size == plan.least < sum(m for _, m in packing.best_fit(counts, 2048))
+    found = []
+    for seed in range(40):
+        rnd = random.Random(seed)
+        counts = {}
+        for _ in range(30):
+            s = rnd.randint(520, 1030)
+            counts[s] = counts.get(s, 0) + 1
+        plan, descent, fit = packing.plan_bins(counts), packing.plan_bins(counts, nodes=0), sum(m for _, m in packing.best_fit(counts, 2048))
+        check(plan.bins, counts, 2048)
+        assert plan.least <= plan.size <= descent.size <= fit
+        assert (plan.found_by == "search") == (plan.size < descent.size) and (descent.found_by == "best fit" or descent.size <= fit)
+        found.append(plan.found_by)
+    assert found.count("search") > 3 and found.count("descent") > 3
+    assert packing.plan_bins({}).size == 0
+
+
 def test_pack_holds_its_contract(spark):
     docs = awkward(spark, [(100 + i, "some words here " * (i * 37 % 90), "en", "d", 1, 1.0, "x") for i in range(120)])
     rows = [r.asDict() for r in packing.pack(docs, VOCABULARY).collect()]
@@ -112,6 +136,7 @@ def test_pack_holds_its_contract(spark):
             at += length
         assert at <= 2048
     assert len(bins) <= -(-sum(r["length"] for r in rows) // 2048) + 1
+    assert {(r["found_by"], r["over_bound"]) for r in rows} == {("descent", 0)}
     assert packing.pack(empty(spark), VOCABULARY).count() == 0
 
 
