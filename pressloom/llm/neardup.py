@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.llm.shared import Scratch, fresh_name, settle, texts
@@ -111,6 +111,10 @@ def _sets(n: int):
     return run
 
 
+#: Nodes that a task of _forest holds at a time.
+_PART = 500_000
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Union-find over one partition's edges: each node that isn't the smallest of its tree, beside that smallest."""
     parent: dict[int, int] = {}
@@ -126,46 +130,70 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 500_000:  # a bounded part of the forest at a time; later rounds join the trees
+        if len(parent) > _PART:  # a bounded part of the forest at a time; later rounds join the trees
             yield pd.DataFrame([(x, r) for x in parent if (r := find(x)) != x], columns=["a", "b"])
             parent.clear()
     yield pd.DataFrame([(x, r) for x in parent if (r := find(x)) != x], columns=["a", "b"]).astype("int64")
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """node, component: the smallest node that links a, b reach; nodes without links are left out.
+def _sight() -> tuple[Column, Column]:
+    """What tells whether links have changed; n is their number."""
+    return F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
+
+
+#: Links whose components one task finds: too few nodes to fill a part of _forest.
+_FEW = _PART // 2
+
+
+def components(edges: DataFrame, scratch: Scratch | None = None, n: int | None = None, few: int = _FEW) -> DataFrame:
+    """node, component: the smallest node that links a, b reach; nodes without links are left out. n: the number of links, if known.
 
-    Local union-find shrinks each partition to a forest. Then large-star and
+    Local union-find shrinks each partition to a forest. A few links, or a
+    forest of few, are finished by one task, without a shuffle. Otherwise large-star and
     small-star steps (each node's neighbours move to its smallest neighbour)
     alternate until the edges no longer change, which needs rounds in the
     logarithm of the longest path. Minima are aggregated before they are joined,
     so that a node with very many links makes no large group.
     """
-    settle = (scratch or Scratch(edges.sparkSession)).settle
+    scratch = scratch or Scratch(edges.sparkSession)
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    edges = settle(edges.mapInPandas(_forest, "a long, b long").distinct(), "forest")
+    forest = lambda df: df.mapInPandas(_forest, "a long, b long")
+    if n is None or n > few:
+        edges, now = scratch.measured(forest(edges).distinct(), "forest", *_sight())
+        n = now["n"]
+    if n <= few:
+        return forest(edges.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
-    while True:
+    while now != before:
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = ends.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = settle(small, "stars")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
+        edges, now = scratch.measured(small, "stars", *_sight())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _joined(parts: DataFrame, links: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """node, component as parts has them, once n links between its parts are added: only those parts are told anew.
+
+    A part's smallest node isn't among the nodes of parts, so what joins another part is either such a node or a new one.
+    """
+    moved = components(links, scratch, n)
+    to = moved.select(F.col("node").alias("of"), F.col("component").alias("to"))
+    again = parts.join(to, parts["component"] == to["of"], "left").select("node", F.coalesce("to", "component").alias("component"))
+    return scratch.settle(again.unionByName(moved), "parts")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets reach the similarity."""
+    """The pairs a, b, with their other columns, whose full sets reach the similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select(pairs.columns)
 
 
 #: Rounds of stars before the exact comparison across parts; they only save it work.
@@ -174,7 +202,7 @@ _ROUNDS = 3
 
 def _centres(links: DataFrame, parts: DataFrame) -> DataFrame:
     """part, centre: of each component of two documents or more the one with the most links found so far."""
-    degrees = links.groupBy("a").count().unionByName(links.groupBy(F.col("b").alias("a")).count()).groupBy("a").agg(F.sum("count").alias("n"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
     named = degrees.join(parts, degrees["a"] == parts["node"], "left").select(F.coalesce("component", "a").alias("part"), "a", "n")
     return named.groupBy("part").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("centre"))
 
@@ -185,18 +213,23 @@ def _mixed_keys(part_of: DataFrame) -> DataFrame:
     return sizes.groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
 
 
+def _between(one: tuple[str, str], other: tuple[str, str]) -> list[Column]:
+    """a < b of two members, p < q of their parts. Given: their columns and those of their parts."""
+    (x, p), (y, q) = one, other
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.least(p, q).alias("p"), F.greatest(p, q).alias("q")]
+
+
 def _stars(part_of: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs a < b: each member outside its key's main part with that part's centre, and with the smallest other such member if their parts differ."""
+    """Pairs a < b and their parts p < q: each member outside its key's main part with that part's centre, and with the smallest other such member if their parts differ."""
     outside = part_of.join(_mixed_keys(part_of), "key").filter("part <> main")
-    to_centre = outside.join(centres.withColumnRenamed("part", "main"), "main").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    to_centre = outside.join(centres.withColumnRenamed("part", "main"), "main").select(*_between(("centre", "main"), ("rep", "part")))
     least = outside.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("part", "rep").alias("of"))
-    to_lead = outside.join(least, "key").filter("part <> of").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    pairs = to_centre.unionByName(to_lead).filter("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    to_lead = outside.join(least, "key").filter("part <> of").select(*_between(("lead", "of"), ("rep", "part")))
+    return to_centre.unionByName(to_lead).distinct()
 
 
 def _across(part_of: DataFrame, centres: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links a, b between members of one band key that are in different parts: key, rep, part.
+    """Links a, b between members of one band key that are in different parts p, q. part_of: key, rep, part.
 
     Keys with the same main part make a group; its hub L is that part's centre.
     Of a set x write r for how much of L it lacks, a for how much it adds, and
@@ -214,16 +247,16 @@ def _across(part_of: DataFrame, centres: DataFrame, sets: DataFrame, percent: in
     meet nowhere, however many they are; members of one part are never paired.
     """
     held = part_of.join(_mixed_keys(part_of), "key").select(F.col("main").alias("grp"), "rep", "part").distinct()
-    held = held.join(centres.withColumnRenamed("part", "grp"), "grp", "left").select(F.coalesce("centre", "grp").alias("hub"), (F.col("part") == F.col("grp")).alias("inner"), "rep", "part")
+    held = held.join(centres.withColumnRenamed("part", "grp"), "grp", "left").select("grp", F.coalesce("centre", "grp").alias("hub"), (F.col("part") == F.col("grp")).alias("inner"), "rep", "part")
     x = sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("sx"))
     centre = sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("sl"))
     lack, add = F.array_except("sl", "sx"), F.array_except("sx", "sl")
-    facts = held.join(x, "rep").join(centre, "hub").select("hub", "inner", "rep", "part", F.size(lack).alias("r"), F.size(add).alias("a"), F.concat(lack, add).alias("diff"), ((100 - percent) * F.size("sl")).alias("room"))
+    facts = held.join(x, "rep").join(centre, "hub").select("grp", "hub", "inner", "rep", "part", F.size(lack).alias("r"), F.size(add).alias("a"), F.concat(lack, add).alias("diff"), ((100 - percent) * F.size("sl")).alias("room"))
     facts = facts.withColumns({"w": 100 * F.col("r") + percent * F.col("a"), "d": F.size("diff")})
     heavy = F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("room")) / 100)).cast("int")
     light = F.greatest(heavy, F.ceil((2 * F.col("w") - F.col("room")) / (100 + percent)).cast("int"))
     facts = scratch.settle(facts.withColumns({"heavy": F.col("d") - heavy + 1, "light": F.col("d") - light + 1}), "differences")
-    near = facts.filter("NOT inner AND w <= room").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    near = facts.filter("NOT inner AND w <= room").select(*_between(("hub", "grp"), ("rep", "part")))
 
     indexed = facts.select("hub", "inner", "rep", "part", "w", "r", "a", "d", "room", "heavy", "light", F.explode("diff").alias("elem"))
     met = indexed.groupBy("hub", "elem").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).filter("df > 1")
@@ -239,7 +272,7 @@ def _across(part_of: DataFrame, centres: DataFrame, sets: DataFrame, percent: in
     shared = F.least("r1", "r2") + F.least("a1", "a2")
     left = 1 + F.least(F.col("d1") - F.col("at1"), F.col("d2") - F.col("at2"))
     pairs = lighter.join(heavier, ["hub", "elem", "inner"]).filter((F.col("part1") != F.col("part2")) & ordered & ((100 + percent) * F.least(shared, left) >= need))
-    pairs = pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+    pairs = pairs.select(*_between(("rep1", "part1"), ("rep2", "part2"))).distinct()
     return _confirm(pairs, sets, percent).unionByName(near)
 
 
@@ -279,19 +312,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ids = known.select("doc_id", "class")
     least = ids.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a < z").select("doc_id", "a")
     same = ids.join(least, "doc_id").filter("class <> a").select("a", F.col("class").alias("b")).distinct()  # texts of one doc_id
-    links = scratch.settle(_confirm(first, sets, percent).unionByName(same), "links")
-    parts = components(links, scratch)
+    count = F.count("*").alias("n")
+    links, size = scratch.measured(_confirm(first, sets, percent).unionByName(same), "links", count)
+    parts = scratch.settle(components(links, scratch, size["n"]), "parts")
     turn = 0
     while turn <= _ROUNDS:
         part_of = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
         centres = _centres(links, parts)
         last = turn == _ROUNDS
-        found = scratch.settle(_across(part_of, centres, sets, percent, scratch) if last else _confirm(_stars(part_of, centres), sets, percent), "links")
-        if found.isEmpty():
+        found = _across(part_of, centres, sets, percent, scratch) if last else _confirm(_stars(part_of, centres), sets, percent)
+        found, size = scratch.measured(found, "links", count)
+        if not size["n"]:
             turn = _ROUNDS + 1 if last else _ROUNDS
         else:
-            links, turn = links.unionByName(found), turn + 1
-            parts = components(links, scratch)
+            links, turn = links.unionByName(found.select("a", "b")), turn + 1
+            parts = _joined(parts, found.select(F.col("p").alias("a"), F.col("q").alias("b")), size["n"], scratch)
     whole = classes.join(parts, classes["class"] == parts["node"], "left").select("class", "first", F.coalesce("component", "class").alias("part"))
     least = whole.groupBy("part").agg(F.min("first").alias("component"))
     owner = settle(whole.join(least, "part").select("class", "component"), "owners")

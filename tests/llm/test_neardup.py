@@ -106,3 +106,54 @@ def test_texts_of_one_id_are_one_document(spark):
     rows = [(5, "a b c d e f"), (5, "p q r s t u"), (9, "a b c d e f"), (3, "p q r s t u"), (8, "x y z"), (8, "x y z")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
     assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(5, 3), (9, 3), (3, 3), (8, 8)}
+
+
+@pytest.mark.parametrize("few", [0, 250_000])
+@pytest.mark.parametrize("known", [False, True])
+def test_components_by_one_task_and_by_stars(spark, few, known):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(1000), rng.randrange(1000)) for _ in range(600)] + [(7, 7), (2**60, -(2**60)), (2**60, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    got = neardup.components(edges, n=len(pairs) if known else None, few=few)
+    assert [tuple(r) for r in got.orderBy("node").collect()] == sorted((x, find(x)) for x in root if find(x) != x)
+
+
+def test_components_of_no_links(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert neardup.components(none).count() == 0 and neardup.components(none, few=-1).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_parts_joined_by_links_between_them(spark, few, monkeypatch):
+    monkeypatch.setattr(neardup.components, "__defaults__", (None, None, few))
+    scratch = neardup.Scratch(spark)
+    parts = spark.createDataFrame([(4, 1), (5, 1), (6, 2), (9, 3)], "node long, component long")
+    links = spark.createDataFrame([(1, 2), (2, 7), (3, 8), (10, 11)], "a long, b long")
+    got = neardup._joined(parts, links, 4, scratch)
+    assert sorted(map(tuple, got.collect())) == [(2, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 3), (9, 3), (11, 10)]
+    scratch.drop()
+
+
+def test_jobs_of_a_run_do_not_grow_with_rounds_of_stars(spark):
+    """Every job leaves its plan and stages with the driver for the rest of the session."""
+    rng = random.Random(5)
+    texts = [t for k in range(6) for t in family(rng, 40, 60 + 20 * k, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    group = "near-duplicate jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        neardup.near_duplicates(docs).count()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 90, jobs
