@@ -24,6 +24,8 @@ _AUTHORS = T.StructType([T.StructField(n, T.ArrayType(_TEXT)) for n in ("named",
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "noscript", "template"}
 _BLOCK = {"p", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "br", "header", "footer", "nav", "aside", "ul", "ol", "table"}
+#: Where a line of running text ends besides: no name goes on beyond it.
+_ENDS = _BLOCK | {"title", "body", "main", "td", "th", "dl", "dt", "dd", "blockquote", "pre", "address", "figure", "figcaption", "form", "button", "option", "hr"}
 
 
 class _Page(HTMLParser):
@@ -35,15 +37,20 @@ class _Page(HTMLParser):
         self.found: list[tuple[str, dict, str]] = []
         self.paragraphs: list[tuple[str, set[str]]] = []
         self.scripts: list[str] = []
-        self.pieces: list[str] = []
+        self.lines: list[list[str]] = [[]]
         self.blocks: list[list[str]] = []
 
     def _in_paragraph(self) -> bool:
         """Whether a paragraph is open below inline elements only, such as a bold one that is never closed."""
         return next((t == "p" for t, _, _ in reversed(self.open) if t in _BLOCK), False)
 
+    def _line_ends(self, tag: str) -> None:
+        if tag in _ENDS:
+            self.lines.append([])
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        self._line_ends(tag)
         if tag in _BLOCK and tag != "br" and self._in_paragraph():  # a paragraph ends where the next block begins
             self.handle_endtag("p")
         if tag in _VOID:
@@ -54,9 +61,11 @@ class _Page(HTMLParser):
                 self.blocks.append(self.open[-1][2])
 
     def handle_startendtag(self, tag, attrs):
+        self._line_ends(tag)
         self.found.append((tag, {k: v or "" for k, v in attrs}, ""))
 
     def handle_endtag(self, tag):
+        self._line_ends(tag)
         if not any(t == tag for t, _, _ in self.open):
             return
         while self.open:
@@ -75,7 +84,7 @@ class _Page(HTMLParser):
             return
         if any(t in _SILENT for t, _, _ in self.open):
             return
-        self.pieces.append(data)
+        self.lines[-1].append(data)
         for _, _, parts in self.open:
             parts.append(data)
 
@@ -185,7 +194,7 @@ DATE_PLACES = ["article:published_time", "datePublished", "og:published_time", "
 _LETTERS = "[A-ZÉÈÊÀÂÔÇа-яёА-ЯЁa-zéèêàâôç]+"
 _BYLINE = re.compile(rf"\b(?:par|by|автор:?)\s+({_LETTERS}(?:[\s\-]{_LETTERS}){{0,4}})", re.I)
 _NAME = r"[A-ZÉÈÊÀÂÔÇ][A-ZÉÈÊÀÂÔÇa-zéèêàâôç\-']{2,}"
-_SIGNATURE = re.compile(rf"\b({_NAME}(?:\s+{_NAME}){{0,3}})\s*/\s*AGP\b")
+_SIGNATURE = re.compile(rf"\b({_NAME}(?: {_NAME}){{0,3}})\s*/\s*AGP\b")
 
 
 def _spaced(parts: list[str]) -> str:
@@ -199,9 +208,10 @@ def _bylines(page: _Page) -> list[str]:
 
 
 def _signatures(page: _Page) -> list[str]:
-    """Names that sign for the agency AGP, those in the last 1500 characters first."""
-    text = _spaced(page.pieces)
-    return [m.strip() for part in (text[-1500:], text) for m in _SIGNATURE.findall(part)]
+    """Names that sign for the agency AGP, those in the last 1500 characters first; words of the block before belong to no name."""
+    text = "\n".join(x for x in (re.sub(r"\s+", " ", _spaced(line)) for line in page.lines) if x)
+    found = [(m.start(), m[1]) for m in _SIGNATURE.finditer(text)]
+    return [name for at, name in found if at >= len(text) - 1500] + [name for _, name in found]
 
 
 @F.pandas_udf(_AUTHORS)

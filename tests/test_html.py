@@ -62,6 +62,17 @@ def test_author_bylines_and_signatures(spark):
     assert author("<p>Text of it.</p><p>Roger MOUSSAVOU / AGP</p>") == "Roger MOUSSAVOU"
 
 
+def test_signature_ends_with_its_block(spark):
+    """Capital words without a stop that end the block before belong to no name; inline elements and line breaks of the source don't end one."""
+    pages = [
+        "<article><p>It was Hend Hend</p><p>Roger MOUSSAVOU / AGP</p></article>", "<p>Theaan<br>Roger MOUSSAVOU/AGP", "<p><b>The<br/>\n<p>Roger MOUSSAVOU / AGP</p>", "<blockquote>Said Einte</blockquote>Roger MOUSSAVOU / AGP",
+        "<p>Text. <b>Roger</b>\n<i>MOUSSAVOU</i> / <span>AGP</span></p>", "<p>Roger\n  MOUSSAVOU / AGP</p>", "<div>Roger MOUSSAVOU</div><div>/ AGP</div>", "<p>Text. Roger MOUSSAVOU / AGP</p><p>" + "x" * 1481 + "</p>",
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = rows.select("i", html.page_author(F.col("html"), F.lit("AGP Gabon")).alias("author")).orderBy("i").collect()
+    assert [r.author for r in got] == ["Roger MOUSSAVOU"] * len(pages)
+
+
 def test_paragraphs_with_unclosed_bold(spark):
     page = "<article><p><b>First.<br><p>Second.</p><p>Third.</article><p><span><div>Block</div>"
     assert one(spark, html.main_text(F.col("html")), html=page) == "First.\nSecond.\nThird."
