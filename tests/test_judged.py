@@ -62,6 +62,25 @@ def test_languages(spark):
     assert language.identified(texts.limit(0), known, "key").collect() == []
 
 
+def test_languages_without_moving_words(spark, monkeypatch):
+    """Texts stay where they are, in chunks of some characters; profiles too large to be broadcast are joined, with the same result."""
+    monkeypatch.setattr(language, "CHUNK", 40)
+    rows = [(i, x, x.split()[0][:2]) for i, x in enumerate(["the cat's  hat", "le chat d'été", "der Hut, die Hüte", "e 日本 😀x 𝒜b the", "the", "LE", "thé dé", "der der der"] * 9)]
+    texts = spark.createDataFrame([*rows, (None, "the", "th"), (90, "", "th"), (91, None, "le"), (92, "12", None)], "key long, text string, lang string")
+    known = language.profiles(texts.filter("key % 3 > 0"))
+    words = [w for _, x, la in rows if la == "th" for w in ("".join(c if c.isalpha() else " " for c in x.lower())).split()]
+    grams = Counter(f" {w} "[i : i + 3] for k, w in enumerate(words) for i in range(len(w)))
+    counted = {r.gram: r.n for r in language._by_language(texts, "lang", "text", 3).filter("lang = 'th'").collect()}
+    assert counted == {**grams, **{g: n + (g in (" th", "the", "he ")) for g, n in grams.items()}}  # the row without a key counts as well
+    found = language.identified(texts, known, "key")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    monkeypatch.setattr(language, "FEW", 3)
+    joined = language.identified(texts, known, "key")
+    assert "Generate" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(joined.collect()) and found.count() == len(rows)
+
+
 def test_grams(spark):
     row = spark.createDataFrame([("abc", "é", "😀b")], "a string, b string, c string").select(*[language.grams(F.col(c)).alias(c) for c in "abc"]).first()
     assert row.a == [" ab", "abc", "bc "] and row.b == [" é "] and row.c == [" 😀b", "😀b "]
