@@ -1,4 +1,4 @@
-"""Density clustering: spanning trees of mutual reachability in rounds, then condensed trees and the clusters selected in them."""
+"""Density clustering: spanning trees of mutual reachability by tiles, then condensed trees and the clusters selected in them."""
 
 from __future__ import annotations
 
@@ -10,30 +10,42 @@ from pyspark.sql import functions as F
 from pressloom.sources.sinks import settled
 
 NOISE = -1
-#: Documents of one side of a tile.
-BLOCK = 512
+#: Documents of one side of a tile at most, and at least where a scope has fewer than SIDES times that; tiles of one side whose forests meet in a task.
+BLOCK, LEAST, SIDES, MERGED = 4096, 512, 24, 4
+#: Documents of a tile that are measured against its other side at a time.
+ROWS = 512
 
 
-def _tiles(points: DataFrame) -> DataFrame:
+def _sizes(points: DataFrame) -> DataFrame:
+    """scope, blocks: a row for each scope."""
+    side = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST), F.ceil(F.count("*") / SIDES)))
+    return points.groupBy("scope").agg(F.ceil(F.count("*") / side).cast("int").alias("blocks"))
+
+
+def _tiles(points: DataFrame, sizes: DataFrame) -> DataFrame:
     """scope, i, j, block and the points' columns: each point in every pair of blocks that its block is part of."""
-    sizes = points.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = points.join(F.broadcast(sizes), "scope").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # a row for each scope
+    dealt = points.join(F.broadcast(sizes), "scope").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squares of all distances by products, and by how much they may differ from those of _distances."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = x @ (-2 * y.T)
+    out += xx[:, None]
+    out += yy[None, :]
+    return out, 8 * (x.shape[1] + 8) * np.finfo(float).eps * (xx.max() + yy.max())
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances, added up one component after another: the same from either side, so that ties stay ties."""
-    square = np.zeros((len(x), len(y)))
-    for a, b in zip(x.T, y.T, strict=True):
-        square += (a[:, None] - b[None, :]) ** 2
-    return np.sqrt(square)
+    """Euclidean distances of the vectors in x to those beside them in y, added up one component after another: the same from either side, so that ties stay ties."""
+    return np.sqrt(np.cumsum((x - y) ** 2, axis=1)[:, -1])
 
 
-def _sides(tile: pd.DataFrame) -> list[tuple[pd.DataFrame, pd.DataFrame]]:
-    """The two sides of a tile, each against the other; a tile of one block has one."""
-    first, second = tile[tile.block == tile.i], tile[tile.block == tile.j]
-    return [(first, first)] if tile.i.iloc[0] == tile.j.iloc[0] else [(first, second), (second, first)]
+def _sides(tile: pd.DataFrame) -> list[pd.DataFrame]:
+    """The two sides of a tile; a tile of one block has one."""
+    return [tile[tile.block == k] for k in sorted({int(tile.i.iloc[0]), int(tile.j.iloc[0])})]
 
 
 def core_distances(docs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -41,75 +53,139 @@ def core_distances(docs: DataFrame, samples: DataFrame) -> DataFrame:
 
     docs: scope, id, vec; samples: scope, samples. All of a scope's documents are
     compared, block by block; each tile keeps its nearest few of each document.
+    Products tell which may be among them; those are measured.
     """
     points = docs.join(F.broadcast(samples), "scope")
 
+    def few(x: np.ndarray, y: np.ndarray, k: int, same: bool) -> list[list[float]]:
+        out = []
+        for at in range(0, len(x), ROWS):
+            part = x[at : at + ROWS]
+            d, tolerance = _squares(part, y)
+            if same:
+                d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
+            # the k-th least of the least of 8 k groups is no less than the k-th least of all
+            groups = d[:, : len(y) // (8 * k) * 8 * k].reshape(len(d), -1, 8 * k).min(axis=1) if len(y) >= 16 * k else d
+            last = np.partition(groups, min(k, groups.shape[1]) - 1, axis=1)[:, min(k, groups.shape[1]) - 1]
+            r, c = np.nonzero((d <= last[:, None] + 2 * tolerance) & (d < np.inf))
+            exact = np.concatenate([_distances(part[r[p : p + BLOCK]], y[c[p : p + BLOCK]]) for p in range(0, max(len(r), 1), BLOCK)])
+            order = np.lexsort((exact, r))
+            out += [x[:k].tolist() for x in np.split(exact[order], np.searchsorted(r, np.arange(1, len(part))))]
+        return out
+
     def nearest(tile: pd.DataFrame) -> pd.DataFrame:
-        k, out = int(tile.samples.iloc[0]), []
-        for a, b in _sides(tile):
-            if len(a) and len(b):
-                d = _distances(np.stack(a.vec.to_numpy()), np.stack(b.vec.to_numpy()))
-                d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = np.inf
-                few = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-                out.append(pd.DataFrame({"scope": a.scope.to_numpy(), "id": a.id.to_numpy(), "near": [x[np.isfinite(x)].tolist() for x in few], "samples": k}))
+        k, sides = int(tile.samples.iloc[0]), _sides(tile)
+        vecs = [np.stack(a.vec.to_numpy()) if len(a) else None for a in sides]
+        pairs = [(0, 0)] if len(sides) == 1 else [(0, 1), (1, 0)] if all(map(len, sides)) else []
+        out = [pd.DataFrame({"scope": sides[a].scope.to_numpy(), "id": sides[a].id.to_numpy(), "near": few(vecs[a], vecs[b], k, a == b), "samples": k}) for a, b in pairs]
         return pd.concat(out) if out else pd.DataFrame(columns=["scope", "id", "near", "samples"])
 
     schema = f"scope {docs.schema['scope'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, near array<double>, samples int"
-    near = _tiles(points).groupBy("scope", "i", "j").applyInPandas(nearest, schema)
+    near = _tiles(points, _sizes(docs)).groupBy("scope", "i", "j").applyInPandas(nearest, schema)
     core = near.groupBy("scope", "id", "samples").agg(F.collect_list("near").alias("near")).withColumn("near", F.slice(F.sort_array(F.flatten("near")), F.lit(1), F.col("samples")))
     return docs.join(core.select("scope", "id", F.coalesce(F.try_element_at("near", F.lit(-1)), F.lit(0.0)).alias("core")), ["scope", "id"])
 
 
+def tile_tree(x: np.ndarray, core: np.ndarray, rank: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places a, b and weights of the minimum spanning tree of the links between the first documents and the others; of all links, if first is their number. Ties: the smaller pair of ranks.
+
+    Prim's algorithm. A square by products, less its error, bounds a link from
+    below; only links that may be as light as a document's lightest are measured.
+    """
+    n = len(x)
+    every = first == n
+    bound, tolerance = _squares(x[:first], x if every else x[first:])
+    bound -= tolerance
+    np.fmax(bound, (core[:first] ** 2)[:, None], out=bound)  # where squares overflow, too
+    np.maximum(bound, (core if every else core[first:])[None, :] ** 2, out=bound)
+    least, most, partner = np.full(n, np.inf), np.full(n, np.inf), np.full(n, -1)  # most: the square up to which a link may be lighter; -inf inside
+    a, b, weight = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1)
+
+    def order(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        x, y = rank[p], rank[q]
+        return np.minimum(x, y) * n + np.maximum(x, y)
+
+    v = 0
+    for k in range(n - 1):
+        least[v], most[v] = np.inf, -np.inf
+        if every:
+            to = np.flatnonzero(bound[v] <= most)
+        elif v < first:
+            to = np.flatnonzero(bound[v] <= most[first:]) + first
+        else:
+            to = np.flatnonzero(bound[:, v - first] <= most[:first])
+        if len(to):
+            w = np.maximum(np.maximum(_distances(x[to], x[v]), core[to]), core[v])
+            better = w < least[to]
+            ties = np.flatnonzero(w == least[to])
+            if len(ties):
+                t = to[ties]
+                better[ties] = (partner[t] < 0) | (order(t, np.full(len(t), v)) < order(t, partner[t]))
+            to, w = to[better], w[better]
+            least[to], most[to], partner[to] = w, w * w * (1 + 1e-14), v
+        u = int(least.argmin())
+        ties = np.flatnonzero(least == least[u])
+        if len(ties) > 1:
+            u = int(ties[order(ties, partner[ties]).argmin()])
+        a[k], b[k], weight[k] = partner[u], u, least[u]
+        v = u
+    return a, b, weight
+
+
+def lightest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which links make the minimum spanning forest of a graph, by weight, a and b: places, in that order."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    order = np.lexsort((y, x, weight))
+    top, kept = [*range(len(ids))], []
+    for k, p, q in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+        while top[p] != p:
+            top[p] = p = top[top[p]]
+        while top[q] != q:
+            top[q] = q = top[top[q]]
+        if p != q:
+            top[p] = q
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def spanning_tree(points: DataFrame) -> DataFrame:
     """scope, a, b, weight: the minimum spanning tree of each scope's mutual reachability distances (ties: smaller a, then b; a < b).
 
-    Boruvka's rounds: every document looks for its nearest one of another
-    component, block by block, skipping tiles that hold one component only; the
-    least link of each component joins the tree; components that meet become one.
-    A round at least halves the components, so there are log2(n) of them; each
-    compares a scope's documents in n * n / 2 pairs of numbers, of which one row
-    a document leaves a tile. Components are merged by pointers, in Spark.
+    A link that isn't in the tree of some of the links isn't in the whole one: so
+    every tile of two blocks gives the tree of its links, n * n / 2 pairs in all,
+    once. Trees of neighbouring tiles are put together and thinned again, a square
+    of tiles in a task, until one is left; the last task gets some trees of a
+    scope's size, 24 bytes a link. (weight, a, b) orders all links, so there is
+    one tree.
     """
-    parts = settled(points.withColumn("part", F.col("id")), "parts")
     id_type = points.schema["id"].dataType.simpleString()
     scope_type = points.schema["scope"].dataType.simpleString()
+    schema = f"scope {scope_type}, i int, j int, a {id_type}, b {id_type}, weight double"
 
-    def least(tile: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for a, b in _sides(tile):
-            if not len(a) or not len(b) or len({*a.part, *b.part}) == 1:
-                continue
-            of, to = a.id.to_numpy(), b.id.to_numpy()
-            w = np.maximum(_distances(np.stack(a.vec.to_numpy()), np.stack(b.vec.to_numpy())), np.maximum(a.core.to_numpy()[:, None], b.core.to_numpy()[None, :]))
-            w[a.part.to_numpy()[:, None] == b.part.to_numpy()[None, :]] = np.inf
-            order = np.argsort(to, kind="stable")  # of equal weights the smaller pair
-            best = w.min(axis=1)
-            for r in np.flatnonzero(np.isfinite(best)):
-                ties = to[order][w[r][order] == best[r]]
-                x, y, part = min((min(of[r], t), max(of[r], t), t) for t in ties)
-                out.append((a.scope.iloc[0], a.part.iloc[r], best[r], x, y, b.part.iloc[int(np.flatnonzero(to == part)[0])]))
-        rows = pd.DataFrame(out, columns=["scope", "part", "weight", "a", "b", "to"])
-        return rows.sort_values(["weight", "a", "b"]).drop_duplicates("part") if len(rows) else rows
-
-    tree = None
-    while True:
-        found = _tiles(parts).groupBy("scope", "i", "j").applyInPandas(least, f"scope {scope_type}, part {id_type}, weight double, a {id_type}, b {id_type}, to {id_type}")
-        chosen = settled(found.groupBy("scope", "part").agg(F.min(F.struct("weight", "a", "b", "to")).alias("x")).select("scope", "part", "x.*"), "chosen")
-        if chosen.isEmpty():
-            break
-        tree = chosen if tree is None else tree.unionByName(chosen)
-        # each component points to the one it joins; of two that point to each other the smaller stays
-        back = chosen.select("scope", F.col("part").alias("to"), F.col("to").alias("back"))
-        up = settled(chosen.join(back, ["scope", "to"]).select("scope", "part", F.when((F.col("back") == F.col("part")) & (F.col("part") < F.col("to")), F.col("part")).otherwise(F.col("to")).alias("to")), "up")
-        while True:
-            over = up.select("scope", F.col("part").alias("to"), F.col("to").alias("over"))
-            moved = settled(up.join(over, ["scope", "to"]).select("scope", "part", F.col("over").alias("next"), (F.col("over") != F.col("to")).alias("moved")), "up")
-            up = moved.select("scope", "part", F.col("next").alias("to"))
-            if moved.filter("moved").isEmpty():
-                break
-        parts = settled(parts.join(up, ["scope", "part"]).withColumn("part", F.col("to")).select(parts.columns), "parts")
-    empty = points.sparkSession.createDataFrame([], f"scope {scope_type}, a {id_type}, b {id_type}, weight double")
-    return empty if tree is None else tree.select("scope", "a", "b", "weight").dropDuplicates(["scope", "a", "b"])
+    def table(scope, i, j, a, b, weight) -> pd.DataFrame:
+        turned = a > b
+        return pd.DataFrame({"scope": scope, "i": i, "j": j, "a": np.where(turned, b, a), "b": np.where(turned, a, b), "weight": weight})
+
+    def tree(tile: pd.DataFrame) -> pd.DataFrame:
+        sides = _sides(tile)
+        rows = pd.concat(sides)
+        if not all(map(len, sides)) or len(rows) < 2:
+            return pd.DataFrame(columns=["scope", "i", "j", "a", "b", "weight"])
+        ids = rows.id.to_numpy()
+        a, b, weight = tile_tree(np.stack(rows.vec.to_numpy()), rows.core.to_numpy(), np.unique(ids, return_inverse=True)[1], len(sides[0]))
+        return table(tile.scope.iloc[0], tile.i.iloc[0], tile.j.iloc[0], ids[a], ids[b], weight)
+
+    def thin(trees: pd.DataFrame) -> pd.DataFrame:
+        return trees.iloc[lightest(trees.a.to_numpy(), trees.b.to_numpy(), trees.weight.to_numpy())]
+
+    sizes = _sizes(points)
+    blocks = sizes.agg(F.max("blocks")).first()[0] or 1
+    made = _tiles(points, sizes).groupBy("scope", "i", "j").applyInPandas(tree, schema)
+    while blocks > 1:
+        blocks = -(-blocks // MERGED)
+        made = made.withColumns({c: F.floor(F.col(c) / MERGED).cast("int") for c in "ij"}).groupBy("scope", "i", "j").applyInPandas(thin, schema)
+    return made.select("scope", "a", "b", "weight")
 
 
 def condensed(a: np.ndarray, b: np.ndarray, weight: np.ndarray, least: int) -> tuple[list[int], list[float], list[tuple[int, float, int]], list[tuple[int, int, float]]]:
@@ -225,8 +301,9 @@ def clusters(docs: DataFrame, tree: DataFrame, settings: DataFrame) -> DataFrame
 
 
 def density_tree(docs: DataFrame, samples: DataFrame) -> DataFrame:
-    """The spanning trees of docs (scope, id, vec). Rows with a null scope, id or vector take no part; of rows that repeat an id one does."""
+    """The spanning trees of docs (scope, id, vec). Rows with a null scope, id or vector, or one with a component that is no number, take no part; of rows that repeat an id one does."""
     rows = docs.select("scope", "id", F.transform("vec", lambda v: v.cast("double")).alias("vec")).dropna().dropDuplicates(["scope", "id"])
+    rows = rows.filter(F.forall("vec", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))))
     return spanning_tree(settled(core_distances(rows, samples), "cores"))
 
 

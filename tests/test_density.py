@@ -110,6 +110,40 @@ def test_tree_and_clusters_in_spark(spark, monkeypatch):
                 assert set(map(frozenset, found.values())) == want
 
 
+def test_tree_of_one_round(spark, monkeypatch):
+    """Links in the order of weight, a, b, with copies and grid points (many ties), small tiles and several rounds of thinning; every pair of documents meets once in a pass, however many links are to be found. Vectors with a component that is no number take no part."""
+    monkeypatch.setattr(density, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    vecs = np.concatenate([r.integers(0, 3, (50, 2)).astype(float), np.full((12, 2), 0.5), r.normal(0, 1, (40, 2)) + 1e3])
+    names = r.permutation(len(vecs)).tolist()
+    rows = [("a", n, v.tolist()) for n, v in zip(names, vecs, strict=True)]
+    docs = spark.createDataFrame([*rows, ("a", 500, [float("nan"), 0.0]), ("a", 501, [None, 0.0]), ("a", 502, [float("inf"), 0.0])], "scope string, id long, vec array<double>")
+    near = spark.createDataFrame([("a", 4)], "scope string, samples int")
+    met = spark.sparkContext.accumulator(0)
+    real = density.tile_tree
+
+    def counted(x, core, rank, first):
+        met.add(first * (first - 1) // 2 if first == len(x) else first * (len(x) - first))
+        return real(x, core, rank, first)
+
+    monkeypatch.setattr(density, "tile_tree", counted)
+    got = sorted((x.weight, x.a, x.b) for x in density.density_tree(docs, near).collect())
+    assert got == [(w, min(names[x], names[y]), max(names[x], names[y])) for w, x, y in prim(reach(vecs, 4), names)]
+    assert met.value <= len(vecs) * (len(vecs) - 1) // 2
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_cores_of_large_tiles(spark, monkeypatch, k):
+    """Groups of columns bound the k-th least; far from zero, products alone would be too coarse."""
+    monkeypatch.setattr(density, "ROWS", 20)
+    r = np.random.default_rng(k)
+    vecs = np.concatenate([r.normal(0, 1e-3, (60, 4)) + 1e4, np.full((9, 4), 1e4), r.normal(0, 1, (61, 4))])
+    docs = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(vecs)], "scope string, id long, vec array<double>")
+    got = {x.id: x.core for x in density.core_distances(docs, spark.createDataFrame([("a", k)], "scope string, samples int")).collect()}
+    d = np.sqrt(((vecs[:, None] - vecs[None]) ** 2).sum(-1))
+    assert [got[i] for i in range(len(vecs))] == pytest.approx([np.sort(np.delete(row, i))[k - 1] for i, row in enumerate(d)], rel=1e-12, abs=0)
+
+
 def test_equal_vectors_and_no_rows(spark):
     docs = spark.createDataFrame([("a", i, [float(i // 10), 0.0]) for i in range(30)], "scope string, id long, vec array<double>")
     settings = spark.createDataFrame([("a", "leaf", 4, "leaf")], "scope string, setting string, least int, method string")
