@@ -149,3 +149,14 @@ def test_equal_vectors_and_no_rows(spark):
     settings = spark.createDataFrame([("a", "leaf", 4, "leaf")], "scope string, setting string, least int, method string")
     assert {(r.topic, r.n) for r in density.density_clusters(docs, settings).groupBy("topic").agg(F.count("*").alias("n")).collect()} == {(0, 10), (1, 10), (2, 10)}
     assert density.density_clusters(docs.limit(0), settings).collect() == []
+
+
+@pytest.mark.parametrize("name", ["ml02_tree"])
+def test_queries_take_few_jobs(spark, name):
+    """The tree comes from a fixed number of passes, not from rounds that grow with the number of vectors."""
+    from pressloom.queries import QUERIES
+
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert len(tracker.getJobIdsForGroup(None)) - before <= 30
