@@ -151,12 +151,12 @@ def test_equal_vectors_and_no_rows(spark):
     assert density.density_clusters(docs.limit(0), settings).collect() == []
 
 
-@pytest.mark.parametrize("name", ["ml02_tree"])
-def test_queries_take_few_jobs(spark, name):
+@pytest.mark.parametrize(("name", "most"), [("ml02_tree", 30), ("ml09_grid", 50)])
+def test_queries_take_few_jobs(spark, name, most):
     """The tree comes from a fixed number of passes, not from rounds that grow with the number of vectors."""
     from pressloom.queries import QUERIES
 
     tracker = spark.sparkContext.statusTracker()
     before = len(tracker.getJobIdsForGroup(None))
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
-    assert len(tracker.getJobIdsForGroup(None)) - before <= 30
+    assert len(tracker.getJobIdsForGroup(None)) - before <= most
