@@ -11,10 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.sources.sinks import settled
+
 #: Rows of profiles (a language and one of its n-grams) that are broadcast at most, and numbers in their table of n-grams by languages; larger ones are joined.
 FEW, CELLS = 1 << 20, 1 << 22
 #: Characters whose words are counted at a time.
-CHUNK = 1 << 24
+CHUNK = 1 << 22
 
 
 def grams(word: Column, n: int = 3) -> Column:
@@ -83,7 +85,7 @@ def profiles(texts: DataFrame, text: str = "text", language: str = "lang", n: in
     a language that lacks a gram that another has is left to the null row. Texts
     without a language are left out.
     """
-    by = _by_language(texts.filter(F.col(language).isNotNull()), language, text, n)
+    by = settled(_by_language(texts.filter(F.col(language).isNotNull()), language, text, n), "grams")  # else texts are read again for each sum
     total = by.groupBy(language).agg(F.sum("n").alias("total"))
     size = by.agg(F.countDistinct("gram").alias("grams"))
     totals = total.crossJoin(F.broadcast(size))  # a row for each language

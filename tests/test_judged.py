@@ -68,6 +68,7 @@ def test_languages_without_moving_words(spark, monkeypatch):
     rows = [(i, x, x.split()[0][:2]) for i, x in enumerate(["the cat's  hat", "le chat d'été", "der Hut, die Hüte", "e 日本 😀x 𝒜b the", "the", "LE", "thé dé", "der der der"] * 9)]
     texts = spark.createDataFrame([*rows, (None, "the", "th"), (90, "", "th"), (91, None, "le"), (92, "12", None)], "key long, text string, lang string")
     known = language.profiles(texts.filter("key % 3 > 0"))
+    assert "MapInPandas" not in known._jdf.queryExecution().executedPlan().toString()  # texts aren't read for each sum
     words = [w for _, x, la in rows if la == "th" for w in ("".join(c if c.isalpha() else " " for c in x.lower())).split()]
     grams = Counter(f" {w} "[i : i + 3] for k, w in enumerate(words) for i in range(len(w)))
     counted = {r.gram: r.n for r in language._by_language(texts, "lang", "text", 3).filter("lang = 'th'").collect()}
